@@ -18,13 +18,18 @@ def date_of(column: Column, data_type: T.DataType) -> Column:
     """``column`` as a DATE.
 
     Typed dates pass, timestamps lose their time of day, and text must read
-    ``yyyy-MM-dd``; anything else becomes NULL instead of failing the job.
+    ``yyyy-MM-dd``, with or without a time after a blank; anything else becomes
+    NULL instead of failing the job.
     """
     if isinstance(data_type, T.DateType):
         return column
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(column)
-    return F.try_to_date(F.trim(column.cast("string")), "yyyy-MM-dd")
+    return iso_date(F.split_part(F.trim(column.cast("string")), F.lit(" "), F.lit(1)))
+
+
+def iso_date(text: Column) -> Column:
+    return F.try_to_date(text, "yyyy-M-d")
 
 
 def as_date(df: DataFrame, name: str) -> Column:

@@ -26,14 +26,18 @@ class Testdata:
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
-        self._folder = folder
+        self.folder = folder
 
     def raw(self, table: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{table}.parquet")
+        return self._spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     @cached_property
     def sales_daily(self) -> DataFrame:
-        return self.raw("lineitem").select(
+        return self.as_sales(self.raw("lineitem"))
+
+    @staticmethod
+    def as_sales(lines: DataFrame) -> DataFrame:
+        return lines.select(
             F.col("l_partkey").alias("tcin"),
             (F.col("l_suppkey") % 10).alias("location_id"),
             F.to_date("l_shipdate").alias("sales_date"),
@@ -209,6 +213,57 @@ class Testdata:
             "o_orderstatus",
         )
 
+    @cached_property
+    def ledger_events(self) -> DataFrame:
+        """What a ledger would have recorded about those files, oldest first.
+
+        Every file was downloaded; closed orders loaded a day later and partial
+        ones failed.  Files of large orders changed since.
+        """
+        listing = self.listing
+        status = F.col("o_orderstatus")
+        seen = listing.select(
+            "file_id",
+            F.substring_index("path", "/", -1).alias("file_name"),
+            F.element_at(F.array(*[F.lit(d) for d in LEDGER_DATASETS]),
+                         (F.col("o_orderkey") % len(LEDGER_DATASETS) + 1).cast("int"))
+            .alias("dataset"),
+            "bytes",
+            F.when(F.col("bytes") > 40_000_000, F.lit("old")).otherwise(F.col("fingerprint"))
+            .alias("fingerprint"),
+            F.col("modified_at").alias("downloaded_at"),
+            F.explode(
+                F.when(status == "O", F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+            ).alias("step"),
+            "o_orderkey",
+            "o_orderstatus",
+        )
+        second = F.col("step") == 1
+        loaded = second & (status == "F")
+        failed = second & (status == "P")
+        return seen.select(
+            "file_id", "file_name", "dataset", "bytes", "fingerprint",
+            (F.col("downloaded_at") + F.make_dt_interval(F.col("step"))).alias("downloaded_at"),
+            F.when(loaded, F.col("downloaded_at") + F.make_dt_interval(F.col("step")))
+            .alias("loaded_at"),
+            F.when(loaded & (F.col("bytes") > 200_000), F.col("bytes") % 1000).alias("row_count"),
+            F.when(loaded, "loaded").when(failed, "failed").otherwise("downloaded")
+            .alias("status"),
+            F.when(failed, F.repeat(F.lit("error "), (F.col("o_orderkey") % 500).cast("int")))
+            .alias("error_message"),
+            F.when(loaded, "strict").when(failed, "failed").alias("parse_method"),
+        )
+
+    # -- documents as delivered text files ----------------------------------
+
+    @cached_property
+    def document_lines(self) -> DataFrame:
+        """Non-blank lines of every document with their place; line 0 is the header."""
+        lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+        return self.raw("documents").select(
+            "doc_id", F.posexplode(lines).alias("line_no", "line")
+        )
+
 
 FILE_BODIES = [
     "DAILY_SALES_TCIN_LOC",
@@ -230,6 +285,7 @@ FILE_BODIES = [
     "RANDOM_NEW_TYPE",
 ]
 TIERS = ["BV", "BR", "CC", "ZZ"]
+LEDGER_DATASETS = ["sales_daily", "sales_weekly", "inventory_daily", "orders_daily"]
 
 
 _WEEK_END = "{0} + CAST(6 - dayofweek({0}) AS INTEGER)"
@@ -306,9 +362,32 @@ SQL = {
                      WHEN o_orderkey % 37 = 0 THEN '99999999'
                      ELSE strftime(o_orderdate, '%m%d%Y') END AS stamp
               FROM orders)""",
+    "ledger_events": f"""
+        SELECT file_id, split_part(path, '/', -1) AS file_name,
+               {LEDGER_DATASETS!r}[o_orderkey % {len(LEDGER_DATASETS)} + 1] AS dataset, bytes,
+               CASE WHEN bytes > 40000000 THEN 'old' ELSE fingerprint END AS fingerprint,
+               modified_at + to_days(step) AS downloaded_at,
+               CASE WHEN step = 1 AND o_orderstatus = 'F' THEN modified_at + to_days(step) END
+                   AS loaded_at,
+               CASE WHEN step = 1 AND o_orderstatus = 'F' AND bytes > 200000
+                    THEN bytes % 1000 END AS row_count,
+               CASE WHEN step = 1 AND o_orderstatus = 'F' THEN 'loaded'
+                    WHEN step = 1 AND o_orderstatus = 'P' THEN 'failed'
+                    ELSE 'downloaded' END AS status,
+               CASE WHEN step = 1 AND o_orderstatus = 'P'
+                    THEN repeat('error ', CAST(o_orderkey % 500 AS INTEGER)) END AS error_message,
+               CASE WHEN step = 1 AND o_orderstatus = 'F' THEN 'strict'
+                    WHEN step = 1 AND o_orderstatus = 'P' THEN 'failed' END AS parse_method
+        FROM listing, (VALUES (0), (1)) AS s(step)
+        WHERE step = 0 OR o_orderstatus <> 'O'""",
+    "document_lines": """
+        SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line
+        FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines
+              FROM documents)""",
 }
 
 _NEEDS = {
+    "ledger_events": ["listing"],
     "sales_weekly": ["sales_daily"],
     "inventory_daily": ["sales_daily"],
     "forecast_weekly": ["sales_weekly"],

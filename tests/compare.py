@@ -60,7 +60,7 @@ def check(spark, folder, name, query, sql, con):
     if cols != ocols:
         return False, len(rows), took, f"columns {cols} != {ocols}"
     if rows != orows:
-        diff = [r for r in rows if r not in set(orows)][:3] if len(rows) < 200000 else []
-        odiff = [r for r in orows if r not in set(rows)][:3] if len(orows) < 200000 else []
+        mine, theirs = set(map(repr, rows)), set(map(repr, orows))
+        diff, odiff = sorted(mine - theirs)[:3], sorted(theirs - mine)[:3]
         return False, len(rows), took, f"{len(rows)} vs {len(orows)} rows; spark {diff} duckdb {odiff}"
     return True, len(rows), took, "equal"
