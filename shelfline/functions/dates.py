@@ -29,7 +29,12 @@ def date_of(column: Column, data_type: T.DataType) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    return F.try_to_date(text, "yyyy-M-d")
+    """``yyyy-M-d`` text as a DATE, else NULL.
+
+    The shape is tested first and the plain cast does the rest.  A formatter
+    would raise and catch an exception for every cell that is no date.
+    """
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
 
 
 def as_date(df: DataFrame, name: str) -> Column:
@@ -60,12 +65,23 @@ def today_or(value: dt.date | str | None) -> Column:
 
 def file_date(digits: Column) -> Column:
     """Eight digits of a file name as a date; the usual order is tried first."""
-    return F.coalesce(*[F.try_to_date(digits, f) for f in FILE_DATE_FORMATS])
+
+    def read(layout: str) -> Column:
+        def part(letters: str) -> Column:
+            return F.substring(digits, layout.index(letters) + 1, len(letters))
+
+        year, month, day = part("yyyy"), part("MM"), part("dd")
+        plausible = (
+            (year > "0000") & month.between("01", "12") & day.between("01", "31")
+        )
+        return F.when(plausible, F.concat_ws("-", year, month, day).try_cast("date"))
+
+    return F.coalesce(*[read(layout) for layout in FILE_DATE_FORMATS])
 
 
 def text_date(column: Column) -> Column:
     """Text dates in the three spellings that extracts use."""
     head = F.substring(column, 1, 10)
-    return F.coalesce(
-        *[F.try_to_date(head, f) for f in ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy")]
-    )
+    year_first = F.translate(head, "/", "-")
+    month_first = F.regexp_replace(head, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
+    return F.coalesce(iso_date(year_first), iso_date(month_first))

@@ -202,9 +202,11 @@ class Testdata:
         )
         name = F.concat(prefix, body, F.lit("_"), stamp, F.lit("_KW.zip"))
         folder = F.concat(F.lit("drop"), F.repeat(F.lit("/sub"), (key % 6).cast("int")))
-        return self.raw("orders").select(
+        path = F.concat(folder, F.lit("/"), key.cast("string"), F.lit("/"), name)
+        # A real listing has the path as a plain column; inline() makes it one.
+        return self.raw("orders").select("*", F.inline(F.array(F.struct(path.alias("path"))))).select(
             F.concat(F.lit("f"), key.cast("string")).alias("file_id"),
-            F.concat(folder, F.lit("/"), key.cast("string"), F.lit("/"), name).alias("path"),
+            "path",
             F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes"),
             F.col("o_orderdate").alias("modified_at"),
             F.concat(F.col("o_orderpriority"), F.lit(":"), F.col("o_custkey").cast("string"))

@@ -27,10 +27,9 @@ def list_source_files(spark: SparkSession, root: str, max_depth: int = 3) -> Dat
 def within_depth(files: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
     """Keep files whose path has at most ``max_depth`` folders below ``root``."""
     plain_root = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/")
-    start = F.instr("path", plain_root + "/")
-    below = F.substring(F.col("path"), start + len(plain_root) + 1, F.length("path"))
-    folders = F.length(below) - F.length(F.replace(below, F.lit("/"), F.lit("")))
-    return files.filter((start > 0) & (folders <= max_depth))
+    inside = F.substring_index("path", plain_root + "/", -1)
+    folders = F.length(inside) - F.length(F.translate(inside, "/", ""))
+    return files.filter(F.contains("path", F.lit(plain_root + "/")) & (folders <= max_depth))
 
 
 def base_name(path: Column) -> Column:
@@ -43,10 +42,13 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     The name is taken apart once and the body looked up, so the cost does not
     grow with the number of datasets.  A name without a valid date is unknown.
     """
-    name = F.col("file_name")
+    mark = "\u0001"
+    taken_apart = F.regexp_replace(
+        "file_name", FILE_NAME_PATTERN, mark.join(["$1", "$2", "$3", "$4"])
+    )
 
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(name, FILE_NAME_PATTERN, i), F.lit(""))
+    def piece(i: int) -> Column:
+        return F.get("_pieces", F.lit(i))
 
     def lookup(has_tier: bool) -> Column:
         known = [d for d in DATASETS.values() if d.has_tier == has_tier]
@@ -54,22 +56,29 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
         return table[F.col("_body")]
 
     planning = F.when(F.col("_body").rlike(PLANNING_BODY_PATTERN), F.lit("po_plan_biweekly"))
-    dataset = F.when(F.col("tier").isNull(), lookup(False)).otherwise(
-        F.coalesce(lookup(True), planning)
-    )
-    parsed = (
-        files.withColumn("file_name", base_name(F.col(path)))
-        .withColumns({
-            "tier": part(1), "bpid": part(2), "_body": F.upper(part(3)),
-            "file_date": file_date(part(4)),
-        })
-        .withColumn("dataset", F.when(F.col("file_date").isNotNull(), dataset))
-        .drop("_body")
-    )
+    body = F.when(F.col("_day").isNotNull(), F.upper(piece(2)))
+    # Each step is fixed as columns, so that neither the next one nor a later
+    # filter or join runs the pattern again.
+    named = _fix(files, file_name=base_name(F.col(path)))
+    named = _fix(named, _pieces=F.split(taken_apart, mark))
+    named = _fix(named, _digits=piece(3), tier=F.nullif(piece(0), F.lit("")),
+                 bpid=F.nullif(piece(1), F.lit("")))
+    named = _fix(named, _day=file_date(F.col("_digits")))
+    named = _fix(named, _body=body)
+    tiered = F.col("tier").isNotNull()
+    named = _fix(named, dataset=F.when(tiered, F.coalesce(lookup(True), planning))
+                 .otherwise(lookup(False)))
     known = F.col("dataset").isNotNull()
-    return parsed.withColumns(
-        {c: F.when(known, F.col(c)) for c in ("file_date", "tier", "bpid")}
-    )
+    return named.withColumns({
+        "file_date": F.when(known, F.col("_day")), "tier": F.when(known, F.col("tier")),
+        "bpid": F.when(known, F.col("bpid")),
+    }).drop("_pieces", "_digits", "_day", "_body")
+
+
+def _fix(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that the optimizer does not merge into later expressions."""
+    values = [c.alias(n) for n, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*values))))
 
 
 def filter_datasets(classified: DataFrame, wanted: Iterable[str] | None) -> DataFrame:

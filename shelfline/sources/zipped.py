@@ -30,7 +30,6 @@ ship_with_job(__name__)
 
 LINE_SCHEMA = "file_id string, member string, layout long, line_no long, line string, error string"
 
-_ROWS = 16_384
 _CHARS = 4_000_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UNREADABLE = (
@@ -47,55 +46,59 @@ def data_member(archive: zipfile.ZipFile) -> zipfile.ZipInfo:
     return (data or files)[0]
 
 
-def _lines(content: bytes) -> Iterator[tuple[str, int, str]]:
-    """``(member, layout, line)`` of every non-blank line, inflated as it is read.
-
-    ``layout`` numbers the header line, so rows of equally headed files can be
-    read alike without joining every row to its header.
-    """
+def _chunks(content: bytes) -> Iterator[tuple[str, list[str]]]:
+    """``(member, non-blank lines)`` in pieces, inflated as they are read."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         member = data_member(archive)
         with archive.open(member) as raw:
             text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-            layout = None
-            for line in text:
-                line = line.rstrip("\n")
-                if not line.strip(" "):
-                    continue
-                if layout is None:
-                    digest = hashlib.blake2b(line.encode("utf-8"), digest_size=8).digest()
-                    layout = int.from_bytes(digest, "big") >> 1
-                yield member.filename, layout, line
+            rest = ""
+            while piece := text.read(_CHARS):
+                *whole, rest = (rest + piece).split("\n")
+                yield member.filename, [x for x in whole if x.strip(" ")]
+            if rest.strip(" "):
+                yield member.filename, [rest]
 
 
-def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("file_id", pa.string()), ("member", pa.string()), ("layout", pa.int64()),
-        ("line_no", pa.int64()), ("line", pa.string()), ("error", pa.string()),
-    ])
+def _layout(header: str) -> int:
+    """Number of a header line.
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema
-        )
+    With it, rows of equally headed files can be read alike without joining
+    every row to its header.
+    """
+    digest = hashlib.blake2b(header.encode("utf-8"), digest_size=8).digest()
+    return int.from_bytes(digest, "big") >> 1
+
+
+def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file_id", "member", "layout", "line_no", "line", "error"]
+
+    def rows(file_id, member, layout, first, lines, error=None) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([
+            pa.repeat(pa.scalar(file_id, pa.string()), n),
+            pa.repeat(pa.scalar(member, pa.string()), n),
+            pa.repeat(pa.scalar(layout, pa.int64()), n),
+            pa.array(range(first, first + n), pa.int64()),
+            pa.array(lines, pa.string()),
+            pa.repeat(pa.scalar(error, pa.string()), n),
+        ], names=names)
 
     for batch in batches:
         for file_id, content in zip(batch.column("file_id"), batch.column("content")):
-            name, rows, chars, number = file_id.as_py(), [], 0, 0
+            file_id, number, layout = file_id.as_py(), 0, None
             try:
-                for member, layout, line in _lines(content.as_py()):
-                    rows.append((name, member, layout, number, line, None))
-                    number += 1
-                    chars += len(line)
-                    if len(rows) >= _ROWS or chars >= _CHARS:
-                        yield pack(rows)
-                        rows, chars = [], 0
+                for member, lines in _chunks(content.as_py()):
+                    if not lines:
+                        continue
+                    if layout is None:
+                        layout = _layout(lines[0])
+                    yield rows(file_id, member, layout, number, lines)
+                    number += len(lines)
                 if not number:
-                    rows.append((name, None, None, -1, None, "the file holds no line"))
+                    yield rows(file_id, None, None, -1, [None], "the file holds no line")
             except _UNREADABLE as e:
-                rows.append((name, None, None, -1, None, f"{type(e).__name__}: {e}"))
-            if rows:
-                yield pack(rows)
+                yield rows(file_id, None, None, -1, [None], f"{type(e).__name__}: {e}")
 
 
 def read_zip_lines(files: DataFrame) -> DataFrame:
