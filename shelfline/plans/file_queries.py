@@ -17,7 +17,7 @@ from shelfline.operators.upsert import newest_file_rows, upsert_by_key
 from shelfline.plans import load
 from shelfline.plans.adapters import with_views
 from shelfline.plans.queries import register
-from shelfline.session import shared_folder
+from shelfline.session import shared_folder, written
 from shelfline.sources import delimited, listing, zipped
 from shelfline.streaming.ingest import stream_upsert
 
@@ -371,10 +371,7 @@ def _(t):
     zipped.ship_with_job(__name__)
     lines = _sales_lines(t).withColumn("part", F.spark_partition_id())
     archives = lines.mapInArrow(_zip_batches, "file_id string, content binary")
-    staged = shared_folder(archives.sparkSession, "round-trip")
-    zipped.read_zip_lines(archives).write.parquet(staged)
-    decoded = archives.sparkSession.read.parquet(staged)
-    return _read(decoded).select(*_COLUMNS)
+    return _read(written(zipped.read_zip_lines(archives), "round-trip")).select(*_COLUMNS)
 
 
 @register("coerce_text_dates",

@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from pyspark.sql import types as T
 from shelfline import catalog
 from shelfline.operators.forecast import register_recent_view
 from shelfline.operators.upsert import KeyMissing, newest_file_rows
-from shelfline.session import shared_folder
+from shelfline.session import written
 from shelfline.sources import delimited, listing, zipped
-from shelfline.store import Store
+from shelfline.store import SYNC_LOG, Store
 
 ORDERS = {
     # Which of several files of one load wins a key they share.
@@ -94,10 +95,6 @@ def identify(files: DataFrame) -> DataFrame:
     })
 
 
-REPORT = ("file_id string, method string, skipped_rows bigint, row_count bigint, "
-          "primary_error string, load_error string")
-
-
 def _report(rows: DataFrame, load_error: str | None = None) -> DataFrame:
     return rows.select(
         "file_id", "method", "skipped_rows", "row_count", "primary_error",
@@ -105,24 +102,18 @@ def _report(rows: DataFrame, load_error: str | None = None) -> DataFrame:
     )
 
 
-def stage_lines(spark: SparkSession, pending: DataFrame) -> DataFrame:
-    """Decode the pending archives once, into a shared Parquet table.
+def stage_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Decode the named archives once, into a shared Parquet table.
 
     Everything after this reads splittable, prunable files instead of archives,
     and a lost executor costs a re-read, not another inflate.
     """
-    target = shared_folder(spark, "lines")
-    # Paths only; a file listing lives on the driver in any Spark scan.
-    paths = [r[0] for r in pending.select("file_id").collect()]
     with zipped.one_file_per_batch(spark):
         lines = zipped.read_zip_lines(zipped.read_files(spark, paths))
         named = listing.classify(lines, "file_id").select(
-            "dataset", "file_id", "layout", "line_no", "line", "error"
+            "file_id", "layout", "line_no", "line", "error", "dataset"
         )
-        named.write.partitionBy("dataset").parquet(target)
-    return spark.read.schema(
-        "file_id string, layout long, line_no long, line string, error string, dataset string"
-    ).parquet(target)
+        return written(named, "lines", "dataset")
 
 
 def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None = None,
@@ -133,82 +124,80 @@ def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None =
     started = dt.datetime.now(dt.timezone.utc)
     for name in datasets or ():
         catalog.dataset(name)
-    listed_at = shared_folder(spark, "listing")
     found = identify(files)
-    done = listing.pending_files(found, store.ledger()).select("file_id", F.lit(True).alias("new"))
-    # Written down so that later steps see the same files, whatever arrives.
-    listing.filter_datasets(found, datasets).join(done, "file_id", "left").withColumn(
-        "state",
+    new = listing.pending_files(found, store.ledger()).select("file_id", F.lit(True).alias("new"))
+    state = (
         F.when(F.col("dataset").isNull(), "unknown_pattern")
         .when(F.col("new"), "new")
-        .otherwise("skipped"),
-    ).write.parquet(listed_at)
-    listed = spark.read.parquet(listed_at)
-    n_found = files.count()
-    pending = listed.filter(F.col("state") == "new")
+        .otherwise("skipped")
+    )
+    # Written down so that later steps see the same files, whatever arrives.
+    everything = written(
+        found.join(new, "file_id", "left").withColumn("state", state), "listing"
+    )
+    listed = listing.filter_datasets(everything, datasets)
+    # Paths only; a file listing lives on the driver in any Spark scan.
+    paths = [r[0] for r in listed.filter(F.col("state") == "new").select("file_id").collect()]
 
     reports: list[DataFrame] = []
     drift: dict[str, dict[str, list[str]]] = {}
-    if not pending.isEmpty():
-        lines = stage_lines(spark, pending)
-        broken = lines.filter(F.col("line_no") < 0).select(
-            "file_id",
-            F.lit("failed").alias("method"),
-            F.lit(None).cast("bigint").alias("skipped_rows"),
-            F.lit(None).cast("bigint").alias("row_count"),
-            F.col("error").alias("primary_error"),
-        )
-        reports.append(_report(broken))
+    by_dataset: dict[str, list[delimited.Layout]] = {}
+    if paths:
+        lines = stage_lines(spark, paths)
         good = lines.filter(F.col("line_no") >= 0)
-        if not broken.isEmpty():
+        any_broken = False
+        for name, layout in delimited.collect_layouts(lines, "dataset"):
+            if layout is None:
+                any_broken = True
+            else:
+                by_dataset.setdefault(name, []).append(layout)
+        if any_broken:
+            broken = lines.filter(F.col("line_no") < 0)
+            reports.append(_failed(broken))
             # An archive can break after its first lines were read.
             good = good.join(broken.select("file_id"), "file_id", "left_anti")
-        by_dataset: dict[str, list[delimited.Layout]] = {}
-        for name, layout in delimited.collect_layouts(good, "dataset"):
-            by_dataset.setdefault(name, []).append(layout)
         for name in sorted(by_dataset):
             reports += _load_dataset(store, name, good, by_dataset[name], listed, order_by,
                                      evolve, drift)
 
-    written = None
-    if reports:
-        report_at = shared_folder(spark, "report")
-        for part in reports:
-            part.write.mode("append").parquet(report_at)
-        report = spark.read.schema(T.StructType.fromDDL(REPORT)).parquet(report_at)
-        ledger_at = shared_folder(spark, "ledger")
-        file_states(listed, report).write.parquet(ledger_at)
-        written = spark.read.parquet(ledger_at)
-        store.add_ledger(written)
     states = listed.select("file_id", "file_name", "dataset", "state")
-    if written is None:
-        outcomes = states.select("file_id", "file_name", "dataset",
-                                 F.col("state").alias("status"),
-                                 F.lit(0).cast("bigint").alias("rows"),
-                                 F.lit(None).cast("string").alias("error"))
-    else:
-        outcomes = states.join(
-            written.select("file_id", "status", "row_count", "error_message"), "file_id", "left"
-        ).select(
-            "file_id", "file_name", "dataset", F.coalesce("status", "state").alias("status"),
-            F.coalesce("row_count", F.lit(0)).alias("rows"), F.col("error_message").alias("error"),
+    if reports:
+        ledger = written(file_states(listed, reduce(DataFrame.unionByName, reports)), "ledger")
+        store.add_ledger(ledger)
+        states = states.join(
+            ledger.select("file_id", "status", "row_count", "error_message"), "file_id", "left"
         )
+    else:
+        states = states.selectExpr("*", "CAST(NULL AS STRING) AS status",
+                                   "CAST(NULL AS BIGINT) AS row_count",
+                                   "CAST(NULL AS STRING) AS error_message")
+    outcomes = states.select(
+        "file_id", "file_name", "dataset", F.coalesce("status", "state").alias("status"),
+        F.coalesce("row_count", F.lit(0)).alias("rows"), F.col("error_message").alias("error"),
+    )
     counts = summarise(outcomes).first().asDict()
-    counts["files_found"] = n_found
-    sales = store.read("sales_weekly")
-    if sales is not None:
-        register_recent_view({"sales_weekly": sales})
+    counts["files_found"] = everything.count()
+    if "sales_weekly" in by_dataset and store.exists("sales_weekly"):
+        register_recent_view({"sales_weekly": store.read("sales_weekly")})
     finished = dt.datetime.now(dt.timezone.utc)
     log_run(store, started, finished, triggered_by, counts)
     return LoadResult(counts, outcomes, drift, (finished - started).total_seconds())
 
 
+def _failed(broken: DataFrame) -> DataFrame:
+    return _report(broken.select(
+        "file_id",
+        F.lit("failed").alias("method"),
+        F.lit(None).cast("bigint").alias("skipped_rows"),
+        F.lit(None).cast("bigint").alias("row_count"),
+        F.col("error").alias("primary_error"),
+    ))
+
+
 def log_run(store: Store, started, finished, triggered_by: str, counts, notes: str = "") -> None:
     row = [(str(uuid.uuid4()), started, finished, triggered_by, counts["files_new"],
             counts["files_loaded"], counts["files_failed"], notes)]
-    store.append("_sync_log", store.spark.createDataFrame(
-        row, "sync_id string, started_at timestamp, finished_at timestamp, triggered_by string, "
-             "files_new int, files_loaded int, files_failed int, notes string"))
+    store.append("_sync_log", store.spark.createDataFrame(row, SYNC_LOG))
 
 
 def _load_dataset(store: Store, name: str, lines: DataFrame, layouts, listed: DataFrame,
@@ -227,14 +216,14 @@ def _load_dataset(store: Store, name: str, lines: DataFrame, layouts, listed: Da
         names = delimited.column_order(group)
         types = delimited.choose_types(cells, names, store.schema(name))
         rows = delimited.cast_cells(cells, types, ["file_id"])
-        report_at = shared_folder(store.spark, "parse")
         # Files with a header and nothing below it still count as read.
         headers = mine.filter(F.col("line_no") == 0).select("file_id")
-        parsed = headers.join(delimited.parse_report(rows), "file_id", "left").fillna(
-            {"method": "strict", "skipped_rows": 0, "row_count": 0}
+        report = written(
+            headers.join(delimited.parse_report(rows), "file_id", "left").fillna(
+                {"method": "strict", "skipped_rows": 0, "row_count": 0}
+            ),
+            "parse",
         )
-        parsed.write.parquet(report_at)
-        report = store.spark.read.parquet(report_at)
         error = None
         try:
             _upsert_rows(store, name, rows, report, names, key, listed, order_by, evolve)
@@ -253,14 +242,14 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
     missing = [c for c in key if c not in names]
     if missing:
         raise KeyMissing(f"{name}: key columns {missing} are not among {names}")
-    distrusted = report.filter((F.col("garbled_rows") > 0) & (F.col("long_rows") > 0))
-    if not distrusted.isEmpty():
-        skip = distrusted.select(F.col("file_id").alias("_skip"))
+    distrusted = (F.col("garbled_rows") > 0) & (F.col("long_rows") > 0)
+    n_files, n_distrusted = report.agg(F.count("*"), F.count_if(distrusted)).first()
+    if n_distrusted:
+        skip = report.filter(distrusted).select(F.col("file_id").alias("_skip"))
         rows = rows.join(skip, (F.col("file_id") == F.col("_skip")) & F.col("_long"), "left_anti")
-    if report.count() > 1:
+    if n_files > 1:
         order = ORDERS[order_by]
-        stamps = listed.select("file_id", *order)
-        rows = rows.join(stamps, "file_id")
+        rows = rows.join(listed.select("file_id", *order), "file_id")
         rows = newest_file_rows(rows, key, "file_id", order)
     store.upsert(name, rows.select(*names), key, evolve=evolve)
 
@@ -268,23 +257,26 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
 def _register(store: Store, name: str, lines: DataFrame, listed: DataFrame, layouts, types,
               key) -> dict[str, list[str]] | None:
     """Record the columns of the newest file; returns what changed, if anything."""
-    newest = (
-        lines.filter(F.col("line_no") == 0)
-        .join(listed.select("file_id", "modified_at", "file_name"), "file_id")
-        .agg(F.max_by("layout", F.struct("modified_at", "file_name")))
-        .first()[0]
-    )
-    names = next(x.names for x in layouts if x.number == newest)
-    columns = delimited.derive_schema(T.StructType([T.StructField(n, types[n]) for n in names]))
+    newest = layouts[0]
+    if len(layouts) > 1:
+        number = (
+            lines.filter(F.col("line_no") == 0)
+            .join(listed.select("file_id", "modified_at", "file_name"), "file_id")
+            .agg(F.max_by("layout", F.struct("modified_at", "file_name")))
+            .first()[0]
+        )
+        newest = next(x for x in layouts if x.number == number)
+    schema = T.StructType([T.StructField(n, types[n]) for n in newest.names])
+    columns = delimited.derive_schema(schema)
     before = store.registry().filter(F.col("dataset") == name).select("columns").first()
     seen = store.spark.createDataFrame(
         [(name, columns, list(key))],
         "dataset string, columns map<string,string>, primary_key array<string>",
     ).withColumn("seen_at", F.current_timestamp())
     store.append("_schema_registry", seen)
-    if before is None or dict(before[0]) == columns:
+    old = dict(before[0]) if before is not None else columns
+    if old == columns:
         return None
-    old = dict(before[0])
     return {
         "added": sorted(set(columns) - set(old)),
         "removed": sorted(set(old) - set(columns)),
@@ -317,6 +309,4 @@ def forget_files(store: Store, dataset: str) -> None:
         "status": F.lit("queued"), "downloaded_at": F.current_timestamp(),
         "loaded_at": F.lit(None).cast("timestamp"), "row_count": F.lit(None).cast("bigint"),
     })
-    at = shared_folder(store.spark, "forget")
-    stale.write.parquet(at)
-    store.add_ledger(store.spark.read.parquet(at))
+    store.add_ledger(written(stale, "forget"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_fallback: list[str] = []
@@ -49,3 +49,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             _local_fallback.append(tempfile.mkdtemp(prefix="shelfline-"))
         root = _local_fallback[0]
     return f"{root.rstrip('/')}/shelfline/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+    """``df`` by way of a Parquet table in the shared folder.
+
+    Cuts the lineage at a point that later steps read several times: what they
+    see no longer changes, and a lost executor costs a read.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -100,21 +100,24 @@ def _unique(names: Iterable[str]) -> tuple[str, ...]:
 
 
 def collect_layouts(lines: DataFrame, *by: str) -> list:
-    """The distinct headers, with the columns ``by``.
+    """The distinct headers, with the columns ``by``; None for unreadable files.
 
     One row per distinct header text, not per file, comes to the driver.
     """
-    headers = lines.filter(F.col("line_no") == 0).groupBy(*by, "layout").agg(
+    headers = lines.filter(F.col("line_no") <= 0).groupBy(*by, "layout").agg(
         F.min("line").alias("line")
     )
     delimiter = sniff_delimiter(F.col("line"))
-    rows = headers.select(
+    found = headers.select(
         *by, "layout", delimiter.alias("delimiter"), header_names("line", delimiter).alias("names")
     ).collect()
-    return [
-        (*[r[c] for c in by], Layout(r["layout"], r["delimiter"], _unique(r["names"])))
-        for r in rows
-    ]
+
+    def layout(row):
+        if row["layout"] is None:
+            return None
+        return Layout(row["layout"], row["delimiter"], _unique(row["names"]))
+
+    return [(*[r[c] for c in by], layout(r)) for r in found]
 
 
 def column_order(layouts: Sequence[Layout]) -> list[str]:

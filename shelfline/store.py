@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions.dates import as_date, bucket
+from shelfline.operators.forecast import register_recent_view
 from shelfline.operators.upsert import align_columns, require_key, upsert_by_key, widen_schema
 
 PART = "_part"
@@ -115,8 +116,10 @@ class Store:
 
     def register_views(self) -> None:
         """Temp views for free SQL, taken at the current versions."""
-        for name, df in self.tables().items():
+        tables = self.tables()
+        for name, df in tables.items():
             df.createOrReplaceTempView(name)
+        register_recent_view(tables)
         for name in META:
             self.meta(name).createOrReplaceTempView(name)
 
