@@ -157,16 +157,11 @@ _OUTCOMES = """
                COUNT(*) FILTER (WHERE status = 'unknown_pattern') AS files_unknown
         FROM ({_OUTCOMES})"""))
 def _(t):
-    found = listing.classify(t.listing)
-    new = listing.pending_files(found, st.newest_ledger_rows(t.ledger_events))
-    tagged = found.join(new.select("file_id", F.lit(True).alias("new")), "file_id", "left")
-    status = (
-        F.when(F.col("dataset").isNull(), "unknown_pattern")
-        .when(F.col("new").isNull(), "skipped")
-        .when(F.col("o_orderstatus") == "P", "failed")
-        .otherwise("loaded")
-    )
-    return load.summarise(tagged.select(status.alias("status")))
+    found = listing.with_state(listing.classify(t.listing),
+                               st.newest_ledger_rows(t.ledger_events))
+    loaded = F.when(F.col("o_orderstatus") == "P", "failed").otherwise("loaded")
+    status = F.when(F.col("state") == "new", loaded).otherwise(F.col("state"))
+    return load.summarise(found.select(status.alias("status")))
 
 
 @register("ledger_stats", _ledger_sql(

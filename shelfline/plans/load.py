@@ -125,16 +125,8 @@ def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None =
     for name in datasets or ():
         catalog.dataset(name)
     found = identify(files)
-    new = listing.pending_files(found, store.ledger()).select("file_id", F.lit(True).alias("new"))
-    state = (
-        F.when(F.col("dataset").isNull(), "unknown_pattern")
-        .when(F.col("new"), "new")
-        .otherwise("skipped")
-    )
     # Written down so that later steps see the same files, whatever arrives.
-    everything = written(
-        found.join(new, "file_id", "left").withColumn("state", state), "listing"
-    )
+    everything = written(listing.with_state(found, store.ledger()), "listing")
     listed = listing.filter_datasets(everything, datasets)
     # Paths only; a file listing lives on the driver in any Spark scan.
     paths = [r[0] for r in listed.filter(F.col("state") == "new").select("file_id").collect()]

@@ -88,11 +88,12 @@ def filter_datasets(classified: DataFrame, wanted: Iterable[str] | None) -> Data
     return classified.filter(F.col("dataset").isNull() | F.col("dataset").isin(list(wanted)))
 
 
-def pending_files(classified: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Known files that are not loaded yet.
+def with_state(classified: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Add ``state``: ``unknown_pattern``, ``skipped`` or ``new``.
 
     A loaded file counts as done when its fingerprint is the same or when the
-    listing has none to compare.
+    listing has none to compare.  The ledger has one row per file, so the join
+    keeps one row per listed file.
     """
     done = ledger.filter(F.col("status") == "loaded").select(
         F.col("file_id").alias("_id"), F.col("fingerprint").alias("_fingerprint")
@@ -101,7 +102,18 @@ def pending_files(classified: DataFrame, ledger: DataFrame) -> DataFrame:
     same = (F.col("file_id") == F.col("_id")) & F.coalesce(
         F.col("_fingerprint") == new, new.isNull()
     )
-    return classified.filter(F.col("dataset").isNotNull()).join(done, same, "left_anti")
+    state = (
+        F.when(F.col("dataset").isNull(), "unknown_pattern")
+        .when(F.col("_id").isNotNull(), "skipped")
+        .otherwise("new")
+    )
+    joined = classified.join(done, same, "left").withColumn("state", state)
+    return joined.drop("_id", "_fingerprint")
+
+
+def pending_files(classified: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Known files that are not loaded yet."""
+    return with_state(classified, ledger).filter(F.col("state") == "new").drop("state")
 
 
 def dry_run(classified: DataFrame, wanted: Iterable[str] | None = None) -> DataFrame:
