@@ -78,3 +78,20 @@ def newest_file_rows(batch: DataFrame, key: Sequence[str], file: str,
     winners = batch.groupBy(*key).agg(F.max(rank).alias("_newest"))
     beaten = same_key("r", "w", key) & (F.col(f"r.{file}") != F.col(f"w._newest.{file}"))
     return batch.alias("r").join(winners.alias("w"), beaten, "left_anti")
+
+
+def upsert_newest(target: DataFrame, batch: DataFrame, key: Sequence[str],
+                  order: str) -> DataFrame:
+    """Upsert in which a key is only replaced by rows at least as new by ``order``.
+
+    A file that arrives late then fills gaps without undoing newer files.  Rows
+    without an order, from loads that kept none, are the oldest.
+    """
+    require_key(batch, key)
+    schema = widen_schema(target.schema, batch.schema)
+    side = "_is_batch"
+    both = (
+        align_columns(target, schema).withColumn(side, F.lit(0))
+        .unionByName(align_columns(batch, schema).withColumn(side, F.lit(1)))
+    )
+    return newest_file_rows(both, key, side, [order]).drop(side)

@@ -107,7 +107,8 @@ def _(t):
        FROM ledger"""))
 def _(t):
     latest = st.newest_ledger_rows(st.ledger_rows(t.ledger_events))
-    return latest.drop("folder_id", "file_date")
+    return latest.drop("folder_id", "file_date").withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("downloaded_at", "loaded_at")})
 
 
 _STATE_SQL = """
@@ -255,7 +256,7 @@ def _(t):
     delimiter = delimited.sniff_delimiter(F.col("line"))
     return headers.select(
         "doc_id", F.posexplode(delimited.header_names(F.col("line"), delimiter))
-        .alias("place", "name"))
+        .alias("place", "name")).withColumn("place", F.col("place").cast("bigint"))
 
 
 @register("parse_report", with_views(
@@ -494,9 +495,25 @@ def _(t):
     return profile.business_range(profile.dataset_ranges(t.tables(*_PROFILED)))
 
 
-@register("describe_tables", None)
+def _describe_sql(name: str, **types: str) -> str:
+    listed = ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate(types.items()))
+    return f"""SELECT '{name}' AS "table", CAST(p AS INTEGER) AS position, c AS "column", k AS type,
+                      (SELECT COUNT(*) FROM {name}) AS row_count
+               FROM (VALUES {listed}) AS v(p, c, k)"""
+
+
+_DESCRIBED = ("forecast_weekly", "item_attr", "gross_margin")
+
+
+@register("describe_tables", with_views(" UNION ALL ".join([
+    _describe_sql("forecast_weekly", tcin="BIGINT", location_id="BIGINT",
+                  fiscal_week_begin_d="TEXT", last_update_d="DATE", selected_forecast_q="BIGINT"),
+    _describe_sql("item_attr", tcin="BIGINT", mta_n="TEXT", mta_value_n="TEXT"),
+    _describe_sql("gross_margin", tcin="BIGINT", location_id="BIGINT", week_end_date="DATE",
+                  gross_margin_pct="DOUBLE"),
+]), *_DESCRIBED))
 def _(t):
-    return profile.describe(t.sales_daily.sparkSession, t.tables(*_PROFILED))
+    return profile.describe(t.sales_daily.sparkSession, t.tables(*_DESCRIBED))
 
 
 _RULES = """

@@ -20,10 +20,11 @@ from shelfline.sources import delimited, listing, zipped
 from shelfline.store import SYNC_LOG, Store
 
 ORDERS = {
-    # Which of several files of one load wins a key they share.
+    # Which of several files wins a key they share.
     "arrival": ["modified_at", "file_name"],
     "file_date": ["file_date", "modified_at", "file_name"],
 }
+FILE_DATE = "_file_date"
 SUMMARY = ("files_found", "files_new", "files_loaded", "files_failed", "files_skipped",
            "files_unknown")
 
@@ -239,11 +240,19 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
     if n_distrusted:
         skip = report.filter(distrusted).select(F.col("file_id").alias("_skip"))
         rows = rows.join(skip, (F.col("file_id") == F.col("_skip")) & F.col("_long"), "left_anti")
-    if n_files > 1:
-        order = ORDERS[order_by]
+    by_date = order_by == "file_date"
+    order = ORDERS[order_by]
+    if n_files > 1 or by_date:
         rows = rows.join(listed.select("file_id", *order), "file_id")
+    if n_files > 1:
         rows = newest_file_rows(rows, key, "file_id", order)
-    store.upsert(name, rows.select(*names), key, evolve=evolve)
+    if by_date:
+        # Kept in the table, so that a late file meets the dates of earlier loads.
+        rows = rows.withColumnRenamed("file_date", FILE_DATE)
+        store.upsert(name, rows.select(*names, FILE_DATE), key, evolve=evolve,
+                     newest_by=FILE_DATE)
+    else:
+        store.upsert(name, rows.select(*names), key, evolve=evolve)
 
 
 def _register(store: Store, name: str, lines: DataFrame, listed: DataFrame, layouts, types,

@@ -22,7 +22,13 @@ from pyspark.sql import types as T
 
 from shelfline.functions.dates import as_date, bucket
 from shelfline.operators.forecast import register_recent_view
-from shelfline.operators.upsert import align_columns, require_key, upsert_by_key, widen_schema
+from shelfline.operators.upsert import (
+    align_columns,
+    require_key,
+    upsert_by_key,
+    upsert_newest,
+    widen_schema,
+)
 
 PART = "_part"
 NO_DATE = "none"
@@ -108,8 +114,12 @@ class Store:
         return self._state(dataset)[0]
 
     def read(self, dataset: str) -> DataFrame | None:
+        """The table, without bookkeeping columns; their names start with ``_``."""
         schema, paths, _ = self._state(dataset)
-        return None if schema is None else self._scan(schema, sorted(paths.values()))
+        if schema is None:
+            return None
+        shown = [n for n in schema.names if not n.startswith("_")]
+        return self._scan(schema, sorted(paths.values())).select(*shown)
 
     def tables(self) -> dict[str, DataFrame]:
         return {d: self.read(d) for d in self.datasets()}
@@ -134,8 +144,13 @@ class Store:
         return F.format_string("b%04d", number)
 
     def upsert(self, dataset: str, batch: DataFrame, key: Sequence[str], *,
-               evolve: bool = True, null_safe: bool = False) -> None:
-        """Replace the keys of ``batch`` and make the result the newest version."""
+               evolve: bool = True, null_safe: bool = False,
+               newest_by: str | None = None) -> None:
+        """Replace the keys of ``batch`` and make the result the newest version.
+
+        ``newest_by`` names a column that decides, instead of arrival, which
+        rows of a key are the newest.
+        """
         require_key(batch, key)
         table_schema, paths, version = self._state(dataset)
         # The parts this batch falls into: one value per day or bucket.
@@ -148,12 +163,17 @@ class Store:
             schema = batch.schema
         else:
             schema = widen_schema(table_schema, batch.schema) if evolve else table_schema
+            if newest_by is not None and newest_by not in schema.names:
+                schema = schema.add(batch.schema[newest_by])
         result = align_columns(batch, schema)
         touched = [paths[p] for p in parts if p in paths]
         if touched:
             # Other parts cannot hold a key of this batch and are not read.
             target = self._scan(schema, touched)
-            result = upsert_by_key(target, result, key, null_safe=null_safe)
+            if newest_by is None:
+                result = upsert_by_key(target, result, key, null_safe=null_safe)
+            else:
+                result = upsert_newest(target, result, key, newest_by)
         self._write(dataset, result, schema, key, version + 1, parts)
 
     def clear(self, dataset: str) -> None:

@@ -12,7 +12,7 @@ from shelfline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "shelfline-tests", partitions=4)
+    session = local_session(8, "shelfline-tests", partitions=2)
     yield session
     session.stop()
 

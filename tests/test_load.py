@@ -69,6 +69,17 @@ def test_overlapping_files_by_file_date(store, drop):
     assert rows(store.read("sales_daily"), "tcin", "sale_quantity") == [(1, 1), (1, 2), (2, 5)]
 
 
+@pytest.mark.parametrize("order_by, units", [("arrival", [1, 8, 9]), ("file_date", [2, 8, 9])])
+def test_late_file(store, drop, order_by, units):
+    drop.put(DAILY.format("04232026"), sales("1|10|2026-04-21|2|1", "2|10|2026-04-21|8|1"), at=1000)
+    sync_folder(store, drop.path, order_by=order_by)
+    drop.put(DAILY.format("04222026"), sales("1|10|2026-04-21|1|1", "3|10|2026-04-21|9|1"), at=2000)
+    sync_folder(store, drop.path, order_by=order_by)
+    got = store.read("sales_daily")
+    assert sorted(r["sale_quantity"] for r in got.collect()) == units
+    assert got.columns == ["tcin", "location_id", "sales_date", "sale_quantity", "sale_amount"]
+
+
 def test_changed_file_loads_again_and_drift_is_reported(store, drop):
     drop.put(DAILY.format("04212026"), sales("1|10|2026-04-21|2|4.0"), at=1000)
     sync_folder(store, drop.path)
