@@ -12,7 +12,8 @@ from shelfline import store as st
 from shelfline.catalog import DATASETS, FILE_NAME_PATTERN
 from shelfline.functions.dates import text_date
 from shelfline.operators import profile, quality
-from shelfline.operators.bounded_sql import run_sql
+from shelfline.operators.bounded_sql import export_csv, run_sql
+from shelfline.operators.paging import page_rows
 from shelfline.operators.upsert import newest_file_rows, upsert_by_key
 from shelfline.plans import load
 from shelfline.plans.adapters import with_views
@@ -638,3 +639,23 @@ _FREE_SQL = """SELECT tcin, SUM(sale_quantity) AS units, COUNT(*) AS line_count
 def _(t):
     t.sales_daily.createOrReplaceTempView("sales_daily")
     return run_sql(t.sales_daily.sparkSession, _FREE_SQL, 200)
+
+
+@register("exported_csv", with_views(
+    f"SELECT tcin, CAST(units AS BIGINT) AS units, line_count FROM ({_FREE_SQL})", "sales_daily"))
+def _(t):
+    spark = t.sales_daily.sparkSession
+    t.sales_daily.createOrReplaceTempView("sales_daily")
+    out = export_csv(spark, _FREE_SQL, shared_folder(spark, "export"), "items.csv",
+                     max_rows=10_000_000)
+    return spark.read.schema("tcin bigint, units bigint, line_count bigint").option(
+        "header", True).csv(out.path)
+
+
+@register("paged_files", _files_sql(
+    """SELECT file_id, file_name, dataset FROM classified WHERE dataset IS NOT NULL
+       ORDER BY file_name, file_id LIMIT 100 OFFSET 200"""))
+def _(t):
+    known = listing.classify(t.listing).filter(F.col("dataset").isNotNull())
+    return page_rows(known.select("file_id", "file_name", "dataset"),
+                     ["file_name", "file_id"], 200, 100)

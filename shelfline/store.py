@@ -32,6 +32,7 @@ from shelfline.operators.upsert import (
 
 PART = "_part"
 NO_DATE = "none"
+BUCKET = "b"
 
 VERSIONS = ("dataset string, part string, version long, path string, key array<string>, "
             "schema string, committed_at timestamp")
@@ -113,13 +114,32 @@ class Store:
     def schema(self, dataset: str) -> T.StructType | None:
         return self._state(dataset)[0]
 
-    def read(self, dataset: str) -> DataFrame | None:
-        """The table, without bookkeeping columns; their names start with ``_``."""
+    def read(self, dataset: str, since: str | None = None,
+             until: str | None = None) -> DataFrame | None:
+        """The table, without bookkeeping columns; their names start with ``_``.
+
+        ``since`` and ``until`` leave out whole parts by their date before any
+        file is opened.  They do not replace a filter on the rows.
+        """
         schema, paths, _ = self._state(dataset)
         if schema is None:
             return None
         shown = [n for n in schema.names if not n.startswith("_")]
-        return self._scan(schema, sorted(paths.values())).select(*shown)
+        kept = [path for part, path in sorted(paths.items())
+                if self._may_hold(part, since, until)]
+        return self._scan(schema, kept).select(*shown)
+
+    def _may_hold(self, part: str, since: str | None, until: str | None) -> bool:
+        if part.startswith(BUCKET) or (since is None and until is None):
+            return True
+        if part == NO_DATE:
+            return False
+        first = str(since or "")[: 7 if self.part_grain == "month" else 10]
+        return part >= first and (until is None or part <= str(until))
+
+    def get_schema(self, dataset: str) -> DataFrame:
+        """Columns and key of a dataset as last registered."""
+        return self.registry().filter(F.col("dataset") == dataset)
 
     def tables(self) -> dict[str, DataFrame]:
         return {d: self.read(d) for d in self.datasets()}
@@ -141,7 +161,7 @@ class Store:
             day = bucket(as_date(df, dated[0]), self.part_grain)
             return F.coalesce(day.cast("string"), F.lit(NO_DATE))
         number = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in key]), F.lit(self.buckets))
-        return F.format_string("b%04d", number)
+        return F.format_string(f"{BUCKET}%04d", number)
 
     def upsert(self, dataset: str, batch: DataFrame, key: Sequence[str], *,
                evolve: bool = True, null_safe: bool = False,

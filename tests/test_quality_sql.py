@@ -8,6 +8,7 @@ from conftest import rows
 from shelfline import store as st
 from shelfline.operators import profile, quality
 from shelfline.operators.bounded_sql import SqlBlocked, check_file_name, export_csv, run_sql
+from shelfline.operators.paging import page
 
 LEDGER = "file_id string, file_name string, dataset string, bytes bigint, downloaded_at timestamp, loaded_at timestamp, row_count bigint, status string"
 
@@ -153,3 +154,17 @@ def test_export(spark, table, tmp_path):
 def test_export_names(name):
     with pytest.raises(ValueError):
         check_file_name(name)
+
+
+def test_pages(table):
+    df = table("a bigint", *[(i,) for i in range(25)])
+    first = page(df, ["a"], 0, 10)
+    assert rows(first.rows) == [(i,) for i in range(10)]
+    assert (first.total, first.has_more, first.next_offset) == (25, True, 10)
+    last = page(df, ["a"], 20, 10)
+    assert [r[0] for r in last.rows.collect()] == list(range(20, 25))
+    assert (last.has_more, last.next_offset) == (False, None)
+    beyond = page(df, ["a"], 30, 10)
+    assert beyond.rows.count() == 0 and not beyond.has_more
+    with pytest.raises(ValueError):
+        page(df, ["a"], -1)

@@ -182,3 +182,15 @@ def test_old_ledger_files_gain_columns(spark, tmp_path):
     old.write.parquet(str(tmp_path / "s/_file_ledger"))
     got = Store(spark, str(tmp_path / "s")).ledger()
     assert "parse_method" in got.columns and got.first()["parse_method"] is None
+
+
+@pytest.mark.parametrize("grain, expected", [("day", [22, 23]), ("month", [21, 22, 23, 24])])
+def test_parts_outside_a_range_are_not_read(spark, tmp_path, table, grain, expected):
+    store = Store(spark, str(tmp_path / "s"), part_grain=grain)
+    store.upsert("sales_daily", table(
+        SALES, *[(1, 1, f"2026-04-{d}", d) for d in (21, 22, 23, 24)], (1, 1, "2026-06-01", 61),
+        (1, 1, None, 0)), KEY)
+    got = store.read("sales_daily", "2026-04-22", "2026-04-23")
+    assert sorted(r["units_sold"] for r in got.collect()) == expected
+    assert store.read("sales_daily", since="2026-05-02").count() == 1
+    assert store.read("sales_daily").count() == 6
