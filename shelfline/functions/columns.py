@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.catalog import DATASETS
-from shelfline.functions.dates import as_date
+from shelfline.functions.dates import as_date, date_of
 
 DATE_ROLES = ("date", "snapshot_date")
 DATE_TOKENS = ("date", "week", "period", "as_of", "effective")
@@ -71,6 +71,14 @@ def conform(df: DataFrame, dataset: str, required: Sequence[str],
     left out.  ``also`` adds expressions over the delivered columns.
     """
     extra = extra or {}
+    dated = [find_column(df, dataset, r, extra.get(r, ()))
+             for r in DATE_ROLES if r in (*required, *optional)]
+    texts = [n for n in dated if n and isinstance(df.schema[n].dataType, T.StringType)]
+    if texts:
+        # Text is read once per row, however often filters and keys use it.
+        renamed = {name: f"_{name}_text" for name in texts}
+        df = fixed(df.withColumnsRenamed(renamed), **{
+            name: date_of(F.col(renamed[name]), T.StringType()) for name in texts})
     picked = [role_column(df, dataset, r, extra.get(r, ())).alias(r) for r in required]
     for role in optional:
         if find_column(df, dataset, role, extra.get(role, ())) is not None:
@@ -78,6 +86,17 @@ def conform(df: DataFrame, dataset: str, required: Sequence[str],
     return df.select(*picked, *also)
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that the optimizer does not merge into later expressions.
+
+    A costly expression behind a plain column is copied into every filter and
+    key that mentions the column.  ``inline`` over one struct keeps it in one
+    place; filters on other columns still pass below it.
+    """
+    values = [c.alias(n) for n, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*values))))
+
+
 def detect_date_column(df: DataFrame, dataset: str | None = None) -> str | None:
     """The column that best dates the rows of a table, or None.
 

@@ -31,10 +31,12 @@ def date_of(column: Column, data_type: T.DataType) -> Column:
 def iso_date(text: Column) -> Column:
     """``yyyy-M-d`` text as a DATE, else NULL.
 
-    The shape is tested first and the plain cast does the rest.  A formatter
-    would raise and catch an exception for every cell that is no date.
+    The shape is tested first, as the cast alone would read a year and month as
+    a date.  A formatter would raise and catch an exception for every cell that
+    is no date.
     """
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
+    shaped = F.length(text).between(8, 10) & (F.substring(text, 5, 1) == "-")
+    return F.when(shaped, text.try_cast("date"))
 
 
 def as_date(df: DataFrame, name: str) -> Column:

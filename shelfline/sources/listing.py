@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.catalog import DATASETS, FILE_NAME_PATTERN, PLANNING_BODY_PATTERN
+from shelfline.functions.columns import fixed
 from shelfline.functions.dates import file_date
 
 
@@ -59,14 +60,14 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     body = F.when(F.col("_day").isNotNull(), F.upper(piece(2)))
     # Each step is fixed as columns, so that neither the next one nor a later
     # filter or join runs the pattern again.
-    named = _fix(files, file_name=base_name(F.col(path)))
-    named = _fix(named, _pieces=F.split(taken_apart, mark))
-    named = _fix(named, _digits=piece(3), tier=F.nullif(piece(0), F.lit("")),
+    named = fixed(files, file_name=base_name(F.col(path)))
+    named = fixed(named, _pieces=F.split(taken_apart, mark))
+    named = fixed(named, _digits=piece(3), tier=F.nullif(piece(0), F.lit("")),
                  bpid=F.nullif(piece(1), F.lit("")))
-    named = _fix(named, _day=file_date(F.col("_digits")))
-    named = _fix(named, _body=body)
+    named = fixed(named, _day=file_date(F.col("_digits")))
+    named = fixed(named, _body=body)
     tiered = F.col("tier").isNotNull()
-    named = _fix(named, dataset=F.when(tiered, F.coalesce(lookup(True), planning))
+    named = fixed(named, dataset=F.when(tiered, F.coalesce(lookup(True), planning))
                  .otherwise(lookup(False)))
     known = F.col("dataset").isNotNull()
     return named.withColumns({
@@ -75,12 +76,6 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     }).drop("_pieces", "_digits", "_day", "_body")
 
 
-def _fix(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that the optimizer does not merge into later expressions."""
-    values = [c.alias(n) for n, c in columns.items()]
-    return df.select("*", F.inline(F.array(F.struct(*values))))
-
-
 def filter_datasets(classified: DataFrame, wanted: Iterable[str] | None) -> DataFrame:
     """Requested datasets, plus unknown names, which are counted apart."""
     if wanted is None:
