@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,75 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     return bpe.digest(_table(spark, folder, "documents"),
                       public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+
+
+#: Shards of the registered placement.
+SHARDS = [f"shard-{i:02d}" for i in range(48)]
+
+
+@_query
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.place(_table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def _sharding_sql() -> str:
+    from . import sharding
+
+    slot = f"('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE}"
+    return (f"WITH held AS (SELECT {sharding.fill(SHARDS)} AS shards) "
+            f"SELECT doc_id, {slot} AS slot, shards[{slot} + 1]::INTEGER AS shard FROM documents, held")
+
+
+SQL["op2_sharding"] = _sharding_sql()
+
+
+@_query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
+@_query
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op9_neighbours"] = """
+WITH rows AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@_query
+def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
+    from . import naming
+
+    return naming.exact_duplicates(_table(spark, folder, "documents"))
+
+
+SQL["op6_exact"] = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+ranked AS (
+  SELECT doc_id, bare,
+         first_value(doc_id) OVER (PARTITION BY bare ORDER BY points DESC, doc_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
+         count(*) OVER (PARTITION BY bare) AS group_size FROM texts)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked
+"""

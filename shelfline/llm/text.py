@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _draw = np.random.Generator(np.random.PCG64(20))
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +55,7 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def passes(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about PASS_BYTES of ``column``, a long text alone."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = 0
     while start < len(sizes):
         run = np.cumsum(sizes[start:start + 4096], dtype=np.int64)
@@ -65,7 +66,7 @@ def passes(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts and the n+1 offsets into them; null is empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
