@@ -105,9 +105,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", v
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("_asks")).first()
     q_blocks, c_blocks = 1 + asked // QUERY_BLOCK, 1 + n // CANDIDATE_BLOCK
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # A query row has one key in all blocks of candidates, so it is given before the row is repeated.
     queries = rows.where("_asks").select(
-        "_id", "_vector", F.monotonically_increasing_id().alias("_key"),
-        F.pmod("_key", F.lit(q_blocks)).cast("int").alias("_q"), every(c_blocks).alias("_c"))
+        "_id", "_vector", F.monotonically_increasing_id().alias("_row"),
+        F.pmod("_key", F.lit(q_blocks)).cast("int").alias("_q")).select(
+        "_id", "_vector", F.col("_row").alias("_key"), "_q", every(c_blocks).alias("_c"))
     candidates = rows.select(
         "_id", "_vector", "_key", F.pmod(F.xxhash64("_key"), F.lit(c_blocks)).cast("int").alias("_c"),
         every(q_blocks).alias("_q"))

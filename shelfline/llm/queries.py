@@ -100,3 +100,13 @@ ranked AS (
          count(*) OVER (PARTITION BY bare) AS group_size FROM texts)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked
 """
+
+
+@_query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from . import toxicity
+
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = toxicity.score(_table(spark, folder, "documents").select("doc_id", "text"),
+                            _table(spark, folder, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -7,6 +7,7 @@ modulo 2**64, so one cumulative sum hashes every word of a batch of texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,3 +114,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
             yield mix((words[a:b] * _ODD[2:2 + b - a]).sum(keepdims=True) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+#: Bytes of one text that are split into words at a time.
+RUN_BYTES = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes) -> Iterator[list[bytes]]:
+    """The words of ``text``, A-Z lower-cased, in lists of bounded size."""
+    if len(text) <= RUN_BYTES:
+        yield text.lower().split()
+        return
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + RUN_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
