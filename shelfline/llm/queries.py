@@ -110,3 +110,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(_table(spark, folder, "documents").select("doc_id", "text"),
                             _table(spark, folder, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(_table(spark, folder, "documents"), width=4, percent=80)
