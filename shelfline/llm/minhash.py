@@ -96,7 +96,10 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 signature = signatures([sets[i] for i in full]) if full else np.zeros((0, BANDS * ROWS), np.uint32)
                 digests: list = [None] * len(sets)
                 sketches, bands = list(digests), list(digests)
-                for i, sketch, band in zip(full, signature.astype(np.uint8), _bands(signature), strict=True):
+                hashes = _bands(signature)
+                # A byte of every coordinate, then 32 bits of every band.
+                bytes_ = np.hstack([signature.astype(np.uint8), hashes.astype(np.uint32).view(np.uint8)])
+                for i, sketch, band in zip(full, bytes_, hashes, strict=True):
                     digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     sketches[i], bands[i] = sketch.tobytes(), band
                 yield pa.RecordBatch.from_arrays(
@@ -181,8 +184,9 @@ def likely_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray
     components that share no earlier band, the likeliest first."""
     band, bucket, tile, side, component = (
         batch.column(c).to_numpy() for c in ("band", "bucket", "tile", "side", "component"))
-    sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    words = sketch.view(np.uint32)
+    sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(band), -1)
+    words = np.ascontiguousarray(sketch[:, BANDS * ROWS:]).view(np.uint32)
+    sketch = np.ascontiguousarray(sketch[:, :BANDS * ROWS])
     new = np.concatenate([[True], (band[1:] != band[:-1]) | (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])])
     starts = np.flatnonzero(new)
     group = np.cumsum(new) - 1
