@@ -117,3 +117,13 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from . import minhash
 
     return minhash.near_duplicates(_table(spark, folder, "documents"), width=4, percent=80)
+
+
+@_query
+def op8_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    from . import backoff
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = backoff.score(_table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
