@@ -127,3 +127,11 @@ def op8_backoff(spark: SparkSession, folder: str) -> DataFrame:
     scored = backoff.score(_table(spark, folder, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
+
+
+@_query
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from . import lines
+
+    return lines.line_duplicates(_table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))
