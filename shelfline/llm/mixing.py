@@ -30,7 +30,7 @@ from shelfline.session import written
 
 WEIGHTS = (3, 1, 2)
 #: Documents of a bucket on the tree's lowest level, and open ones on the others.
-LEAF, FAN = 20_000, 512
+LEAF, FAN = 2_000, 512
 
 
 def words(text: Column) -> Column:

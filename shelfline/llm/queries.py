@@ -135,3 +135,10 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     return lines.line_duplicates(_table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.length("text").alias("n_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.digest(_table(spark, folder, "documents"))
