@@ -8,9 +8,9 @@ coordinates make buckets.  A pair at similarity 0.8 misses every bucket with a
 probability of 3 in a million.
 
 1. Equal sets (by a 128-bit digest) are one class; its smallest id stands for it.
-2. In the buckets of the first bands, sketches (a byte of each coordinate) tell
-   which members are likely links, and a spanning forest of these is verified
-   on the full sets.  So a group of m near copies costs about m checks.
+2. Sketches (a byte of each coordinate) tell which members of a bucket are
+   likely links.  Of these, in the first bands, a spanning forest is verified on
+   the full sets.  So a group of m near copies costs about m checks.
 3. Links give components.  In all buckets whose members lie in more than one
    component, every likely pair across components is verified on the full sets,
    inside the task that has the bucket.  A link that could still join two
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfline.session import written
 
 from .graph import components
+from .joins import listed
 from .text import buffers, passes, shingle_sets
 
 BANDS, ROWS = 24, 4
@@ -225,11 +226,17 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the likely pairs of each bucket."""
+    """A spanning forest of the likely pairs of each bucket of the first bands;
+    of the others every row in a likely pair, paired with itself."""
     for batch in _buckets(batches):
         ids, a, b = batch.column("id").to_numpy(), [], []
-        component = batch.column("component").to_numpy()
+        component, band = batch.column("component").to_numpy(), batch.column("band").to_numpy()
         for left, right, _ in likely_pairs(batch):
+            if band[left[0]] >= FIRST:
+                some = ids[np.unique(np.concatenate([left, right]))].tolist()
+                a += some
+                b += some
+                continue
             forest = _Forest()
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
                 if forest.join(component[i], component[j]):
@@ -304,11 +311,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = written(single.select("id", "sketch").join(shared, "id").select(
         "id", "sketch", F.explode("places").alias("p")).select("id", "sketch", "p.band", "p.bucket"), "minhash-members")
 
-    first = _in_buckets(members.where(F.col("band") < FIRST).withColumn("component", F.col("id")), sizes)
+    first = _in_buckets(members.withColumn("component", F.col("id")), sizes)
     pairs = written(first.mapInArrow(_forests, "a long, b long"), "minhash-forest")
-    texts = docs.select("doc_id", "text")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(full_sets(texts.join(involved, F.col("doc_id") == F.col("id"), "left_semi"), width), "minhash-sets")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = written(full_sets(listed(docs.select("doc_id", "text"), involved, "minhash-involved"), width), "minhash-sets")
+    pairs = pairs.where("a <> b")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     links = written(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(
@@ -322,8 +329,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "low <> high").select("band", "bucket", "n")
     rest = _in_buckets(told, open_)
     likely = written(rest.mapInArrow(_likely_members, _schema(rest)), "minhash-likely")
-    missing = likely.select("id").distinct().join(involved, "id", "left_anti")
-    sets = sets.unionByName(full_sets(texts.join(missing, F.col("doc_id") == F.col("id"), "left_semi"), width))
     more = likely.join(sets, F.col("id") == F.col("doc_id")).drop("doc_id").repartition(
         "band", "bucket", "tile").sortWithinPartitions("band", "bucket", "tile", "id").mapInArrow(
         _links(percent), "a long, b long")
