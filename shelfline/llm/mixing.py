@@ -165,16 +165,13 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     number of copies.  Rows that share an id get the counts of that id's rows in
     the order of their sizes and hashes.
     """
-    def nth(*order: str) -> Column:
-        return F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-
     counts = mix(docs, **how).select(
-        F.col("doc_id").alias("_id"), "size",
-        (F.col("copies") + F.when((F.col("size") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).alias("_n"))
-    counts = counts.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("size", "_n")))
-    ranked = docs.withColumn("_size", words(F.col("text")))
-    ranked = ranked.withColumn("_nth", nth("_size", F.xxhash64(*docs.columns)))
-    return (ranked.join(counts.select("_id", F.col("_nth").alias("_other"), "_n"),
-                        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_other")))
-            .withColumn("_copy", F.explode(F.expr("sequence(1, greatest(_n, 1))")))
-            .where("_n > 0").select(*docs.columns))
+        F.col("doc_id").alias("id"), "size",
+        (F.col("copies") + F.when((F.col("size") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).alias("n"))
+    counts = counts.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("size", "n")))
+    # The rows travel as one column, so no name of theirs can clash.
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").alias("own"),
+                       words(F.col("text")).alias("words"), F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("hash"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("words", "hash")))
+    return (rows.join(counts, F.col("own").eqNullSafe(F.col("id")) & (F.col("place") == F.col("nth")))
+            .where("n > 0").withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).select("row.*"))

@@ -113,5 +113,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; ids must be distinct."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    gone = exact_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
