@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .workers import found_by_workers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -16,7 +18,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__] = found_by_workers(function)
     return function
 
 
