@@ -17,15 +17,14 @@ WEEKDAYS = {"SUN": 1, "MON": 2, "TUE": 3, "WED": 4, "THU": 5, "FRI": 6, "SAT": 7
 def date_of(column: Column, data_type: T.DataType) -> Column:
     """``column`` as a DATE.
 
-    Typed dates pass, timestamps lose their time of day, and text must read
-    ``yyyy-MM-dd``, with or without a time after a blank; anything else becomes
-    NULL instead of failing the job.
+    Typed dates pass, timestamps lose their time of day, and text is read by
+    ``text_date``; anything else becomes NULL instead of failing the job.
     """
     if isinstance(data_type, T.DateType):
         return column
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(column)
-    return iso_date(F.split_part(F.trim(column.cast("string")), F.lit(" "), F.lit(1)))
+    return text_date(column.cast("string"))
 
 
 def iso_date(text: Column) -> Column:
@@ -82,8 +81,12 @@ def file_date(digits: Column) -> Column:
 
 
 def text_date(column: Column) -> Column:
-    """Text dates in the three spellings that extracts use."""
-    head = F.substring(column, 1, 10)
-    year_first = F.translate(head, "/", "-")
-    month_first = F.regexp_replace(head, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
-    return F.coalesce(iso_date(year_first), iso_date(month_first))
+    """Text dates in the spellings that extracts use: ``y-m-d``, ``y/m/d`` and ``m/d/y``.
+
+    A time of day may follow a blank or a T; anything else after the date makes
+    the text no date.
+    """
+    day = F.regexp_replace(F.trim(column), r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", "")
+    year_first = F.regexp_replace(day, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
+    month_first = F.regexp_replace(year_first, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
+    return iso_date(month_first)

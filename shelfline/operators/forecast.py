@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.columns import conform, find_column, one_of, resolve_column
+from shelfline.catalog import DATASETS
+from shelfline.functions.columns import conform, find_column, first_present, one_of, resolve_column
 from shelfline.functions.dates import as_date, today_or
 from shelfline.functions.latest import recency
 from shelfline.operators.tables import first_table
@@ -124,12 +125,13 @@ def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int = 12,
 
 def recent_weeks(tables: Mapping[str, DataFrame], weeks: int = 8,
                  today=None) -> DataFrame | None:
-    """Weekly sales of the trailing weeks; None without a ``week_end_date``."""
+    """Weekly sales of the trailing weeks, by whichever date column they have; None without one."""
     sales = tables.get("sales_weekly")
-    if sales is None or "week_end_date" not in sales.columns:
+    day = None if sales is None else first_present(DATASETS["sales_weekly"].roles["date"], sales.columns)
+    if day is None:
         return None
     since = F.date_sub(today_or(today), 7 * weeks)
-    return sales.filter(as_date(sales, "week_end_date") >= since)
+    return sales.filter(as_date(sales, day) >= since)
 
 
 def register_recent_view(tables: Mapping[str, DataFrame], name: str = "v_sales_recent_8w",

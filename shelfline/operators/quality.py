@@ -58,7 +58,7 @@ def no_orphan_files(listed: DataFrame, ledger: DataFrame, sample: int = 3) -> Da
     both = both.unionByName(first.withColumn("n", F.lit(None).cast("bigint")))
     facts = both.agg(F.max("n").alias("n"), F.max("names").alias("names"))
     n = F.col("n")
-    more = F.when(n > sample, F.concat(F.lit(" (+"), n - sample, F.lit(" more)"))).otherwise("")
+    more = F.when(n > sample, F.concat(F.lit(", and "), n - sample, F.lit(" others"))).otherwise("")
     return _check(
         "no_orphan_files", facts, n > 0,
         F.concat(n.cast("string"), F.lit(" files not in the ledger: "), "names", more),

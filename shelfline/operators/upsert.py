@@ -34,9 +34,21 @@ def align_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def widen_schema(table: T.StructType, incoming: T.StructType) -> T.StructType:
-    """The table's columns with their types, then the new ones."""
-    known = set(table.names)
-    return T.StructType([*table.fields, *[f for f in incoming.fields if f.name not in known]])
+    """The table's columns, then the new ones.
+
+    A whole-number column that now gets fractions becomes DOUBLE; other types
+    stay those of the table.
+    """
+    known = {f.name: f.dataType for f in incoming.fields}
+
+    def wider(old: T.StructField) -> T.StructField:
+        new = known.get(old.name)
+        if isinstance(old.dataType, T.LongType) and isinstance(new, T.DoubleType):
+            return T.StructField(old.name, new)
+        return old
+
+    added = [f for f in incoming.fields if f.name not in table.names]
+    return T.StructType([*map(wider, table.fields), *added])
 
 
 def same_key(left: str, right: str, key: Sequence[str], null_safe: bool = False) -> Column:

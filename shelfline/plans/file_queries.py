@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfline import store as st
 from shelfline.catalog import DATASETS, FILE_NAME_PATTERN
-from shelfline.functions.dates import text_date
+from shelfline.functions.dates import as_date, text_date
 from shelfline.operators import profile, quality
 from shelfline.operators.bounded_sql import export_csv, run_sql
 from shelfline.operators.paging import page_rows
@@ -438,6 +438,68 @@ def _(t):
     return table.read("sales_daily")
 
 
+@register("stored_key_rename", with_views(_UPSERT, "sales_daily", b=_BATCH))
+def _(t):
+    """The second delivery heads the date of the key differently."""
+    old, new = _slices(t)
+    spark = old.sparkSession
+    table = st.Store(spark, shared_folder(spark, "store"), part_grain="month")
+    table.upsert("sales_daily", old, _KEY)
+    renamed = [*_KEY[:2], "sale_date"]
+    table.upsert("sales_daily", new.withColumnRenamed("sales_date", "sale_date"), renamed)
+    return table.read("sales_daily")
+
+
+@register("stored_other_grain", with_views(_UPSERT, "sales_daily", b=_BATCH))
+def _(t):
+    """The second writer is set to other parts; the table keeps its own."""
+    old, new = _slices(t)
+    spark = old.sparkSession
+    folder = shared_folder(spark, "store")
+    st.Store(spark, folder, part_grain="month", buckets=64).upsert("sales_daily", old, _KEY)
+    table = st.Store(spark, folder, part_grain="day", buckets=16)
+    table.upsert("sales_daily", new, _KEY)
+    return table.read("sales_daily")
+
+
+@register("stored_missing_and_new_columns", with_views(
+    """SELECT tcin, location_id, sales_date, sale_quantity, sale_amount,
+              CAST(NULL AS DOUBLE) AS margin FROM sales_daily t
+       WHERE sales_date <= DATE '2000-12-31' AND NOT EXISTS (
+           SELECT 1 FROM b WHERE b.tcin = t.tcin AND b.location_id = t.location_id
+                             AND b.sales_date = t.sales_date)
+       UNION ALL
+       SELECT tcin, location_id, sales_date, sale_quantity, NULL, sale_quantity / 2.0 FROM b""",
+    "sales_daily", b=_BATCH))
+def _(t):
+    """The second delivery lacks a column and brings a new one."""
+    old, new = _slices(t)
+    spark = old.sparkSession
+    table = st.Store(spark, shared_folder(spark, "store"), part_grain="month")
+    table.upsert("sales_daily", old, _KEY)
+    new = new.drop("sale_amount").withColumn("margin", (F.col("sale_quantity") / 2).cast("double"))
+    table.upsert("sales_daily", new, _KEY)
+    return table.read("sales_daily")
+
+
+@register("text_date_spellings",
+          """SELECT o_orderkey, CASE WHEN o_orderkey % 6 >= 4 THEN NULL
+                                     ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def _(t):
+    """The analytic reader takes all spellings, with a time too, and no longer text."""
+    key = F.col("o_orderkey") % 6
+    text = (
+        F.when(key == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(key == 1, F.date_format("o_orderdate", "yyyy/MM/dd"))
+        .when(key == 2, F.date_format("o_orderdate", "M/d/yyyy"))
+        .when(key == 3, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .when(key == 4, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("0")))
+        .otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    )
+    named = t.raw("orders").select("o_orderkey", text.alias("day"))
+    return named.select("o_orderkey", as_date(named, "day").alias("day"))
+
+
 @register("stream_upsert", with_views("SELECT * FROM sales_daily", "sales_daily"))
 def _(t):
     spark = t.sales_daily.sparkSession

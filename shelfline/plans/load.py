@@ -24,7 +24,8 @@ ORDERS = {
     "arrival": ["modified_at", "file_name"],
     "file_date": ["file_date", "modified_at", "file_name"],
 }
-FILE_DATE = "_file_date"
+# No header normalises to a name with a leading underscore.
+FILE_ID, FILE_DATE = "_file_id", "_file_date"
 SUMMARY = ("files_found", "files_new", "files_loaded", "files_failed", "files_skipped",
            "files_unknown")
 
@@ -62,11 +63,9 @@ def file_states(listed: DataFrame, report: DataFrame) -> DataFrame:
     ``row_count``, ``primary_error`` and ``load_error``.
     """
     failed = (F.col("method") == "failed") | F.col("load_error").isNotNull()
-    fallback = F.concat(
-        F.lit("loaded via fallback method="), F.col("method"),
-        F.lit("; skipped "), F.coalesce(F.col("skipped_rows"), F.lit(0)).cast("string"),
-        F.lit(" rows; primary error: "), F.coalesce(F.col("primary_error"), F.lit("none")),
-    )
+    fallback = F.format_string(
+        "read as %s, %d rows left out, because: %s", F.col("method"),
+        F.coalesce(F.col("skipped_rows"), F.lit(0)), F.coalesce(F.col("primary_error"), F.lit("-")))
     message = (
         F.when(F.col("load_error").isNotNull(), F.concat(F.lit("load: "), "load_error"))
         .when(F.col("method") == "failed", F.concat(F.lit("parse: "), "primary_error"))
@@ -150,8 +149,12 @@ def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None =
             # An archive can break after its first lines were read.
             good = good.join(broken.select("file_id"), "file_id", "left_anti")
         for name in sorted(by_dataset):
-            reports += _load_dataset(store, name, good, by_dataset[name], listed, order_by,
-                                     evolve, drift)
+            try:
+                reports += _load_dataset(store, name, good, by_dataset[name], listed, order_by,
+                                         evolve, drift)
+            except Exception as e:  # noqa: BLE001 - one dataset must not stop the others
+                files = good.filter(F.col("dataset") == name).select("file_id").distinct()
+                reports.append(_failed(files.withColumn("error", F.lit(f"{type(e).__name__}: {e}"))))
 
     states = listed.select("file_id", "file_name", "dataset", "state")
     if reports:
@@ -205,14 +208,15 @@ def _load_dataset(store: Store, name: str, lines: DataFrame, layouts, listed: Da
     for key, group in by_key.items():
         numbers = [x.number for x in group]
         mine = lines.filter(F.col("layout").isin(numbers))
-        cells = delimited.text_cells(mine, group, ["file_id"])
+        cells = delimited.text_cells(mine.withColumnRenamed("file_id", FILE_ID), group, [FILE_ID])
         names = delimited.column_order(group)
-        types = delimited.choose_types(cells, names, store.schema(name))
-        rows = delimited.cast_cells(cells, types, ["file_id"])
+        types = delimited.choose_types(cells, names, store.schema(name), evolve)
+        rows = delimited.cast_cells(cells, types, [FILE_ID])
         # Files with a header and nothing below it still count as read.
-        headers = mine.filter(F.col("line_no") == 0).select("file_id")
+        headers = mine.filter(F.col("line_no") == 0).select("file_id").distinct()
+        parsed = delimited.parse_report(rows, FILE_ID).withColumnRenamed(FILE_ID, "file_id")
         report = written(
-            headers.join(delimited.parse_report(rows), "file_id", "left").fillna(
+            headers.join(parsed, "file_id", "left").fillna(
                 {"method": "strict", "skipped_rows": 0, "row_count": 0}
             ),
             "parse",
@@ -239,16 +243,17 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
     n_files, n_distrusted = report.agg(F.count("*"), F.count_if(distrusted)).first()
     if n_distrusted:
         skip = report.filter(distrusted).select(F.col("file_id").alias("_skip"))
-        rows = rows.join(skip, (F.col("file_id") == F.col("_skip")) & F.col("_long"), "left_anti")
+        rows = rows.join(skip, (F.col(FILE_ID) == F.col("_skip")) & F.col("_long"), "left_anti")
     by_date = order_by == "file_date"
-    order = ORDERS[order_by]
+    order = [f"_{c}" for c in ORDERS[order_by]]
     if n_files > 1 or by_date:
-        rows = rows.join(listed.select("file_id", *order), "file_id")
+        facts = listed.select(F.col("file_id").alias(FILE_ID),
+                              *[F.col(c).alias(f"_{c}") for c in ORDERS[order_by]])
+        rows = rows.join(facts, FILE_ID)
     if n_files > 1:
-        rows = newest_file_rows(rows, key, "file_id", order)
+        rows = newest_file_rows(rows, key, FILE_ID, order)
     if by_date:
         # Kept in the table, so that a late file meets the dates of earlier loads.
-        rows = rows.withColumnRenamed("file_date", FILE_DATE)
         store.upsert(name, rows.select(*names, FILE_DATE), key, evolve=evolve,
                      newest_by=FILE_DATE)
     else:
@@ -286,7 +291,7 @@ def _register(store: Store, name: str, lines: DataFrame, listed: DataFrame, layo
 
 
 def sync_folder(store: Store, root: str, datasets: Iterable[str] | None = None,
-                triggered_by: str = "manual", max_depth: int = 3, **options) -> LoadResult:
+                triggered_by: str = "manual", max_depth: int | None = None, **options) -> LoadResult:
     """Load what is new below a drop folder."""
     files = listing.list_source_files(store.spark, root, max_depth)
     return load_files(store, files, datasets, triggered_by, **options)

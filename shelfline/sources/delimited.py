@@ -91,11 +91,15 @@ class Layout:
 
 
 def _unique(names: Iterable[str]) -> tuple[str, ...]:
-    seen: dict[str, int] = {}
-    out = []
+    """Each name once: a repeated one gets the next number that no name has."""
+    names, out = list(names), []
+    taken = set(names)
     for name in names:
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        own, number = name, 1
+        while own in out or (number > 1 and own in taken):
+            number += 1
+            own = f"{name}_{number}"
+        out.append(own)
     return tuple(out)
 
 
@@ -180,7 +184,8 @@ def typed(cell: Column, data_type: T.DataType) -> Column:
         return iso_date(cell)
     if isinstance(data_type, T.LongType):
         number = F.when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
-        return F.coalesce(cell.try_cast("bigint"), number.try_cast("bigint"))
+        # 5.0 is a whole number, 5.5 is none; it must not lose its fraction.
+        return F.coalesce(cell.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
     if isinstance(data_type, T.DoubleType):
         return F.when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
     if isinstance(data_type, T.BooleanType):
@@ -220,21 +225,34 @@ def infer_types(cells: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]
 
 
 def choose_types(cells: DataFrame, names: Sequence[str],
-                 table: T.StructType | None = None) -> dict[str, T.DataType]:
-    """The table's type where it has the column, else the name's, else the values'."""
+                 table: T.StructType | None = None, evolve: bool = False) -> dict[str, T.DataType]:
+    """The table's type where it has the column, else the name's, else the values'.
+
+    With ``evolve`` a whole-number column of the table, typed by its values,
+    becomes DOUBLE where the new values have fractions.
+    """
     fixed = {f.name: f.dataType for f in table.fields} if table is not None else {}
     chosen = {n: fixed.get(n) or hinted_type(n) for n in names}
-    chosen.update(infer_types(cells, [n for n in names if chosen[n] is None]))
+    widen = [n for n in names if evolve and hinted_type(n) is None and isinstance(fixed.get(n), T.LongType)]
+    found = infer_types(cells, [n for n in names if chosen[n] is None] + widen)
+    chosen.update({n: t for n, t in found.items() if n not in widen or isinstance(t, T.DoubleType)})
     return chosen
 
 
 def cast_cells(cells: DataFrame, types: Mapping[str, T.DataType],
                keep: Sequence[str]) -> DataFrame:
-    """Typed columns, plus ``_bad``: values lost to a type the name did not promise."""
+    """Typed columns, plus ``_bad``: values that their column's type cannot hold.
+
+    Where only the name promised the type, text that is no such value is NULL
+    and no fault; a number that does not fit a whole-number column is one.
+    """
+    def lost_value(name: str, kind: T.DataType) -> Column:
+        lost = F.col(name).isNotNull() & typed(F.col(name), kind).isNull()
+        return lost if hinted_type(name) is None else lost & F.col(name).rlike(NUMBER_PATTERN)
+
     lost = [
-        (F.col(n).isNotNull() & typed(F.col(n), t).isNull()).cast("int")
-        for n, t in types.items()
-        if hinted_type(n) is None and not isinstance(t, T.StringType)
+        lost_value(n, t).cast("int") for n, t in types.items()
+        if not isinstance(t, T.StringType) and (hinted_type(n) is None or isinstance(t, T.LongType))
     ]
     bad = sum(lost, F.lit(0))
     return cells.select(

@@ -13,8 +13,8 @@ from shelfline.functions.columns import fixed
 from shelfline.functions.dates import file_date
 
 
-def list_source_files(spark: SparkSession, root: str, max_depth: int = 3) -> DataFrame:
-    """Files below ``root`` in at most ``max_depth`` nested folders, without content."""
+def list_source_files(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
+    """Files below ``root``, without content; in at most ``max_depth`` nested folders if given."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -25,12 +25,17 @@ def list_source_files(spark: SparkSession, root: str, max_depth: int = 3) -> Dat
     return within_depth(files, root, max_depth)
 
 
-def within_depth(files: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
-    """Keep files whose path has at most ``max_depth`` folders below ``root``."""
-    plain_root = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/")
-    inside = F.substring_index("path", plain_root + "/", -1)
+def within_depth(files: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
+    """Keep files whose path has at most ``max_depth`` folders below ``root``; all without one."""
+    if max_depth is None:
+        return files
+    plain = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
+    plain_root = re.sub(plain, "", root).rstrip("/") + "/"
+    # The root is the beginning of the path, whatever folders below it are called.
+    path = F.regexp_replace("path", plain, "")
+    inside = F.substring(path, len(plain_root) + 1, 1 << 30)
     folders = F.length(inside) - F.length(F.translate(inside, "/", ""))
-    return files.filter(F.contains("path", F.lit(plain_root + "/")) & (folders <= max_depth))
+    return files.filter(path.startswith(plain_root) & (folders <= max_depth))
 
 
 def base_name(path: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import lzma
+import struct
 import sys
 import zipfile
 import zlib
@@ -33,31 +35,32 @@ LINE_SCHEMA = "file_id string, member string, layout long, line_no long, line st
 _CHARS = 4_000_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UNREADABLE = (
-    zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError,
+    zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError,
+    NotImplementedError, RuntimeError, OSError, ValueError,
 )
 
 
-def data_member(archive: zipfile.ZipFile) -> zipfile.ZipInfo:
-    """The first file that is no checksum or signature, else the first file."""
+def data_members(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """All files that are no checksum or signature, else the first file."""
     files = [m for m in archive.infolist() if not m.is_dir()]
     if not files:
         raise zipfile.BadZipFile("the archive holds no file")
     data = [m for m in files if not m.filename.lower().endswith(SIDECAR_SUFFIXES)]
-    return (data or files)[0]
+    return data or files[:1]
 
 
 def _chunks(content: bytes) -> Iterator[tuple[str, list[str]]]:
     """``(member, non-blank lines)`` in pieces, inflated as they are read."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        member = data_member(archive)
-        with archive.open(member) as raw:
-            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-            rest = ""
-            while piece := text.read(_CHARS):
-                *whole, rest = (rest + piece).split("\n")
-                yield member.filename, [x for x in whole if x.strip(" ")]
-            if rest.strip(" "):
-                yield member.filename, [rest]
+        for member in data_members(archive):
+            with archive.open(member) as raw:
+                text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+                rest = ""
+                while piece := text.read(_CHARS):
+                    *whole, rest = (rest + piece).split("\n")
+                    yield member.filename, [x for x in whole if x.strip(" ")]
+                if rest.strip(" "):
+                    yield member.filename, [rest]
 
 
 def _layout(header: str) -> int:
@@ -86,25 +89,26 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for file_id, content in zip(batch.column("file_id"), batch.column("content")):
-            file_id, number, layout = file_id.as_py(), 0, None
+            file_id, number, layout, reading = file_id.as_py(), 0, None, None
             try:
                 for member, lines in _chunks(content.as_py()):
                     if not lines:
                         continue
-                    if layout is None:
-                        layout = _layout(lines[0])
+                    if member != reading:
+                        # Every member has a header of its own, its line 0.
+                        number, layout, reading = 0, _layout(lines[0]), member
                     yield rows(file_id, member, layout, number, lines)
                     number += len(lines)
-                if not number:
+                if reading is None:
                     yield rows(file_id, None, None, -1, [None], "the file holds no line")
             except _UNREADABLE as e:
                 yield rows(file_id, None, None, -1, [None], f"{type(e).__name__}: {e}")
 
 
 def read_zip_lines(files: DataFrame) -> DataFrame:
-    """Lines of the data member of every archive in ``(file_id, content)``.
+    """Lines of the data members of every archive in ``(file_id, content)``.
 
-    Line 0 is the header.  An unreadable archive gives one row with ``error``
+    Line 0 of each member is its header.  An unreadable archive gives one row with ``error``
     and line number -1.  An archive can only be inflated from its start, so one
     task reads one archive; lines leave in small batches, and memory holds the
     compressed bytes plus one batch.

@@ -7,13 +7,19 @@ appended file of the version list makes them visible, so readers never see half
 a load, running queries keep their files, and a job that dies leaves the table
 as it was.
 
-One writer per table at a time, as with any load job.
+How a table is cut into parts (column, grain, number of buckets) is fixed when
+it is created and stored with it; later loads follow it whatever they are told.
+A load that finds its table changed since it read it raises, and a version
+folder's name is unique, so two writers never touch each other's files.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +41,8 @@ NO_DATE = "none"
 BUCKET = "b"
 
 VERSIONS = ("dataset string, part string, version long, path string, key array<string>, "
-            "schema string, committed_at timestamp")
+            "schema string, committed_at timestamp, part_column string, part_grain string, "
+            "buckets int")
 LEDGER = ("file_id string, file_name string, folder_id string, dataset string, file_date date, "
           "bytes bigint, fingerprint string, downloaded_at timestamp, loaded_at timestamp, "
           "row_count bigint, status string, error_message string, parse_method string")
@@ -52,6 +59,59 @@ def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+class TableChanged(RuntimeError):
+    """Another writer committed between the read and the commit of this one."""
+
+
+@dataclass(frozen=True)
+class PartRule:
+    """How rows fall into parts: by a date column, or by a hash of the key."""
+
+    key: tuple[str, ...]
+    column: str | None
+    grain: str
+    buckets: int
+
+    @staticmethod
+    def of(schema: T.StructType, key: Sequence[str], grain: str, buckets: int) -> PartRule:
+        dated = [c for c in key if isinstance(schema[c].dataType, T.DateType)]
+        dated += [c for c in key if c not in dated and c.endswith(("_date", "_dt", "_d"))]
+        return PartRule(tuple(key), dated[0] if dated else None, grain, buckets)
+
+    def part(self, df: DataFrame) -> Column:
+        if self.column is not None:
+            return F.coalesce(bucket(as_date(df, self.column), self.grain).cast("string"), F.lit(NO_DATE))
+        number = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in self.key]), F.lit(self.buckets))
+        return F.format_string(f"{BUCKET}%04d", number)
+
+    def conform(self, batch: DataFrame, key: Sequence[str], known: Sequence[str]) -> DataFrame:
+        """``batch`` with its key columns under the names that the table's key has.
+
+        A delivery may head the same column differently; the places in the key
+        tell which is which.
+        """
+        if len(key) != len(self.key):
+            raise ValueError(f"the table is keyed by {self.key}, the load by {tuple(key)}")
+        for own, other in zip(self.key, key):
+            if own == other:
+                continue
+            if own in batch.columns or other in known:
+                raise ValueError(f"{other!r} cannot stand for the key column {own!r}")
+            batch = batch.withColumnRenamed(other, own)
+        return batch
+
+
+@dataclass(frozen=True)
+class TableState:
+    """Metadata of one table at one version."""
+
+    schema: T.StructType | None = None
+    paths: dict[str, str] = field(default_factory=dict)
+    schemas: dict[str, T.StructType] = field(default_factory=dict)
+    version: int = 0
+    rule: PartRule | None = None
+
+
 class Store:
     """Dataset tables plus ledger, sync log and schema registry below one folder."""
 
@@ -73,7 +133,9 @@ class Store:
         schema = fields(META[name])
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -87,32 +149,49 @@ class Store:
         versions = self.meta("_versions")
         if dataset is not None:
             versions = versions.filter(F.col("dataset") == dataset)
-        newest = F.max_by(F.struct("version", "path", "schema", "key"), "version").alias("v")
+        names = ["version", "path", "schema", "key", "part_column", "part_grain", "buckets"]
+        newest = F.max_by(F.struct(*names), F.struct("version", "committed_at")).alias("v")
         return versions.groupBy("dataset", "part").agg(newest).select("dataset", "part", "v.*")
 
     def datasets(self) -> list[str]:
         rows = self.meta("_versions").select("dataset").distinct().collect()
         return sorted(r[0] for r in rows)
 
-    def _state(self, dataset: str):
-        """``(schema, {part: path}, last version)``; metadata of one table."""
+    def _state(self, dataset: str) -> TableState:
         rows = self._current(dataset).collect()
         if not rows:
-            return None, {}, 0
+            return TableState()
         last = max(rows, key=lambda r: r["version"])
-        paths = {r["part"]: r["path"] for r in rows if r["path"]}
-        return T.StructType.fromJson(json.loads(last["schema"])), paths, last["version"]
-
-    def _scan(self, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(last["schema"]))
+        full = [r for r in rows if r["path"]]
+        first = min(rows, key=lambda r: r["version"])
+        rule = PartRule.of(schema, last["key"], first["part_grain"] or self.part_grain,
+                           first["buckets"] or self.buckets)
+        if first["part_column"] is not None:
+            rule = PartRule(rule.key, first["part_column"], rule.grain, rule.buckets)
+        return TableState(
+            schema, {r["part"]: r["path"] for r in full},
+            {r["path"]: T.StructType.fromJson(json.loads(r["schema"])) for r in full},
+            last["version"], rule)
+
+    def _scan(self, state: TableState, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
+        """Rows of the parts; each is read as it was written, then widened."""
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        by_schema: dict[str, list[str]] = {}
+        for path in paths:
+            by_schema.setdefault(state.schemas[path].json(), []).append(path)
+        groups = [
+            align_columns(self.spark.read.schema(state.schemas[own[0]]).parquet(*own), schema)
+            for own in by_schema.values()
+        ]
+        return reduce(DataFrame.unionByName, groups)
 
     def exists(self, dataset: str) -> bool:
-        return self._state(dataset)[0] is not None
+        return self._state(dataset).schema is not None
 
     def schema(self, dataset: str) -> T.StructType | None:
-        return self._state(dataset)[0]
+        return self._state(dataset).schema
 
     def read(self, dataset: str, since: str | None = None,
              until: str | None = None) -> DataFrame | None:
@@ -121,20 +200,20 @@ class Store:
         ``since`` and ``until`` leave out whole parts by their date before any
         file is opened.  They do not replace a filter on the rows.
         """
-        schema, paths, _ = self._state(dataset)
-        if schema is None:
+        state = self._state(dataset)
+        if state.schema is None:
             return None
-        shown = [n for n in schema.names if not n.startswith("_")]
-        kept = [path for part, path in sorted(paths.items())
-                if self._may_hold(part, since, until)]
-        return self._scan(schema, kept).select(*shown)
+        shown = [n for n in state.schema.names if not n.startswith("_")]
+        kept = [path for part, path in sorted(state.paths.items())
+                if self._may_hold(state.rule, part, since, until)]
+        return self._scan(state, state.schema, kept).select(*shown)
 
-    def _may_hold(self, part: str, since: str | None, until: str | None) -> bool:
+    def _may_hold(self, rule: PartRule, part: str, since: str | None, until: str | None) -> bool:
         if part.startswith(BUCKET) or (since is None and until is None):
             return True
         if part == NO_DATE:
             return False
-        first = str(since or "")[: 7 if self.part_grain == "month" else 10]
+        first = str(since or "")[: 7 if rule.grain == "month" else 10]
         return part >= first and (until is None or part <= str(until))
 
     def get_schema(self, dataset: str) -> DataFrame:
@@ -153,16 +232,6 @@ class Store:
         for name in META:
             self.meta(name).createOrReplaceTempView(name)
 
-    def part_of(self, df: DataFrame, key: Sequence[str]) -> Column:
-        """The part a row belongs to; a function of its key alone."""
-        dated = [c for c in key if isinstance(df.schema[c].dataType, T.DateType)]
-        dated += [c for c in key if c not in dated and c.endswith(("_date", "_dt", "_d"))]
-        if dated:
-            day = bucket(as_date(df, dated[0]), self.part_grain)
-            return F.coalesce(day.cast("string"), F.lit(NO_DATE))
-        number = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in key]), F.lit(self.buckets))
-        return F.format_string(f"{BUCKET}%04d", number)
-
     def upsert(self, dataset: str, batch: DataFrame, key: Sequence[str], *,
                evolve: bool = True, null_safe: bool = False,
                newest_by: str | None = None) -> None:
@@ -172,39 +241,42 @@ class Store:
         rows of a key are the newest.
         """
         require_key(batch, key)
-        table_schema, paths, version = self._state(dataset)
+        state = self._state(dataset)
+        if state.schema is None:
+            rule = PartRule.of(batch.schema, key, self.part_grain, self.buckets)
+        else:
+            rule = state.rule
+            batch = rule.conform(batch, key, state.schema.names)
         # The parts this batch falls into: one value per day or bucket.
-        parts = [
-            r[0] for r in batch.select(self.part_of(batch, key).alias(PART)).distinct().collect()
-        ]
+        parts = [r[0] for r in batch.select(rule.part(batch).alias(PART)).distinct().collect()]
         if not parts:
             return
-        if table_schema is None:
+        if state.schema is None:
             schema = batch.schema
         else:
-            schema = widen_schema(table_schema, batch.schema) if evolve else table_schema
+            schema = widen_schema(state.schema, batch.schema) if evolve else state.schema
             if newest_by is not None and newest_by not in schema.names:
                 schema = schema.add(batch.schema[newest_by])
         result = align_columns(batch, schema)
-        touched = [paths[p] for p in parts if p in paths]
+        touched = [state.paths[p] for p in parts if p in state.paths]
         if touched:
             # Other parts cannot hold a key of this batch and are not read.
-            target = self._scan(schema, touched)
+            target = self._scan(state, schema, touched)
             if newest_by is None:
-                result = upsert_by_key(target, result, key, null_safe=null_safe)
+                result = upsert_by_key(target, result, rule.key, null_safe=null_safe)
             else:
-                result = upsert_newest(target, result, key, newest_by)
-        self._write(dataset, result, schema, key, version + 1, parts)
+                result = upsert_newest(target, result, rule.key, newest_by)
+        self._write(dataset, result, schema, rule, state.version + 1, parts)
 
     def clear(self, dataset: str) -> None:
         """Empty a table; its columns stay known."""
-        schema, paths, version = self._state(dataset)
-        if schema is None:
+        state = self._state(dataset)
+        if state.schema is None:
             return
         rows = self._current(dataset).select(
-            "dataset", "part", F.lit(version + 1).cast("long").alias("version"),
+            "dataset", "part", F.lit(state.version + 1).cast("long").alias("version"),
             F.lit(None).cast("string").alias("path"), "key", "schema",
-            F.current_timestamp().alias("committed_at"),
+            F.current_timestamp().alias("committed_at"), "part_column", "part_grain", "buckets",
         )
         self.append("_versions", self._pinned(rows))
 
@@ -212,24 +284,29 @@ class Store:
         """A small result by value, as its source is about to be appended to."""
         return self.spark.createDataFrame(rows.collect(), rows.schema)
 
-    def _write(self, dataset: str, rows: DataFrame, schema: T.StructType,
-               key: Sequence[str], version: int, parts: Sequence[str]) -> None:
-        folder = f"{self.root}/{dataset}/v={version:08d}"
+    def _write(self, dataset: str, rows: DataFrame, schema: T.StructType, rule: PartRule,
+               version: int, parts: Sequence[str]) -> None:
+        folder = f"{self.root}/{dataset}/v={version:08d}-{uuid.uuid4().hex}"
         # REBALANCE lets adaptive execution split a large part over several
-        # tasks and pack small ones together.  Overwrite, as a crashed attempt
-        # may have left this version unlisted.
+        # tasks and pack small ones together.
         (
-            rows.withColumn(PART, self.part_of(rows, key))
+            rows.withColumn(PART, rule.part(rows))
             .hint("rebalance", PART)
-            .write.mode("overwrite")
-            .partitionBy(PART)
+            .write.partitionBy(PART)
             .parquet(folder)
         )
+        # The listing alone answers this; a row outside the listed parts would be lost.
+        listed = T.StructType([*schema.fields, T.StructField(PART, T.StringType())])
+        written = {r[0] for r in self.spark.read.schema(listed).parquet(folder).select(PART).distinct().collect()}
+        if not written.issubset(parts):
+            raise RuntimeError(f"{dataset}: rows left their parts for {sorted(written.difference(parts))}")
+        if self._state(dataset).version != version - 1:
+            raise TableChanged(f"{dataset} has changed since version {version - 1}")
         entries = self.spark.createDataFrame(
-            [(dataset, p, version, f"{folder}/{PART}={p}", list(key), schema.json())
-             for p in parts],
+            [(dataset, p, version, f"{folder}/{PART}={p}" if p in written else None, list(rule.key),
+              schema.json(), rule.column, rule.grain, rule.buckets) for p in parts],
             "dataset string, part string, version long, path string, key array<string>, "
-            "schema string",
+            "schema string, part_column string, part_grain string, buckets int",
         )
         self.append("_versions", entries.withColumn("committed_at", F.current_timestamp()))
 
@@ -245,19 +322,9 @@ class Store:
         return newest_registry_rows(self.meta("_schema_registry"))
 
 
-MAX_ERROR = 2000
-
-
-def shorten_error(message: Column) -> Column:
-    """At most 2 000 characters, marked where it was cut."""
-    cut = F.concat(F.substring(message, 1, MAX_ERROR - 3), F.lit("..."))
-    return F.when(F.length(message) > MAX_ERROR, cut).otherwise(message)
-
-
 def ledger_rows(rows: DataFrame) -> DataFrame:
-    """The thirteen ledger columns with the error text shortened."""
-    aligned = align_columns(rows, fields(LEDGER))
-    return aligned.withColumn("error_message", shorten_error(F.col("error_message")))
+    """The thirteen ledger columns; error texts are kept whole."""
+    return align_columns(rows, fields(LEDGER))
 
 
 def newest_ledger_rows(rows: DataFrame, order: Sequence[str] = ("downloaded_at", "loaded_at"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from shelfline.plans.load import load_files
-from shelfline.sources.listing import within_depth
+from shelfline.sources.listing import list_source_files
 from shelfline.store import Store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -32,15 +32,15 @@ def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> St
     return writer.start()
 
 
-def stream_ingest(store: Store, root: str, checkpoint: str, datasets=None, max_depth: int = 3,
+def stream_ingest(store: Store, root: str, checkpoint: str, datasets=None, max_depth: int | None = None,
                   max_files_per_trigger: int = 1000, order_by: str = "arrival",
                   available_now: bool = True) -> StreamingQuery:
-    """Feed arriving archives to the batch loader, each file once.
+    """Load a folder whenever something arrives in it.
 
-    The stream only watches the folder: it never reads the content column, so a
-    micro-batch is a list of new paths, and the loader, its ledger and its
-    upsert are those of the batch job.  A replayed micro-batch loads nothing
-    twice, because the ledger already lists its files.
+    The stream only says that there is something to do.  Each trigger lists the
+    folder and compares it with the ledger, as the batch job does, so a file that
+    was written again, or came with an old time stamp, is loaded too, and a
+    replayed trigger loads nothing twice.
     """
     files = (
         store.spark.readStream.format("binaryFile")
@@ -48,13 +48,15 @@ def stream_ingest(store: Store, root: str, checkpoint: str, datasets=None, max_d
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.zip")
         .option("maxFilesPerTrigger", max_files_per_trigger)
+        # Files are new by the ledger, not by their age against the newest.
+        .option("maxFileAge", "36500d")
         .load(root)
         .select("path", F.col("length").alias("bytes"),
                 F.col("modificationTime").alias("modified_at"))
     )
-    files = within_depth(files, root, max_depth)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_files(store, batch, datasets, f"stream batch {batch_id}", order_by)
+        listed = list_source_files(store.spark, root, max_depth)
+        load_files(store, listed, datasets, f"stream batch {batch_id}", order_by)
 
     return _start(files.writeStream.foreachBatch(load), checkpoint, available_now)

@@ -120,4 +120,9 @@ def test_depth(spark):
     paths = ["file:/r/drop/a.zip", "file:/r/drop/1/2/3/b.zip", "file:/r/drop/1/2/3/4/c.zip",
              "file:/other/d.zip"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
-    assert rows(within_depth(df, "/r/drop/")) == [(paths[1],), (paths[0],)]
+    assert rows(within_depth(df, "/r/drop/", 3)) == [(paths[1],), (paths[0],)]
+    assert within_depth(df, "/r/drop/").count() == 4
+    nested = spark.createDataFrame([("file:/r/drop/x/r/drop/1/2/a.zip",), ("file:/b.zip",)], "path string")
+    assert within_depth(nested, "/r/drop", 4).isEmpty()
+    assert within_depth(nested, "/r/drop", 5).count() == 1
+    assert rows(within_depth(nested, "/", 0)) == [("file:/b.zip",)]

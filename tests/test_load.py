@@ -29,10 +29,10 @@ def test_full_load_then_nothing_new(spark, store, drop):
     drop.put("a/b/c/d/" + DAILY.format("04222026"), sales("9|9|2026-04-22|9|9"))
     drop.put_raw("notes.txt", b"hello")
     drop.put_raw("BV_1_DAILY_INV_TCIN_LOC_04212026_KW.zip", b"not a zip")
-    listed = dry_run(classify(list_source_files(spark, drop.path)).withColumn("file_id", F.col("path")),
+    listed = dry_run(classify(list_source_files(spark, drop.path, 3)).withColumn("file_id", F.col("path")),
                      ["sales_daily"])
     assert rows(listed, "status") == [("dry_run",), ("unknown_pattern",)]
-    result = sync_folder(store, drop.path)
+    result = sync_folder(store, drop.path, max_depth=3)
     assert result.counts == {"files_found": 4, "files_new": 3, "files_loaded": 2, "files_failed": 1,
                              "files_skipped": 0, "files_unknown": 1}
     assert store.read("sales_daily").agg(F.sum("sale_quantity")).first()[0] == 9
@@ -46,7 +46,7 @@ def test_full_load_then_nothing_new(spark, store, drop):
     keys = {r["dataset"]: r["primary_key"] for r in store.registry().collect()}
     assert keys["sales_daily"] == ["tcin", "location_id", "sales_date"]
 
-    again = sync_folder(store, drop.path, ["sales_daily"])
+    again = sync_folder(store, drop.path, ["sales_daily"], max_depth=3)
     assert again.counts["files_loaded"] == 0 and again.counts["files_skipped"] == 1
     assert store.read("sales_daily").count() == 3
     assert store.meta("_sync_log").count() == 2
@@ -112,7 +112,7 @@ def test_tolerant_files_keep_their_message(store, drop):
     sync_folder(store, drop.path)
     got = store.ledger().first()
     assert (got["status"], got["parse_method"], got["row_count"]) == ("loaded", "permissive", 3)
-    assert "skipped 1 rows" in got["error_message"] and "short rows" in got["error_message"]
+    assert "1 rows left out" in got["error_message"] and "short rows" in got["error_message"]
     assert rows(store.read("sales_daily"), "tcin") == [(1,), (2,), (4,)]
 
 
@@ -159,3 +159,45 @@ def test_pending_files(spark):
         [("a", "loaded", "1"), ("b", "loaded", "old"), ("c", "loaded", "1"), ("e", "loaded", None),
          ("g", "failed", "1")], "file_id string, status string, fingerprint string")
     assert rows(pending_files(found, ledger), "file_id") == [("b",), ("g",)]
+
+
+def test_all_members_depths_and_odd_headers(spark, store, drop):
+    head = "TCIN|LOCATION_ID|SALES_DATE|SALE_QUANTITY|FILE_ID|FILE_DATE|MODIFIED_AT\n"
+    drop.put("a/b/c/d/e/" + DAILY.format("04212026"), head + "2|10|2026-04-21|3|f|x|m\n",
+             before=[("first.txt", head + "1|10|2026-04-21|2|f|x|m\n"), ("sum.md5", "0")])
+    drop.put(DAILY.format("04222026"), head + "3|10|2026-04-22|4|f|x|m\n")
+    result = sync_folder(store, drop.path)
+    assert (result.counts["files_loaded"], result.counts["files_failed"]) == (2, 0)
+    got = store.read("sales_daily")
+    assert rows(got, "tcin", "file_id") == [(1, "f"), (2, "f"), (3, "f")]
+    assert rows(store.ledger(), "row_count") == [(1,), (2,)]
+
+
+def test_fractions_widen_a_column_or_are_reported(spark, store, drop):
+    head = "TCIN|LOCATION_ID|SALES_DATE|REVENUE|SALE_QTY\n"
+    drop.put(DAILY.format("04212026"), head + "1|10|2026-04-21|5|1\n")
+    sync_folder(store, drop.path)
+    drop.put(DAILY.format("04222026"), head + "1|10|2026-04-22|10.75|2.0\n2|10|2026-04-22|1.5|2.5\n")
+    sync_folder(store, drop.path)
+    assert rows(store.read("sales_daily"), "revenue", "sale_qty") == [(1.5, None), (10.75, 2), (5.0, 1)]
+    assert rows(store.ledger(), "parse_method") == [("ignore_errors",), ("strict",)]
+
+
+def test_stream_sees_rewritten_and_old_files(store, drop, tmp_path):
+    import os
+    import time
+
+    from shelfline.streaming.ingest import stream_ingest
+
+    day = DAILY.format("04212026")
+    drop.put(day, sales("1|10|2026-04-21|2|4.0"))
+
+    def run():
+        stream_ingest(store, drop.path, str(tmp_path / "stream")).awaitTermination()
+
+    run()
+    path = drop.put(day, sales("1|10|2026-04-21|7|4.0", "5|10|2026-04-21|1|1.0"))
+    os.utime(path, (time.time() + 60, time.time() + 60))
+    drop.put(DAILY.format("03222026"), sales("9|10|2026-03-22|1|1.0"), at=time.time() - 30 * 86400)
+    run()
+    assert rows(store.read("sales_daily"), "tcin") == [(1,), (5,), (9,)]

@@ -63,7 +63,7 @@ def test_orphans(spark):
     known = ledger(spark, ("1", "n0.zip", "d", 1, True, True, 1, "loaded"))
     got = quality.no_orphan_files(files, known).first()
     assert got["status"] == "warn"
-    assert got["detail"] == "5 files not in the ledger: n1.zip, n2.zip, n3.zip (+2 more)"
+    assert got["detail"] == "5 files not in the ledger: n1.zip, n2.zip, n3.zip, and 2 others"
     assert quality.no_orphan_files(files.limit(0), known).first()["status"] == "pass"
 
 
