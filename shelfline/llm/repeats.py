@@ -44,15 +44,15 @@ from shelfline.session import written
 from .text import mix, powers
 
 LENGTH, GRAM = 200, 100
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes that one pass of numpy takes.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 #: Places of a gram beyond which no task gets all of them.
 HOT = 50_000
 _draw = np.random.Generator(np.random.PCG64(5))
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_draw.integers(1, 2**62, dtype=np.uint64)) * 4 + 1
-_BITS = 22
+_BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
 _UP, _DOWN = powers(_BASE, 1 << _BITS), powers(pow(_BASE, -1, 2**64), 1 << _BITS)
 
@@ -169,13 +169,17 @@ def _suffixes(texts: pa.Table, told: pa.Table, splitters: np.ndarray) -> pa.Tabl
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in its context, hash) of every window of the rows."""
-    contexts = batch.column("context").to_pylist()
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-    found = hashes(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
-    counts = np.diff(starts) - LENGTH + 1
-    row = np.repeat(np.arange(len(contexts)), counts)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return row, place, found[starts[row] + place]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = (1 << _BITS) // (2 * LENGTH)  # a context is shorter than twice LENGTH
+    for at in range(0, batch.num_rows, step):
+        contexts = batch.column("context").slice(at, step).to_pylist()
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
+        window = hashes(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
+        counts = np.diff(starts) - LENGTH + 1
+        row = np.repeat(np.arange(len(contexts)), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        found.append((row + at, place, window[starts[row] + place]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _whole_grams(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
