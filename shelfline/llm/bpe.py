@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries after which a table of a transducer is emptied.
-TABLE_LIMIT = 1 << 19
+TABLE_LIMIT = 1 << 20
 #: Pieces up to this many bytes are remembered whole.
 PIECE_LIMIT = 48
 #: Pieces that are encoded at a time.
@@ -137,13 +138,14 @@ class MergeTransducer:
             self.pairs[left << 32 | right] = known
         return known
 
-    def reach(self, data: bytes, before: int, last: Sequence[int], live: Sequence[int]) -> tuple[list[int], int]:
-        """(the live places that stay so, the last token) after ``data``."""
+    def reach(self, data: bytes, end: int, before: int, last: Sequence[int],
+              live: Sequence[int]) -> tuple[list[int], int]:
+        """(the live places that stay so, the last token) after ``end`` bytes."""
         stay, token = [], -1
-        starts, pairs = self.starts, self.pairs
+        known_starts, pairs = self.starts.get, self.pairs.get
         for i in live:
             # A token that ends here or later starts where the bytes so far begin one.
-            ends = starts.get(data[i:])
+            ends = known_starts(data[i:end])
             if ends is not None:
                 stay.append(i)
                 if token < 0 <= ends:
@@ -151,18 +153,18 @@ class MergeTransducer:
                     if prior < 0:
                         token = ends
                     else:
-                        known = pairs.get(prior << 32 | ends)
+                        known = pairs(prior << 32 | ends)
                         if self.fits(prior, ends) if known is None else known:
                             token = ends
         if token < 0:
             raise ValueError("the vocabulary lacks a byte")
-        stay.append(len(data))
+        stay.append(end)
         return stay, token
 
     def arc(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Builds the arc for one more byte: (next state, tokens emitted)."""
         data, last, before = state.data + bytes((byte,)), state.last, state.before
-        live, token = self.reach(data, before, last, state.live)
+        live, token = self.reach(data, len(data), before, last, state.live)
         last = (*last, token)
         out: tuple[int, ...] = ()
         if live[0]:
@@ -201,8 +203,8 @@ class MergeTransducer:
         if len(data) <= PIECE_LIMIT:
             # The joined arcs of a short piece are kept, not the single ones.
             live, last = [0], []
-            for n in range(1, len(data) + 1):
-                live, token = self.reach(data[:n], -1, last, live)
+            for end in range(1, len(data) + 1):
+                live, token = self.reach(data, end, -1, last, live)
                 last.append(token)
             yield from self.chain(last, len(data))
             return
@@ -331,6 +333,7 @@ def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, reader, split = MergeTransducer(tokens.value), Utf8Machine(tokens.value), regex.compile(pattern)
         names = [str(i) for i in range(len(tokens.value))]
+        gc.freeze()  # the tables above hold no garbage and need not be searched for it
         for batch in batches:
             counts, coded, decoded = [], [], []
             for value in batch.column(1):
