@@ -23,7 +23,7 @@ the data are.  Scoring is one pass over the rows, without a shuffle.
 Defined cases: a null or empty text scores like one unseen word.  A text with
 fewer words than SPAN is one passage.  A label row with a null counts as none; an
 id with two labels is toxic if one says so.  Without toxic training rows every
-score is 0, with nothing but toxic ones 1.  A null id is not held out and not
+score is 0, with nothing but toxic ones 1; if the training texts hold no words, 0.  A null id is not held out and not
 learned from.
 """
 
@@ -126,13 +126,16 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | None, float, float]:
-    """(ratios, slope, offset) from the rows of ``labels`` for which ``learn`` holds."""
+    """(ratios, slope, offset) from the rows of ``labels`` for which ``learn`` holds.
+
+    Without ratios the offset is every text's score.
+    """
     sample = sampled(labels, learn)
     rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(
         "text", F.col("toxic").cast("int"), "fits"), "toxicity-sample")
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
-        return None, 0.0, 40.0 if 1 in kinds else -40.0
+        return None, 0.0, 1.0 if 1 in kinds else 0.0
     if rows.where("NOT fits").select("toxic").distinct().count() < 2 or rows.where("fits").select("toxic").distinct().count() < 2:
         counted, fitted = rows, rows  # too few rows to hold some out
     else:
@@ -184,9 +187,11 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, slope, offset = model.value
         for batch in batches:
-            raw = [ratios.score((t.as_py() or "").encode()) if ratios else 0.0 for t in batch.column(place)]
-            z = np.clip(slope * np.array(raw, dtype=np.float64) + offset, -700, 700)
-            p = 1 / (1 + np.exp(-z))
+            if ratios is None:
+                p = np.full(batch.num_rows, offset)
+            else:
+                raw = [ratios.score((t.as_py() or "").encode()) for t in batch.column(place)]
+                p = 1 / (1 + np.exp(-np.clip(slope * np.array(raw, dtype=np.float64) + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
                 [*names, "score", "predicted"])

@@ -69,7 +69,7 @@ def test_odd_documents_and_labels(spark, odd_docs, no_docs):
     assert scored.count() == odd_docs.count() and scored.where("score is null").isEmpty()
     assert toxicity.score(no_docs, more, F.lit(True)).isEmpty()
     none = labels.where("false")
-    assert {(r["score"], r["predicted"]) for r in toxicity.score(odd_docs, none, F.lit(True)).collect()} <= {(0.0, 0), (0.5, 1)}
+    assert {(r["score"], r["predicted"]) for r in toxicity.score(odd_docs, none, F.lit(True)).collect()} == {(0.0, 0)}
 
 
 # Language model
@@ -97,21 +97,27 @@ def test_counts_and_base(documents, odd_docs, block, monkeypatch):
             rows, lambda i: not held_out(i, 7, 2))
 
 
-def test_the_model_beats_its_base_and_sums_to_one(spark, monkeypatch):
-    """Over all next words of a context the probabilities add up to one."""
+def test_words_after_a_context_sum_to_one(spark, monkeypatch):
+    """Over all words that can follow, an unseen one and the end included."""
     monkeypatch.setattr(backoff, "CONTEXT", 5)
     rng = np.random.default_rng(1)
     vocabulary = [f"word{i}" for i in range(30)] + list("abcdefgh")
     text = lambda: " ".join(rng.choice(vocabulary, 60))
     rows = [(i, text()) for i in range(40)]
-    asks = [(1000 + k, f"word3 {w}") for k, w in enumerate([*vocabulary, "unseen"])] + [(5000, "word3")]
-    docs = spark.createDataFrame(rows + asks, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in backoff.score(docs, F.col("doc_id") < 1000).collect()}
-    end = {r["doc_id"]: r for r in backoff.score(
-        spark.createDataFrame(rows + [(1000 + k, w) for k, w in enumerate([*vocabulary, "unseen"])], docs.schema),
-        F.col("doc_id") < 1000).collect()}
-    assert set(got) and set(end)
-    assert sum(got[i]["score"] for i in range(40)) > sum(got[i]["base_score"] for i in range(40))
+    # P(w | word3) is P(word3 w) without what comes before and after w.
+    asks = [(1000 + k, f"word3 {w} word5") for k, w in enumerate([*vocabulary, "unseen"])] + [(5000, "word3")]
+    tails = [(3000 + k, f"{w} word5") for k, w in enumerate([*vocabulary, "unseen"])]
+    docs = spark.createDataFrame(rows + asks + tails + [(6000, ""), (6001, "word3 a")] , "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in backoff.score(docs, F.col("doc_id") < 1000).collect()}
+    words = Counter(w for _, t in rows for w in t.split())
+    ones, twos = (sum(c == k for c in words.values()) for k in (1, 2))
+    assert not ones or not twos  # the discount is then a half
+    n, types = sum(words.values()) + len(rows), len(words) + 1
+    free = {w: (words[w] - 0.5) / n for w in vocabulary} | {"unseen": 0.5 * types / n}
+    first = np.log10(free["word3"])
+    after = [10 ** (got[1000 + k] - first - (got[3000 + k] - np.log10(free[w])))
+             for k, w in enumerate([*vocabulary, "unseen"])]
+    assert abs(sum(after) + 10 ** (got[5000] - first) - 1) < 1e-9
 
 
 def test_no_training_rows(odd_docs, no_docs):
