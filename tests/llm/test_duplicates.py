@@ -176,8 +176,7 @@ def brute_lines(rows):
                 places[line].append((i is None, i or 0, p))
     sets = {}
     for line in places:
-        u = line.encode("utf-16-be")
-        sets[line] = {u[2 * k:2 * k + 2 * lines.SHINGLE] for k in range(max(1, len(u) // 2 - lines.SHINGLE + 1))}
+        sets[line] = {line[k:k + lines.SHINGLE] for k in range(len(line) - lines.SHINGLE + 1)}
     names = sorted(places)
     number = {x: k for k, x in enumerate(names)}
     union, index = Union(range(len(names))), defaultdict(list)
