@@ -44,15 +44,15 @@ from shelfline.session import written
 from .text import mix, powers
 
 LENGTH, GRAM = 200, 100
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes that one pass of numpy takes.
-PASS_BYTES = 1 << 19
+PASS_BYTES = 1 << 18
 #: Places of a gram beyond which no task gets all of them.
-HOT = 50_000
+HOT = 20_000
 _draw = np.random.Generator(np.random.PCG64(5))
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_draw.integers(1, 2**62, dtype=np.uint64)) * 4 + 1
-_BITS = 21
+_BITS = 20
 _LOW = np.uint64((1 << _BITS) - 1)
 _UP, _DOWN = powers(_BASE, 1 << _BITS), powers(pow(_BASE, -1, 2**64), 1 << _BITS)
 
