@@ -118,8 +118,8 @@ _STATE_SQL = """
            CASE WHEN r.method <> 'failed' THEN r.row_count END AS row_count,
            CASE r.method WHEN 'failed' THEN 'parse: ' || r.primary_error
                 WHEN 'strict' THEN NULL
-                ELSE 'loaded via fallback method=' || r.method || '; skipped ' || r.skipped_rows
-                     || ' rows; primary error: ' || r.primary_error END AS error_message,
+                ELSE 'read as ' || r.method || ', ' || r.skipped_rows
+                     || ' rows left out, because: ' || r.primary_error END AS error_message,
            r.method AS parse_method
     FROM classified c JOIN (
         SELECT file_id, CASE o_orderstatus WHEN 'O' THEN 'strict' WHEN 'F' THEN 'ignore_errors'
