@@ -181,8 +181,6 @@ class Dataset:
 
     name: str
     body: str
-    grain: str
-    frequency: str
     roles: dict[str, list[str]]
     key_shape: str
     key_dates: tuple[str, ...] = ()
@@ -192,25 +190,25 @@ class Dataset:
 
 _DATASETS = [
     Dataset(
-        "sales_daily", "DAILY_SALES_TCIN_LOC", "item × location × day", "daily",
+        "sales_daily", "DAILY_SALES_TCIN_LOC",
         {"date": SALES_DAY, "units": SALES_UNITS, "dollars": SALES_DOLLARS,
          "tcin": ITEM, "location": LOCATION},
         "item_location_date", ("sales_date", "sale_date", "transaction_date"),
     ),
     Dataset(
-        "sales_weekly", "WEEKLY_SALES_TCIN_LOC", "item × location × week", "weekly",
+        "sales_weekly", "WEEKLY_SALES_TCIN_LOC",
         {"date": SALES_WEEK, "units": SALES_UNITS, "dollars": SALES_DOLLARS,
          "tcin": ITEM, "location": LOCATION},
         "item_location_date", tuple(SALES_WEEK),
     ),
     Dataset(
-        "sales_weekly_item", "WEEKLY_SALES_TCIN", "item × week", "weekly",
+        "sales_weekly_item", "WEEKLY_SALES_TCIN",
         {"date": SALES_WEEK, "units": SALES_UNITS, "dollars": SALES_DOLLARS_SHORT,
          "tcin": ITEM},
         "item_date", tuple(SALES_WEEK),
     ),
     Dataset(
-        "inventory_daily", "DAILY_INV_TCIN_LOC", "item × location × day", "daily",
+        "inventory_daily", "DAILY_INV_TCIN_LOC",
         {"date": STOCK_DAY,
          "on_hand": [*STOCK_UNITS, "on_hand", "stock_units", "qty_on_hand"],
          "tcin": ITEM, "location": LOCATION},
@@ -220,50 +218,50 @@ _DATASETS = [
         ("snapshot_date", "inv_date", "inventory_date", "report_date_dim", "as_of_date"),
     ),
     Dataset(
-        "inventory_weekly", "WEEKLY_INV_TCIN_LOC", "item × location × week", "weekly",
+        "inventory_weekly", "WEEKLY_INV_TCIN_LOC",
         {"date": [*STOCK_WEEK_ITEM, "snapshot_date"],
          "on_hand": [*STOCK_UNITS, "on_hand"], "tcin": ITEM, "location": LOCATION},
         "item_location_date", (*STOCK_WEEK_ITEM, "snapshot_date"),
     ),
     Dataset(
-        "inventory_weekly_item", "WEEKLY_INV_TCIN", "item × week", "weekly",
+        "inventory_weekly_item", "WEEKLY_INV_TCIN",
         {"date": STOCK_WEEK_ITEM, "on_hand": STOCK_UNITS, "tcin": ITEM},
         "item_date", tuple(STOCK_WEEK_ITEM),
     ),
     Dataset(
-        "gross_margin", "WEEKLY_GM_TCIN_LOC", "item × location × week", "weekly",
+        "gross_margin", "WEEKLY_GM_TCIN_LOC",
         {"date": MARGIN_DATE,
          "margin": [*MARGIN_PCT, "margin_amount", "gross_margin_amt"],
          "tcin": ITEM, "location": STORE},
         "item_location_date", tuple(MARGIN_DATE),
     ),
     Dataset(
-        "gross_margin_item", "WEEKLY_GM_TCIN", "item × week", "weekly",
+        "gross_margin_item", "WEEKLY_GM_TCIN",
         {"date": MARGIN_DATE, "margin": MARGIN_PCT, "tcin": ITEM},
         "item_date", tuple(MARGIN_DATE),
     ),
     Dataset(
-        "item_attr", "WEEKLY_ITEM_MTA", "item", "weekly",
+        "item_attr", "WEEKLY_ITEM_MTA",
         {"date": ["processed_ct_date", "processed_ct_d", "as_of_date", "snapshot_date"],
          "tcin": ITEM},
         "item", kind="dimensional",
     ),
     Dataset(
-        "item_attr_extended", "WKLY_TCIN_ITEM", "item", "weekly",
+        "item_attr_extended", "WKLY_TCIN_ITEM",
         {"date": ["processed_ct_date", "processed_ct_d", "as_of_date",
                   "fiscal_week_end_d", "snapshot_date"],
          "tcin": ITEM},
         "item", kind="dimensional",
     ),
     Dataset(
-        "location_attr", "ALL_WKLY_LOC_ATTR_V0_0", "location", "weekly",
+        "location_attr", "ALL_WKLY_LOC_ATTR_V0_0",
         {"date": ["last_remodel_date", "opening_date", "effective_date",
                   "report_date_dim", "as_of_date"],
          "location": LOCATION},
         "location", kind="dimensional", has_tier=False,
     ),
     Dataset(
-        "orders_daily", "DAILY_ORDER_TCIN_LOC", "item × location × day", "daily",
+        "orders_daily", "DAILY_ORDER_TCIN_LOC",
         {"date": ["order_date", "po_date", "expected_delivery_date", "ship_date",
                   "report_date_dim"],
          "units": [*OUTSTANDING_UNITS, *ORDERED_UNITS], "status": ORDER_STATUS,
@@ -271,14 +269,14 @@ _DATASETS = [
         "order", ("order_date", "po_date"),
     ),
     Dataset(
-        "po_plan_daily", "DLY_PO_PLAN_TCIN", "item × day", "daily",
+        "po_plan_daily", "DLY_PO_PLAN_TCIN",
         {"date": ["plan_date", "expected_date", "po_date", "fiscal_week_begin_d",
                   "report_date_dim"],
          "units": PLAN_UNITS, "tcin": ITEM},
         "item_date", ("plan_date", "po_date", "expected_date", "week_end_date"),
     ),
     Dataset(
-        "po_plan_biweekly", "BI_WEEKLY_PO_PLANNING", "item × two weeks", "bi-weekly",
+        "po_plan_biweekly", "BI_WEEKLY_PO_PLANNING",
         {"date": ["period_start_date", "period_end_date", "fiscal_week_begin_d",
                   "plan_date", "report_date_dim"],
          "units": PLAN_UNITS, "tcin": ITEM, "dc": DC},
@@ -286,8 +284,7 @@ _DATASETS = [
         ("period_start_date", "period_end_date", "week_end_date", "plan_date"),
     ),
     Dataset(
-        "forecast_weekly", "DFE_WKLY_ITEM_LOC_FORECAST", "item × location × week",
-        "weekly",
+        "forecast_weekly", "DFE_WKLY_ITEM_LOC_FORECAST",
         {"date": FORECAST_WEEK, "units": FORECAST_UNITS,
          "snapshot_date": FORECAST_SNAPSHOT, "tcin": ITEM, "location": STORE},
         "item_location_date_snapshot",
