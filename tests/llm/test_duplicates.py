@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfline.llm import graph, lines, minhash, naming, repeats
 
@@ -211,3 +212,20 @@ def test_lines(documents, odd_docs, no_docs):
         assert sorted(got, key=str) == brute_lines(rows)
         assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     assert lines.line_duplicates(no_docs).isEmpty()
+
+
+@pytest.mark.parametrize("tile", [1000, 16])
+def test_similar_lines_of_a_large_bucket_without_a_hub(spark, tile, monkeypatch):
+    """Of 60 lines in one bucket two are similar, with numbers that are never a turn's hub."""
+    monkeypatch.setattr(lines, "TILE", tile, raising=False)
+    ranks = [spark.range(60).select("id", F.xxhash64("id", F.lit(turn)).alias("rank")).orderBy("rank").first()["id"]
+             for turn in range(10)]
+    a, b = [k for k in range(60) if k not in ranks][:2]
+    texts = [hashlib.sha256(bytes([k])).hexdigest() for k in range(60)]
+    texts[b] = texts[a][:-1] + "!"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same = F.array(*(F.lit(0) for _ in range(lines.BANDS * lines.ROWS)))
+    signs = lines._lines(docs).select(F.col("doc_id").alias("line"), "h1", "h2", F.array(
+        *(F.lit(0).cast("long") for _ in range(lines.BANDS))).alias("bands"), same.alias("coordinates"))
+    found = lines._components(lines._lines(docs), signs).where("node <> component").collect()
+    assert [(r["node"], r["component"]) for r in found] == [(b, a)]
