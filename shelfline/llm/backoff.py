@@ -1,12 +1,10 @@
 """Language-model scores from a weighted backoff automaton.
 
 The automaton reads a text's words from left to right.  Its states are contexts:
-one for each training word of CONTEXT bytes or more, and the empty one.  A state
-has an arc for each word seen after it, and a failure arc to the empty state
-with the weight that smoothing sets aside; the empty state has an arc for every
-training word and one for all other words.  Shorter words are mostly function
-words, after which anything comes; they lead to the empty state.  With absolute
-discounts D and E,
+one for each training word, and the empty one.  A state has an arc for each word
+seen after it, and a failure arc to the empty state with the weight that
+smoothing sets aside; the empty state has an arc for every training word and one
+for all other words.  With absolute discounts D and E,
 
     P(w | v) = max(c(v w) - E, 0) / c(v) + E * T(v) / c(v) * P(w)
     P(w) = (c(w) - D) / N,  of an unseen word D * V / N,
@@ -15,12 +13,13 @@ where T(v) is the number of different words seen after v.  A text's score is the
 sum of log10 along one traversal; D and E come from the numbers of words and
 pairs seen once and twice.
 
-All counts grow with the corpus and no task gets them as a whole.  Documents fall
-into blocks of about BLOCK_BYTES of text.  A block lists its distinct words and
-pairs with their counts.  Windows add them up over the blocks, one row for each
-block that has the word or pair, so a common word has no more rows than there
-are blocks.  Each block gets back what it asked for, as a cogroup with its
-documents: the part of the automaton that its texts can reach.
+All counts grow with the corpus and no task gets them as a whole.  Words and
+pairs are told by 64-bit hashes.  Documents fall into blocks of about BLOCK_BYTES
+of text.  A block lists its distinct words and pairs with their counts.  A window
+adds them up over the blocks, one row for each block that has the word or pair,
+so a common word has no more rows than there are blocks; T(v) is an aggregate of
+the distinct pairs.  Each block gets back what it asked for and training has, as a
+cogroup with its documents: the part of the automaton that its texts can reach.
 
 Defined cases: a null or empty text has one token, its end.  With no training
 rows every count is 0, base_score and score are 0.  A null id is no held-out id.
@@ -29,9 +28,7 @@ Rows that repeat are scored, and counted, each.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,35 +36,53 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.session import written
 
-from .text import word_runs
+from .text import PASS_BYTES, buffers, mix, passes, runs, sized_words
 
-#: Bytes from which a word is a context.
-CONTEXT = 11
+#: Bytes from which a word is a context; every word has one.
+CONTEXT = 1
 BLOCK_BYTES = 24 << 20
-END = b""
+END, _PAIR = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tokens(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, hash, hash of the word before, whether that is a state) of all tokens, some MB of text at a time."""
+    row, last, last_size = 0, END, 0
+    for batch in table.select(["text"]).to_batches():
+        for part in passes(batch, "text"):
+            texts = part.column(0)
+            long = len(texts) == 1 and len(raw := (texts[0].as_py() or "").encode()) > PASS_BYTES
+            pieces = [pa.array([piece], pa.large_binary()) for piece in runs(raw)] if long else [texts]
+            for k, some in enumerate(pieces):
+                words, sizes, at = sized_words(*buffers(some))
+                n = np.diff(at)
+                if k == len(pieces) - 1:
+                    words, sizes, n = np.insert(words, at[1:], END), np.insert(sizes, at[1:], 0), n + 1
+                if not len(words):
+                    continue
+                before = np.concatenate([[last], words[:-1]]).astype(np.uint64)
+                state = np.concatenate([[last_size], sizes[:-1]]) >= CONTEXT
+                last, last_size = words[-1], sizes[-1]
+                yield np.repeat(np.arange(row, row + len(some)), n), words, before, state
+            row += len(texts)
+
+
+def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * _PAIR + words)
 
 
 def _block_counts(table: pa.Table) -> pa.Table:
-    """Distinct words and pairs of a block with their number in training texts.
-
-    A pair is written as its words with a space between.
-    """
-    learnt: Counter = Counter()
-    seen: Counter = Counter()
-    for text, learn in zip(table.column("text"), table.column("learn").to_pylist(), strict=True):
-        counts, before = learnt if learn else seen, END
-        for words in chain(word_runs((text.as_py() or "").encode()), ([END],)):
-            counts.update(words)
-            counts.update([b"%b %b" % (v, w) for v, w in zip([before, *words], words, strict=False) if len(v) >= CONTEXT])
-            before = words[-1] if words else before
-    keys = list(learnt)
-    n = list(learnt.values())
-    keys += [k for k in seen if k not in learnt]
-    n += [0] * (len(keys) - len(n))
-    state = [k.partition(b" ")[0] for k in keys]
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(keys), pa.int64()), "state": pa.array(state, pa.binary()),
-                     "key": pa.array(keys, pa.binary()), "n": pa.array(n, pa.int64())})
+    """Distinct words and pairs of a block with their number in training texts."""
+    learn = table.column("learn").to_numpy()
+    found = [(learn[row], words, before, state) for row, words, before, state in _tokens(table)]
+    learnt, words, before, state = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    block, out = table.column("block")[0].as_py(), []
+    for of, keys, counted in ((words, words, learnt), (before[state], _pairs(before[state], words[state]), learnt[state])):
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=counted, minlength=len(keys)).astype(np.int64)
+        out.append(pa.table({"block": pa.array(np.full(len(keys), block), pa.int64()),
+                             "state": pa.array(of[first].view(np.int64)), "key": pa.array(keys.view(np.int64)), "n": n}))
+    return pa.concat_tables(out)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -84,15 +99,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                        F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK_BYTES)))
-    asked = rows.groupBy("block").applyInArrow(_block_counts, "block long, state binary, key binary, n long")
-    # One exchange by state serves both windows.
-    same, state = Window.partitionBy("state", "key"), Window.partitionBy("state")
-    pair = F.col("key") != F.col("state")
-    told = asked.repartition("state").withColumn("first", F.min("block").over(same) == F.col("block")).withColumn(
-        "n", F.sum("n").over(same))
-    counts = written(told.withColumn("followers", F.sum(
-        F.when(F.col("first") & pair & (F.col("n") > 0), 1).otherwise(0)).over(state)).select(
-        "block", "key", "n", "first", pair.alias("pair"), F.when(~pair, F.col("followers")).alias("followers")), "lm-counts")
+    asked = rows.groupBy("block").applyInArrow(_block_counts, "block long, state long, key long, n long")
+    same, pair = Window.partitionBy("key"), F.col("key") != F.col("state")
+    told = asked.withColumn("first", F.min("block").over(same) == F.col("block")).withColumn("n", F.sum("n").over(same))
+    counts = written(told.where("n > 0").select(
+        "block", "key", "n", "first", pair.alias("pair"), F.when(pair & F.col("first"), F.col("state")).alias("state")), "lm-counts")
     f = counts.where("first AND n > 0").agg(
         F.coalesce(F.sum(F.when(~F.col("pair"), F.col("n"))), F.lit(0)).alias("tokens"),
         F.count_if(~F.col("pair")).alias("types"),
@@ -103,38 +114,43 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     unseen = less * types / tokens if tokens else 1.0
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        is_pair = known.column("pair").to_numpy()
-        of = dict(zip(known.column("key").to_pylist(), range(len(is_pair)), strict=True))
-        n = known.column("n").to_numpy()
-        followers = known.column("followers").fill_null(0).to_numpy()
-        chance = np.where(n > 0, (n - less) / max(1, tokens), unseen)
-        base, logs = np.log10((n + 1) / (tokens + types + 1)), np.log10(chance)
-        # The failure weight of each state.
-        failure = np.log10(np.where(followers > 0, less_pair * followers / np.maximum(n, 1), 1.0))
-        out: list[list] = [[], [], [], []]
-        for text in texts.column("text"):
-            sums, before = np.zeros(4), END
-            for some in chain(word_runs((text.as_py() or "").encode()), ([END],)):
-                at = np.fromiter(map(of.__getitem__, some), np.int64, len(some))
-                total = logs[at].sum()
-                for i, v in enumerate([before, *some[:-1]] if some else ()):
-                    if len(v) < CONTEXT or not followers[here := of[v]]:
-                        continue
-                    after = n[of[b"%b %b" % (v, some[i])]]
-                    if after:
-                        total += math.log10((after - less_pair) / n[here] + 10.0 ** (failure[here] + logs[at[i]])) - logs[at[i]]
-                    else:
-                        total += failure[here]
-                before = some[-1] if some else before
-                sums += len(at), (n[at] > 0).sum(), base[at].sum(), total
-            for column, value in zip(out, sums.tolist(), strict=True):
-                column.append(value)
+        keys = known.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, ns = keys[order], known.column("n").to_numpy()[order]
+        follow = known.column("followers").fill_null(0).to_numpy()[order]
+
+        def ask(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Number and followers, 0 if training has none."""
+            one, back = np.unique(asked, return_inverse=True)
+            if not len(keys):
+                return np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+            at = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
+            hit = keys[at] == one
+            return np.where(hit, ns[at], 0)[back], np.where(hit, follow[at], 0)[back]
+
+        out = np.zeros((4, len(texts)))
+        n_last = followers_last = 0
+        for row, words, before, state in _tokens(texts):
+            n, followers = ask(words)
+            n_before, after = np.concatenate([[n_last], n[:-1]]), np.concatenate([[followers_last], followers[:-1]])
+            n_last, followers_last = n[-1], followers[-1]
+            chance = np.where(n > 0, (n - less) / max(1, tokens), unseen)
+            held = np.flatnonzero(state & (after > 0))
+            seen, _ = ask(_pairs(before[held], words[held]))
+            # The arc of the pair, if there is one, and the failure arc.
+            chance[held] = (np.maximum(seen - less_pair, 0) * (seen > 0) + less_pair * after[held] * chance[held]) / n_before[held]
+            low = row[0]
+            for column, value in zip(out, (np.ones(len(n)), n > 0, np.log10((n + 1) / (tokens + types + 1)), np.log10(chance)),
+                                     strict=True):
+                sums = np.bincount(row - low, weights=value)
+                column[low:low + len(sums)] += sums
         return pa.table({
-            "doc_id": texts.column("doc_id"), "n_tokens": pa.array(map(int, out[0]), pa.int64()),
-            "n_known": pa.array(map(int, out[1]), pa.int64()),
-            "train_tokens": pa.array([tokens] * len(out[0]), pa.int64()),
-            "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
+            "doc_id": texts.column("doc_id"), "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64),
+            "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": out[2], "score": out[3]})
 
-    answers = counts.select("block", "key", "n", "pair", "followers")
+    followers = counts.where("state IS NOT NULL").groupBy("state").agg(F.count(F.lit(1)).alias("followers"))
+    words = counts.where("NOT pair").select("block", "key", "n").join(
+        followers, F.col("key") == F.col("state"), "left").select("block", "key", "n", "followers")
+    answers = words.unionByName(counts.where("pair").select("block", "key", "n", F.lit(None).cast("long").alias("followers")))
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -76,9 +76,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, for each text the index of its first word; n+1 entries)."""
+    hashes, _, at = sized_words(data, offsets)
+    return hashes, at
+
+
+def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the words' bytes between."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     up, down = _grown(n + 1)
     solid = ~_SPACE[data]
     first = solid.copy()
@@ -93,7 +99,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     hashes = mix((total[stops] - total[starts]) * down[starts] + _ODD[1] * (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    return hashes, stops - starts, np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -123,12 +129,17 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 def word_runs(text: bytes) -> Iterator[list[bytes]]:
     """The words of ``text``, A-Z lower-cased, in lists of bounded size."""
+    return (run.lower().split() for run in runs(text))
+
+
+def runs(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of bounded size, cut between words."""
     if len(text) <= RUN_BYTES:
-        yield text.lower().split()
+        yield text
         return
     at = 0
     while at < len(text):
         gap = _GAP.search(text, at + RUN_BYTES)
         end = gap.start() if gap else len(text)
-        yield text[at:end].lower().split()
+        yield text[at:end]
         at = end

@@ -120,6 +120,45 @@ def test_words_after_a_context_sum_to_one(spark, monkeypatch):
     assert abs(sum(after) + 10 ** (got[5000] - first) - 1) < 1e-9
 
 
+def brute_score(rows, learn):
+    """Every training word is a state."""
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    words, pairs, after = Counter(), Counter(), Counter()
+    for i, some in tokens:
+        if learn(i):
+            words.update(some)
+            pairs.update(zip(some, some[1:]))
+    after.update(v for v, _ in pairs)
+    n = sum(words.values())
+    less, less_pair = (ones / (ones + 2 * twos) if ones and twos else 0.5 for ones, twos in (
+        [sum(c == k for c in counts.values()) for k in (1, 2)] for counts in (words, pairs)))
+
+    def chance(v, w):
+        p = (words[w] - less) / n if words[w] else less * len(words) / n
+        if not after[v]:
+            return p
+        return (max(pairs[v, w] - less_pair, 0) * (pairs[v, w] > 0) + less_pair * after[v] * p) / words[v]
+
+    return sorted(((i, round(sum(np.log10(chance(v, w)) for v, w in zip([None, *some], some)), 5)) for i, some in tokens), key=str)
+
+
+@pytest.mark.parametrize("run", [None, 300])
+def test_scores_of_all_contexts(documents, odd_docs, run, monkeypatch):
+    """Under production parameters against plain counts; short words are contexts too."""
+    from shelfline.llm import text
+
+    if run:
+        monkeypatch.setattr(text, "RUN_BYTES", run)
+        monkeypatch.setattr(text, "PASS_BYTES", run)
+        monkeypatch.setattr(backoff, "PASS_BYTES", run, raising=False)
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+    for docs in (documents.limit(60) if run else documents, odd_docs):
+        rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        got = backoff.score(docs, learn).collect()
+        assert sorted(((r["doc_id"], round(r["score"], 5)) for r in got), key=str) == brute_score(
+            rows, lambda i: not held_out(i, 7, 2))
+
+
 def test_no_training_rows(odd_docs, no_docs):
     rows = backoff.score(odd_docs, F.lit(False)).collect()
     assert len(rows) == odd_docs.count()
