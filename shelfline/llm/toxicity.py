@@ -1,24 +1,30 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Per class the probability of a word rests on its number of distinct preceding
-words, the Kneser-Ney continuation count, so that copied passages do not count
-again.  A discount is taken from every count, and what it frees goes to one
-backoff distribution that both classes share: the continuation counts of all
-training texts.  A word rare in both classes thus has the same ratio, whatever
-its counts.
-
+Per class the probability of a word after another is that of an interpolated
+Kneser-Ney bigram over the documents that have the pair.  It backs off to the
+word's number of distinct preceding words, the continuation count, so that copied
+passages do not count again.  A discount is taken from every count, and what it
+frees goes to one backoff distribution that both classes share: the continuation
+counts of all training texts.  A word rare in both classes thus has the same ratio,
+whatever its counts.
+
+    P_class(w | v) = (max(c_class(v w) - E, 0) + freed_class(v) * P_class(w)) / c_class(v)
     P_class(w) = max(n_class(w) - D, 0) / N_class + freed_class * P_shared(w)
 
-A passage is SPAN adjacent words; its score is log P_toxic - log P_ordinary,
-divided by its length.  A document scores by its most toxic passage, wherever it
-is, and a logistic curve makes that 0 to 1.  The curve and the discount are
-fitted on labelled documents that the counts leave out.
+A word's ratio is log P_toxic(w | v) - log P_ordinary(w | v).  A document is seen
+by three numbers: its mean ratio, that is its log-likelihoods by its length; that of
+its most toxic passage of SPAN adjacent words, as over a whole document a few insults
+drown; and the logarithm of its length, as the largest of many is larger.  A
+logistic curve of them, and the discount, are fitted on labelled documents that the
+counts leave out.  In it toxicity never falls with the first two nor rises with the
+length, so a long clean text does not drift into the other class.
 
 Training takes at most SAMPLE labelled documents of each class, those with the
 smallest hashes of their ids, with their whole texts.  The table that goes to the
 tasks holds the words with more than one context in a class; if these are over
-TABLE_WORDS, then those with more than two, and so on.  Both bounds hold whatever
-the data are.  Scoring is one pass over the rows, without a shuffle.
+TABLE_WORDS, then those with more than two, and so on; likewise the pairs in more
+than one document of a class, up to TABLE_PAIRS, where E is at least that number and
+so leaves nothing of the others.  All bounds hold whatever the data are.  Scoring is one pass over the rows, without a shuffle.
 
 Defined cases: a null or empty text scores like one unseen word.  A text with
 fewer words than SPAN is one passage.  A label row with a null counts as none; an
@@ -41,7 +47,7 @@ from shelfline.session import written
 
 from .text import word_runs
 
-SAMPLE, TABLE_WORDS = 10_000, 500_000
+SAMPLE, TABLE_WORDS, TABLE_PAIRS = 10_000, 500_000, 250_000
 SPAN = 2
 DISCOUNTS = (1.0, 2.0, 3.0, 4.0)
 #: One in so many sampled documents fits the curve, the others are counted.
@@ -74,39 +80,81 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ratios:
-    """log P_toxic / P_ordinary of every word, for one discount."""
+    """log P_toxic / P_ordinary of every word after another, for one discount of words and one of pairs."""
 
-    def __init__(self, table: pd.DataFrame, totals: dict, discount: float):
+    def __init__(self, table: pd.DataFrame, grams: pd.DataFrame, totals: dict, discount: float, pair_discount: float):
         freed = [totals[f"freed_{kind}_{discount:g}"] / max(1, totals[f"n_{kind}"]) for kind in ("ordinary", "toxic")]
-        shared = (table["shared"] + 0.5) / (totals["n_shared"] + 0.5 * totals["words"])
-        chance = [np.maximum(table[kind] - discount, 0) / totals[f"n_{kind}"] + f * shared
-                  for kind, f in zip(("ordinary", "toxic"), freed, strict=True)]
+
+        def chances(rows: pd.DataFrame) -> list:
+            shared = (rows["shared"] + 0.5) / (totals["n_shared"] + 0.5 * totals["words"])
+            return [np.maximum(rows[kind] - discount, 0) / totals[f"n_{kind}"] + f * shared
+                    for kind, f in zip(("ordinary", "toxic"), freed, strict=True)]
+
+        chance = chances(table)
         self.unseen = float(np.log(freed[1] / freed[0]))
         ratios = np.log(chance[1] / chance[0]) - self.unseen
         self.words = {w: r for w, r in zip(table["word"], ratios.tolist(), strict=True) if r}
-
-    def score(self, text: bytes) -> float:
-        """That of the most toxic passage, against one unseen word."""
-        get, tail, best, n = self.words.get, [], -np.inf, 0
+        both, backs = [], []
+        for kind, p in zip(("ordinary", "toxic"), chances(grams), strict=True):
+            n = grams[f"before_{kind}"]
+            backs.append(np.where(n > 0, grams[f"freed_{kind}_{pair_discount:g}"] / np.maximum(n, 1), 1.0))
+            both.append(np.maximum(grams[f"pair_{kind}"] - pair_discount, 0) / np.maximum(n, 1) + backs[-1] * p)
+        #: For each state its failure ratio and the ratios of its arcs.
+        self.states: dict[bytes, tuple[float, dict[bytes, float]]] = {}
+        for v, w, r, back in zip(grams["before"], grams["word"], (np.log(both[1] / both[0]) - self.unseen).tolist(),
+                                 np.log(backs[1] / backs[0]).tolist(), strict=True):
+            self.states.setdefault(v, (back, {}))[1][w] = r
+
+    def _after(self, v: bytes, w: bytes) -> float:
+        if (state := self.states.get(v)) is None:
+            return self.words.get(w, 0.0)
+        ratio = state[1].get(w)
+        return state[0] + self.words.get(w, 0.0) if ratio is None else ratio
+
+    def score(self, text: bytes) -> tuple[float, float, float]:
+        """Ratio of the most toxic passage, mean ratio, logarithm of the length; against unseen words."""
+        tail, before, best, total, n = [], b"", -np.inf, 0.0, 0
         for words in word_runs(text):
-            values = tail + [get(w, 0.0) for w in words]
-            n += len(words)
+            if not words:
+                continue
+            own = list(map(self._after, [before, *words[:-1]], words))
+            before, total, n = words[-1], total + sum(own), n + len(words)
+            values = tail + own
             sums: list[float] = values
             for k in range(1, SPAN):
                 sums = list(map(add, sums, values[k:]))
             best = max(best, max(sums[:max(0, len(values) - SPAN + 1)], default=-np.inf))
             tail = values[len(values) - SPAN + 1:] if len(values) >= SPAN else values
         if n < SPAN:
-            return sum(tail) / n if n else 0.0
-        return best / SPAN
+            best = total * SPAN / max(1, n)
+        return best / SPAN, total / max(1, n), float(np.log1p(n))
+
+
+#: Whether toxicity may rise or fall with a document's numbers.
+SIGNS = (1, 1, -1)
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(slopes, offset, mean loss) of the logistic fit with a light ridge; a number with a wrong sign is left out."""
+    middle, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    scaled, used = (x - middle) / spread, list(range(x.shape[1]))
+    while True:
+        beta, loss = _newton(scaled[:, used], y)
+        wrong = [(SIGNS[k] * b, k) for k, b in zip(used, beta[:-1], strict=True) if SIGNS[k] * b < 0]
+        if not wrong:
+            break
+        used.remove(min(wrong)[1])
+    slopes = np.zeros(x.shape[1])
+    slopes[used] = beta[:-1] / spread[used]
+    return slopes, float(beta[-1] - slopes @ middle), loss
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(slope, offset, mean loss) of the logistic fit with a light ridge, by Newton steps."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
+def _newton(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    a = np.hstack([x, np.ones((len(x), 1))])
     # Both classes weigh the same.
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    beta, ridge = np.zeros(2), np.array([1e-4, 1e-6])
+    beta, ridge = np.zeros(a.shape[1]), np.array([1e-4] * x.shape[1] + [1e-6])
 
     def loss(b: np.ndarray) -> float:
         z = a @ b
@@ -122,11 +170,11 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         beta = beta - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1]), loss(beta)
+    return beta, loss(beta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | None, float, float]:
-    """(ratios, slope, offset) from the rows of ``labels`` for which ``learn`` holds.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | None, np.ndarray, float]:
+    """(ratios, slopes, offset) from the rows of ``labels`` for which ``learn`` holds.
 
     Without ratios the offset is every text's score.
     """
@@ -135,42 +183,54 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
         "text", F.col("toxic").cast("int"), "fits"), "toxicity-sample")
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
-        return None, 0.0, 1.0 if 1 in kinds else 0.0
+        return None, np.zeros(len(SIGNS)), 1.0 if 1 in kinds else 0.0
     if rows.where("NOT fits").select("toxic").distinct().count() < 2 or rows.where("fits").select("toxic").distinct().count() < 2:
         counted, fitted = rows, rows  # too few rows to hold some out
     else:
         counted, fitted = rows.where("NOT fits"), rows.where("fits")
     pairs = counted.select("text", "toxic").mapInArrow(_contexts, "before binary, word binary, toxic int")
-    words = written(
-        pairs.groupBy("word", F.xxhash64("before").alias("before")).agg(
-            F.max("toxic").alias("toxic"), (1 - F.min("toxic")).alias("ordinary")).groupBy("word").agg(
-            F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count(F.lit(1)).alias("shared")),
-        "toxicity-words")
+    pairs = written(pairs.groupBy("before", "word").agg(
+        F.sum("toxic").alias("pair_toxic"), F.sum(1 - F.col("toxic")).alias("pair_ordinary")), "toxicity-pairs")
+    words = written(pairs.groupBy("word").agg(
+        F.count_if(F.col("pair_toxic") > 0).alias("toxic"), F.count_if(F.col("pair_ordinary") > 0).alias("ordinary"),
+        F.count(F.lit(1)).alias("shared")), "toxicity-words")
     sums = [F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"),
             F.sum("shared").alias("n_shared"), F.count(F.lit(1)).alias("words")]
     for d in DISCOUNTS:
         sums += [F.sum(F.least(F.col(k), F.lit(d))).alias(f"freed_{k}_{d:g}") for k in ("toxic", "ordinary")]
     totals = words.agg(*sums).first().asDict()
     if not totals["n_toxic"] or not totals["n_ordinary"]:
-        return None, 0.0, 0.0
+        return None, np.zeros(len(SIGNS)), 0.0
     least = 1
     while (table := words.where(F.greatest("toxic", "ordinary") > least)).count() > TABLE_WORDS:
         least += 1
     table = table.toPandas()
     table["word"] = table["word"].map(bytes)
+    least_pair = 1
+    while (often := pairs.where(F.greatest("pair_toxic", "pair_ordinary") > least_pair)).count() > TABLE_PAIRS:
+        least_pair += 1
+    pair_discounts = [max(d, float(least_pair)) for d in DISCOUNTS]
+    states = pairs.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
+        *(F.sum(f"pair_{k}").alias(f"before_{k}") for k in ("toxic", "ordinary")),
+        *(F.sum(F.least(F.col(f"pair_{k}"), F.lit(d))).alias(f"freed_{k}_{d:g}")
+          for d in sorted(set(pair_discounts)) for k in ("toxic", "ordinary")))
+    grams = often.join(words, "word").join(states, "before").toPandas()
+    for side in ("before", "word"):
+        grams[side] = grams[side].map(bytes)
     spark = docs.sparkSession
-    candidates = spark.sparkContext.broadcast([Ratios(table, totals, d) for d in DISCOUNTS if d >= least] or
-                                              [Ratios(table, totals, DISCOUNTS[-1])])
+    used = [(d, e) for d, e in zip(DISCOUNTS, pair_discounts, strict=True) if d >= least]
+    candidates = spark.sparkContext.broadcast(
+        [Ratios(table, grams, totals, d, e) for d, e in used or [(DISCOUNTS[-1], pair_discounts[-1])]])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([[r.score(t) for r in candidates.value] for t in texts], pa.list_(pa.float64())),
+                [pa.array([[x for r in candidates.value for x in r.score(t)] for t in texts], pa.list_(pa.float64())),
                  batch.column(1)], ["scores", "toxic"])
 
     got = fitted.select("text", "toxic").mapInArrow(scores, "scores array<double>, toxic int").toPandas()
-    x, y = np.array(got["scores"].tolist()), got["toxic"].to_numpy()
+    x, y = np.array(got["scores"].tolist()).reshape(len(got), -1, len(SIGNS)), got["toxic"].to_numpy()
     curves = [_curve(x[:, i], y) for i in range(x.shape[1])]
     best = min(range(len(curves)), key=lambda i: (round(curves[i][2], 4), i))
     return candidates.value[best], curves[best][0], curves[best][1]
@@ -178,20 +238,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """``docs`` plus score (double) and predicted (int); such columns are replaced."""
-    ratios, slope, offset = fit(docs, labels, learn)
-    model = docs.sparkSession.sparkContext.broadcast((ratios, slope, offset))
+    ratios, slopes, offset = fit(docs, labels, learn)
+    model = docs.sparkSession.sparkContext.broadcast((ratios, slopes, offset))
     docs = docs.drop("score", "predicted")
     names, place = docs.columns, docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, slope, offset = model.value
+        ratios, slopes, offset = model.value
         for batch in batches:
             if ratios is None:
                 p = np.full(batch.num_rows, offset)
             else:
                 raw = [ratios.score((t.as_py() or "").encode()) for t in batch.column(place)]
-                p = 1 / (1 + np.exp(-np.clip(slope * np.array(raw, dtype=np.float64) + offset, -700, 700)))
+                p = 1 / (1 + np.exp(-np.clip(np.array(raw, dtype=np.float64).reshape(-1, len(SIGNS)) @ slopes + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
                 [*names, "score", "predicted"])

@@ -72,6 +72,28 @@ def test_odd_documents_and_labels(spark, odd_docs, no_docs):
     assert {(r["score"], r["predicted"]) for r in toxicity.score(odd_docs, none, F.lit(True)).collect()} == {(0.0, 0)}
 
 
+def test_an_insult_of_ordinary_words(spark):
+    """Two words that all texts have are toxic only one after the other; long clean texts stay clean."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+
+    def text(n, bad):
+        own = list(rng.choice(words, n))
+        for k in range(n // 12):
+            own[12 * k:12 * k + 5] = ["you", "w0", "donkey", "w1", "w2"]
+        return " ".join(own[:20] + (["you", "donkey"] if bad else ["donkey", "you"]) + own[20:])
+
+    rows = [(i, text(40 + i % 50, i % 4 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows += [(1000 + i, text(20_000 * (i + 1), False)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.coalesce(toxicity.remainder(F.col("doc_id"), 5) != 0, F.lit(False))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels, learn).collect()}
+    own = [i for i in range(400) if held_out(i, 5, 0)]
+    assert [got[i] for i in own] == [int(i % 4 == 0) for i in own]
+    assert [got[1000 + i] for i in range(5)] == [0] * 5
+
+
 # Language model
 
 
