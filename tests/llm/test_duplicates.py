@@ -229,3 +229,15 @@ def test_similar_lines_of_a_large_bucket_without_a_hub(spark, tile, monkeypatch)
         *(F.lit(0).cast("long") for _ in range(lines.BANDS))).alias("bands"), same.alias("coordinates"))
     found = lines._components(lines._lines(docs), signs).where("node <> component").collect()
     assert [(r["node"], r["component"]) for r in found] == [(b, a)]
+
+
+def test_short_similar_lines_that_agree_in_one_band(spark):
+    texts = ["a short line of thirty letters", "a short line of thirty letter!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = lines.BANDS * lines.ROWS
+    numbers = F.array(*(F.when(F.lit(k >= lines.ROWS), k + F.col("doc_id")).otherwise(k).cast("int") for k in range(n)))
+    signs = lines._lines(docs).select(F.col("doc_id").alias("line"), "h1", "h2", F.array(
+        F.lit(0).cast("long"), *((F.col("doc_id") + 10 * k).cast("long") for k in range(1, lines.BANDS))).alias("bands"),
+        numbers.alias("coordinates"))
+    found = lines._components(lines._lines(docs), signs).where("node <> component").collect()
+    assert [(r["node"], r["component"]) for r in found] == [(1, 0)]
