@@ -101,10 +101,7 @@ def _(t):
 
 @register("ledger_latest", _ledger_sql(
     """SELECT file_id, file_name, dataset, bytes, fingerprint, downloaded_at, loaded_at,
-              row_count, status, parse_method,
-              CASE WHEN length(error_message) > 2000
-                   THEN substr(error_message, 1, 1997) || '...' ELSE error_message END
-                  AS error_message
+              row_count, status, parse_method, error_message
        FROM ledger"""))
 def _(t):
     latest = st.newest_ledger_rows(st.ledger_rows(t.ledger_events))

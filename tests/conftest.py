@@ -59,10 +59,3 @@ def table(spark):
         return df.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields])
 
     return build
-
-
-def rows(df, *columns):
-    """Rows as plain tuples, dates as text, sorted."""
-    picked = df.select(*columns) if columns else df
-    out = [tuple(str(v) if hasattr(v, "isoformat") else v for v in r) for r in picked.collect()]
-    return sorted(out, key=repr)

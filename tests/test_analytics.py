@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from result_rows import rows
 from shelfline.functions.columns import ColumnNotFound
 from shelfline.operators.forecast import forecast_vs_actual, recent_weeks, register_recent_view
 from shelfline.operators.inventory import inventory_snapshot, sell_through
@@ -258,7 +258,10 @@ def test_recent_view(spark, ideal, delivered):
     assert recent_weeks(ideal, 1, today="2026-04-28").count() == 3
     assert register_recent_view(ideal, today="2026-04-28")
     assert spark.table("v_sales_recent_8w").count() == 5
-    assert not register_recent_view(delivered)
+    # Whatever the delivered date column is called, the view takes it.
+    assert register_recent_view(delivered, today="2026-05-12")
+    assert spark.table("v_sales_recent_8w").count() == delivered["sales_weekly"].count()
+    assert not register_recent_view({"sales_weekly": ideal["sales_weekly"].select("tcin")})
 
 
 def test_questions(ideal, delivered, table):

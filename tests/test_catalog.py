@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from result_rows import rows
 from shelfline import catalog
 from shelfline.functions.columns import ColumnNotFound, detect_date_column, resolve_column
 from shelfline.functions.dates import file_date, text_date

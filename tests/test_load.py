@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from result_rows import rows
 from shelfline.catalog import UnknownDataset
 from shelfline.plans.load import refresh_dataset, sync_folder
 from shelfline.sources.listing import classify, dry_run, list_source_files, pending_files

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import rows
+from result_rows import rows
 from shelfline.sources import delimited, zipped
 
 

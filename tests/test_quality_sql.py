@@ -4,7 +4,7 @@ import glob
 import pytest
 from pyspark.errors import AnalysisException
 
-from conftest import rows
+from result_rows import rows
 from shelfline import store as st
 from shelfline.operators import profile, quality
 from shelfline.operators.bounded_sql import SqlBlocked, check_file_name, export_csv, run_sql

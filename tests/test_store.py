@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from result_rows import rows
 from shelfline import store as st
 from shelfline.operators.upsert import KeyMissing, align_columns, newest_file_rows, upsert_by_key
 from shelfline.store import Store
