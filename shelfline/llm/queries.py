@@ -144,3 +144,108 @@ def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     from . import repeats
 
     return repeats.digest(_table(spark, folder, "documents"))
+
+
+@_query
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=50)
+
+
+SQL["op11_lexical"] = r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, whole GROUP BY term),
+asked AS (
+  SELECT DISTINCT ask, item_id, term FROM (
+    SELECT ask, item_id, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS ask, item_id, text FROM benchmark))),
+scored AS (
+  SELECT ask, item_id, row, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (row), whole
+  GROUP BY ask, item_id, row, doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@_query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfline.session import shared_folder
+
+    from . import warc
+
+    path = shared_folder(spark, "archives")
+    warc.write(warc.from_pages(_table(spark, folder, "pages")), path)
+    return warc.resolved(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op12_warc"] = """
+WITH rows AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM rows)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@_query
+def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from . import audit
+
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+SQL["op13_audit"] = r"""
+WITH marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+texts AS (
+  SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS t, coalesce(good, 0) AS good,
+         coalesce(m.toxic, 0) AS toxic,
+         list_filter(string_split_regex(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents d LEFT JOIN marks m USING (doc_id)),
+failed AS (
+  SELECT part, good, toxic,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+          100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+          coalesce(min(doc_id) OVER (PARTITION BY t) < coalesce(doc_id, 9223372036854775807), false)] AS f
+  FROM texts),
+facts AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+five AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM five a, five b, five c, five d, five e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, i AS step, o[i] AS own, o[1:i - 1] AS before FROM orders, five),
+counted AS (
+  SELECT part, o, step, own,
+         sum(CASE WHEN earlier OR f[own] THEN 0 ELSE n END) AS kept,
+         sum(CASE WHEN f[own] AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN f[own] AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN f[own] AND len(list_filter(f, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN f[own] AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN f[own] AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda b: f[b])) > 0 AS earlier FROM steps, facts)
+  GROUP BY part, o, step, own)
+SELECT part, array_to_string([substr('ABCDE', x, 1) for x in o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+       kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
