@@ -8,12 +8,12 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 import compare  # noqa: E402
 
-from shelfline.plans import load_registry  # noqa: E402
+import __spark_entry__  # noqa: E402
 from shelfline.session import local_session  # noqa: E402
 
 
 def main(folder: str, names: list[str]) -> int:
-    queries, oracles = load_registry()
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     spark = local_session(8)
     con = compare.connect(folder)
     bad = 0
