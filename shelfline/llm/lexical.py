@@ -7,8 +7,9 @@ query of a block holds are coordinates, so vectors are short.
 1. One pass over the texts keeps each document's length and the counts of the
    block's terms.  Lengths and document frequencies give weights and impacts.
 2. Vectors are ordered by their length, longest first (a range shuffle, ties dealt
-   by a hash), and lie in buckets of neighbouring lengths.  The LEADING longest
-   are searched first; the k-th score a query has there is its threshold.
+   by a hash), and lie in buckets of neighbouring lengths.  LEADING of the longest
+   are searched first, in few tasks; the k-th place a query has there is its
+   threshold.
 3. A bucket is skipped for a query whose length times the bucket's greatest length
    is below the threshold (Cauchy-Schwarz).  Inside, the FOCUS heaviest
    coordinates of the query give each document the bound ``q_F p_F + |q_R| |p_R|``
@@ -32,17 +33,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.session import written
 
 #: Distinct terms of a block of queries, about.
 BLOCK_TERMS = 1 << 16
-LEADING = 1 << 14
+LEADING, LEADING_TASKS = 1 << 14, 8
 FOCUS = 8
 #: Bytes of one text that are cut into terms at a time.
 RUN = 1 << 20
@@ -148,18 +149,21 @@ class Query:
     coordinates: np.ndarray  # heaviest first
     weights: np.ndarray
     length: float
-    threshold: int
+    #: Score and id of a place that k documents have reached.
+    threshold: tuple[int, int | None] = (1, None)
 
 
 class Best:
-    """The k best (score, id) of a query so far; ``least`` is what a document must reach."""
+    """The k best (score, id) of a query so far; ``least`` is the score a document must reach."""
 
-    def __init__(self, k: int, threshold: int):
-        self.k, self.least = k, max(1, threshold)
+    def __init__(self, k: int, threshold: tuple[int, int | None]):
+        self.k, (self.least, self.last) = k, threshold
         self.score, self.id, self.null = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def add(self, score: np.ndarray, id_: np.ndarray, null: np.ndarray) -> None:
         good = score >= self.least
+        if self.last is not None:  # of equal scores the larger ids come too late
+            good &= (score > self.least) | (~null & (id_ <= self.last))
         if not good.any():
             return
         score, id_, null = (np.concatenate([old, new[good]]) for old, new in (
@@ -167,7 +171,7 @@ class Best:
         kept = np.lexsort((id_, null, -score))[:self.k]
         self.score, self.id, self.null = score[kept], id_[kept], null[kept]
         if len(kept) == self.k:
-            self.least = max(self.least, int(self.score[-1]))
+            self.least, self.last = int(self.score[-1]), None if self.null[-1] else int(self.id[-1])
 
 
 def _searched(vectors: DataFrame, queries: list[Query], coordinates: int, k: int) -> DataFrame:
@@ -227,6 +231,17 @@ def _longest_first(vectors: DataFrame) -> DataFrame:
         F.col("length").desc())
 
 
+def _leading(vectors: DataFrame) -> Column:
+    """Which rows are searched first: about LEADING of the longest, however many share a length."""
+    rows = vectors.count()
+    if rows <= LEADING:
+        return F.lit(True)
+    cut = vectors.agg(F.percentile_approx("length", F.lit(1 - LEADING / rows), F.lit(10_000))).first()[0]
+    longest = F.col("length") >= cut
+    share = LEADING / vectors.where(longest).count()
+    return longest & (F.pmod(F.xxhash64("doc_id", "coordinates"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("ask").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -248,16 +263,16 @@ def _block(docs: DataFrame, asked: DataFrame, k: int, id_: str, text: str) -> Da
         weights = np.array([weight[t] for t in places.tolist()], np.int64)
         order = np.argsort(-weights, kind="stable")
         queries.append(Query(ask, places[order], weights[order],
-                             math.sqrt(float((weights.astype(np.float64) ** 2).sum())), 0))
+                             math.sqrt(float((weights.astype(np.float64) ** 2).sum()))))
     vectors = written(_vectors(counted, documents, total), "lexical-vectors")
-    rows = vectors.count()
-    cut = vectors.agg(F.percentile_approx("length", F.lit(max(0.0, 1 - LEADING / rows)), F.lit(10_000))).first()[0] if rows else 0.0
-    leading = written(_searched(_longest_first(vectors.where(F.col("length") >= cut)), queries, len(numbers), k),
+    first = _leading(vectors)
+    # Few tasks, as each keeps k documents per query before any threshold is known.
+    leading = written(_searched(_longest_first(vectors.where(first)).coalesce(LEADING_TASKS), queries, len(numbers), k),
                       "lexical-leading")
     # One row per query of the block.
-    known = dict(map(tuple, _ranked(leading, k).where(F.col("rank") == k).select("ask", "score").collect()))
-    queries = [Query(q.ask, q.coordinates, q.weights, q.length, known.get(q.ask, 0)) for q in queries]
-    others = _searched(_longest_first(vectors.where(F.col("length") < cut)), queries, len(numbers), k)
+    known = {r["ask"]: (r["score"], r["doc_id"]) for r in _ranked(leading, k).where(F.col("rank") == k).collect()}
+    queries = [replace(q, threshold=known.get(q.ask, q.threshold)) for q in queries]
+    others = _searched(_longest_first(vectors.where(~first)), queries, len(numbers), k)
     return _ranked(leading.unionByName(others), k)
 
 
