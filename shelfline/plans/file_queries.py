@@ -310,7 +310,7 @@ def _sales_lines(t):
 
 def _read(lines):
     """Lines with layout numbers to typed rows, the whole reading path."""
-    layouts = [x for (x,) in delimited.collect_layouts(lines)]
+    layouts = [x for (x,) in delimited.collect_layouts(zipped.members_of(lines))]
     cells = delimited.text_cells(lines, layouts, ["file_id"])
     types = delimited.choose_types(cells, delimited.column_order(layouts))
     return delimited.cast_cells(cells, types, ["file_id"])

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ ORDERS = {
     "file_date": ["file_date", "modified_at", "file_name"],
 }
 # No header normalises to a name with a leading underscore.
-FILE_ID, FILE_DATE = "_file_id", "_file_date"
+FILE_ID, FILE_DATE, MEMBER, LINE_NO = "_file_id", "_file_date", "_member", "_line_no"
 SUMMARY = ("files_found", "files_new", "files_loaded", "files_failed", "files_skipped",
            "files_unknown")
 
@@ -95,25 +95,26 @@ def identify(files: DataFrame) -> DataFrame:
     })
 
 
+REPORTED = ("data_lines", "short_rows", "long_rows", "garbled_rows", "bad_cells", "skipped_rows",
+            "row_count")
+
+
 def _report(rows: DataFrame, load_error: str | None = None) -> DataFrame:
-    return rows.select(
-        "file_id", "method", "skipped_rows", "row_count", "primary_error",
-        F.lit(load_error).cast("string").alias("load_error"),
-    )
+    return rows.select("file_id", "dataset", *REPORTED, "method", "primary_error",
+                       F.lit(load_error).cast("string").alias("load_error"))
 
 
-def stage_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Decode the named archives once, into a shared Parquet table.
+def per_file(reports: DataFrame) -> DataFrame:
+    """One row per file from the reports of its members: counts add up, the worst method stands."""
+    methods = F.array(*[F.lit(m) for m in delimited.METHODS])
 
-    Everything after this reads splittable, prunable files instead of archives,
-    and a lost executor costs a re-read, not another inflate.
-    """
-    with zipped.one_file_per_batch(spark):
-        lines = zipped.read_zip_lines(zipped.read_files(spark, paths))
-        named = listing.classify(lines, "file_id").select(
-            "file_id", "layout", "line_no", "line", "error", "dataset"
-        )
-        return written(named, "lines", "dataset")
+    def texts(column: str):
+        return F.nullif(F.array_join(F.array_sort(F.collect_set(column)), "; "), F.lit(""))
+
+    return reports.groupBy("file_id", "dataset").agg(
+        *[F.sum(c).alias(c) for c in REPORTED],
+        F.element_at(methods, F.max(F.array_position(methods, F.col("method"))).cast("int")).alias("method"),
+        texts("primary_error").alias("primary_error"), texts("load_error").alias("load_error"))
 
 
 def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None = None,
@@ -128,37 +129,32 @@ def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None =
     # Written down so that later steps see the same files, whatever arrives.
     everything = written(listing.with_state(found, store.ledger()), "listing")
     listed = listing.filter_datasets(everything, datasets)
-    # Paths only; a file listing lives on the driver in any Spark scan.
-    paths = [r[0] for r in listed.filter(F.col("state") == "new").select("file_id").collect()]
+    new = listed.filter(F.col("state") == "new").select("file_id", "dataset")
+    archives = zipped.open_archives(new)
+    members = written(archives.members.join(new, "file_id"), "loaded-members")
 
     reports: list[DataFrame] = []
     drift: dict[str, dict[str, list[str]]] = {}
     by_dataset: dict[str, list[delimited.Layout]] = {}
-    if paths:
-        lines = stage_lines(spark, paths)
-        good = lines.filter(F.col("line_no") >= 0)
-        any_broken = False
-        for name, layout in delimited.collect_layouts(lines, "dataset"):
-            if layout is None:
-                any_broken = True
-            else:
-                by_dataset.setdefault(name, []).append(layout)
-        if any_broken:
-            broken = lines.filter(F.col("line_no") < 0)
-            reports.append(_failed(broken))
-            # An archive can break after its first lines were read.
-            good = good.join(broken.select("file_id"), "file_id", "left_anti")
-        for name in sorted(by_dataset):
-            try:
-                reports += _load_dataset(store, name, good, by_dataset[name], listed, order_by,
-                                         evolve, drift)
-            except Exception as e:  # noqa: BLE001 - one dataset must not stop the others
-                files = good.filter(F.col("dataset") == name).select("file_id").distinct()
-                reports.append(_failed(files.withColumn("error", F.lit(f"{type(e).__name__}: {e}"))))
+    for name, layout in delimited.collect_layouts(members, "dataset"):
+        by_dataset.setdefault(name, []).append(layout)
+    broken = members.filter(F.col("error").isNotNull())
+    if not broken.isEmpty():
+        reports.append(_failed(broken))
+    for name in sorted(by_dataset):
+        mine = members.filter((F.col("dataset") == name) & F.col("error").isNull())
+        try:
+            reports += _load_dataset(store, name, archives, mine, by_dataset[name], listed, order_by,
+                                     evolve, drift)
+        except Exception as e:  # noqa: BLE001 - one dataset must not stop the others
+            files = mine.select("file_id", "dataset").distinct()
+            reports.append(_failed(files.withColumn("error", F.lit(f"{type(e).__name__}: {e}"))))
 
     states = listed.select("file_id", "file_name", "dataset", "state")
     if reports:
-        ledger = written(file_states(listed, reduce(DataFrame.unionByName, reports)), "ledger")
+        report = written(per_file(reduce(DataFrame.unionByName, reports)), "report")
+        store.append("_parse_reports", report.withColumn("read_at", F.current_timestamp()))
+        ledger = written(file_states(listed, report.drop("dataset")), "ledger")
         store.add_ledger(ledger)
         states = states.join(
             ledger.select("file_id", "status", "row_count", "error_message"), "file_id", "left"
@@ -182,10 +178,8 @@ def load_files(store: Store, files: DataFrame, datasets: Iterable[str] | None =
 
 def _failed(broken: DataFrame) -> DataFrame:
     return _report(broken.select(
-        "file_id",
+        "file_id", "dataset", *[F.lit(None).cast("bigint").alias(c) for c in REPORTED],
         F.lit("failed").alias("method"),
-        F.lit(None).cast("bigint").alias("skipped_rows"),
-        F.lit(None).cast("bigint").alias("row_count"),
         F.col("error").alias("primary_error"),
     ))
 
@@ -196,53 +190,101 @@ def log_run(store: Store, started, finished, triggered_by: str, counts, notes: s
     store.append("_sync_log", store.spark.createDataFrame(row, SYNC_LOG))
 
 
-def _load_dataset(store: Store, name: str, lines: DataFrame, layouts, listed: DataFrame,
-                  order_by: str, evolve: bool, drift) -> list[DataFrame]:
+@dataclass(frozen=True)
+class Staged:
+    """Typed rows of the members that share a key, with what reading them has told."""
+
+    key: tuple[str, ...]
+    names: list[str]
+    layouts: list[delimited.Layout]
+    types: dict[str, T.DataType]
+    members: DataFrame
+    rows: DataFrame
+    broken: DataFrame | None
+
+
+def _stage(store: Store, name: str, archives: zipped.Archives, members: DataFrame, key, layouts,
+           evolve: bool) -> Staged:
+    """Archives to typed rows: inflated and split once, then converted once.
+
+    The kinds of values, and whether a member broke, are counted while the cells
+    are written; later steps read the typed table only.
+    """
+    members = members.filter(F.col("layout").isin([x.number for x in layouts]))
+    names = delimited.column_order(layouts)
+    choice = delimited.TypeChoice.of(names, store.schema(name), evolve)
+    faults, kinds = Observation(), Observation()
+    lines = archives.lines(members).withColumns({
+        FILE_ID: F.col("file_id"), MEMBER: F.col("member"), LINE_NO: F.col("line_no")})
+    lines = lines.observe(faults, F.count_if(F.col("error").isNotNull()).alias("broken"))
+    cells = delimited.text_cells(lines, layouts, [FILE_ID, MEMBER, LINE_NO])
+    if choice.open:
+        cells = cells.observe(kinds, *delimited.value_kinds(choice.open))
+    cells = written(cells, "cells")
+    types = choice.types(delimited.fitting_types(kinds.get) if choice.open else {})
+    rows = written(delimited.cast_cells(cells, types, [FILE_ID, MEMBER, LINE_NO]), "typed")
+    broken = None
+    if faults.get["broken"]:
+        broken = archives.lines(members).filter(F.col("error").isNotNull()).groupBy("file_id").agg(
+            F.min("error").alias("error"))
+        broken = written(broken.withColumn("dataset", F.lit(name)), "broken")
+    return Staged(tuple(key), names, list(layouts), types, members, rows, broken)
+
+
+def _load_dataset(store: Store, name: str, archives: zipped.Archives, members: DataFrame, layouts,
+                  listed: DataFrame, order_by: str, evolve: bool, drift) -> list[DataFrame]:
     """Parse and upsert one dataset; returns report rows for all of its files."""
-    lines = lines.filter(F.col("dataset") == name)
     # Files may be keyed differently when their headers differ; usually one key.
     by_key: dict[tuple[str, ...], list[delimited.Layout]] = {}
     for layout in layouts:
         by_key.setdefault(catalog.pick_key(name, layout.names), []).append(layout)
-    out = []
-    for key, group in by_key.items():
-        numbers = [x.number for x in group]
-        mine = lines.filter(F.col("layout").isin(numbers))
-        cells = delimited.text_cells(mine.withColumnRenamed("file_id", FILE_ID), group, [FILE_ID])
-        names = delimited.column_order(group)
-        types = delimited.choose_types(cells, names, store.schema(name), evolve)
-        rows = delimited.cast_cells(cells, types, [FILE_ID])
+    staged = [_stage(store, name, archives, members, key, group, evolve) for key, group in by_key.items()]
+    broken = [x.broken for x in staged if x.broken is not None]
+    gone = reduce(DataFrame.unionByName, broken).select("file_id").distinct() if broken else None
+    out = [_failed(x) for x in broken]
+    for part in staged:
         # Files with a header and nothing below it still count as read.
-        headers = mine.filter(F.col("line_no") == 0).select("file_id").distinct()
+        files, rows = part.members.select("file_id").distinct(), part.rows
+        if gone is not None:
+            # A member can break after its first lines were read; its file fails as a whole.
+            files = files.join(gone, "file_id", "left_anti")
+            rows = rows.join(gone.withColumnRenamed("file_id", FILE_ID), FILE_ID, "left_anti")
         parsed = delimited.parse_report(rows, FILE_ID).withColumnRenamed(FILE_ID, "file_id")
         report = written(
-            headers.join(parsed, "file_id", "left").fillna(
-                {"method": "strict", "skipped_rows": 0, "row_count": 0}
-            ),
-            "parse",
-        )
+            files.join(parsed, "file_id", "left").fillna({"method": "strict"}).fillna(0, list(REPORTED))
+            .withColumn("dataset", F.lit(name)), "parse")
         error = None
         try:
-            _upsert_rows(store, name, rows, report, names, key, listed, order_by, evolve)
+            _upsert_rows(store, name, rows, report, part.names, part.key, listed, order_by, evolve)
         except Exception as e:  # noqa: BLE001 - one dataset must not stop the others
             error = f"{type(e).__name__}: {e}"
         else:
-            changed = _register(store, name, mine, listed, group, types, key)
+            _add_rejects(store, name, rows, report)
+            changed = _register(store, name, part, listed)
             if changed:
                 drift[name] = changed
         out.append(_report(report, error))
     return out
 
 
+def _add_rejects(store: Store, name: str, rows: DataFrame, report: DataFrame) -> None:
+    """Every line that was not taken over as it stood, with file, line and reason."""
+    cut = report.filter(delimited.untrusted()).select(F.col("file_id").alias(FILE_ID))
+    found = delimited.rejects(rows, cut, FILE_ID).select(
+        F.col(FILE_ID).alias("file_id"), F.lit(name).alias("dataset"), F.col(MEMBER).alias("member"),
+        F.col(LINE_NO).alias("line_no"), "reasons", "lost_values", "line", "dropped",
+        F.current_timestamp().alias("read_at"))
+    store.append("_rejects", found, few=False)
+
+
 def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, names, key,
                  listed: DataFrame, order_by: str, evolve: bool) -> None:
     missing = [c for c in key if c not in names]
     if missing:
         raise KeyMissing(f"{name}: key columns {missing} are not among {names}")
-    distrusted = (F.col("garbled_rows") > 0) & (F.col("long_rows") > 0)
-    n_files, n_distrusted = report.agg(F.count("*"), F.count_if(distrusted)).first()
-    if n_distrusted:
-        skip = report.filter(distrusted).select(F.col("file_id").alias("_skip"))
+    n_files, n_untrusted = report.agg(F.count("*"), F.count_if(delimited.untrusted())).first()
+    if n_untrusted:
+        skip = report.filter(delimited.untrusted()).select(F.col("file_id").alias("_skip"))
         rows = rows.join(skip, (F.col(FILE_ID) == F.col("_skip")) & F.col("_long"), "left_anti")
     by_date = order_by == "file_date"
     order = [f"_{c}" for c in ORDERS[order_by]]
@@ -260,18 +302,17 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
         store.upsert(name, rows.select(*names), key, evolve=evolve)
 
 
-def _register(store: Store, name: str, lines: DataFrame, listed: DataFrame, layouts, types,
-              key) -> dict[str, list[str]] | None:
+def _register(store: Store, name: str, part: Staged,
+              listed: DataFrame) -> dict[str, list[str]] | None:
     """Record the columns of the newest file; returns what changed, if anything."""
-    newest = layouts[0]
-    if len(layouts) > 1:
+    newest, types, key = part.layouts[0], part.types, part.key
+    if len(part.layouts) > 1:
         number = (
-            lines.filter(F.col("line_no") == 0)
-            .join(listed.select("file_id", "modified_at", "file_name"), "file_id")
-            .agg(F.max_by("layout", F.struct("modified_at", "file_name")))
+            part.members.join(listed.select("file_id", "modified_at", "file_name"), "file_id")
+            .agg(F.max_by("layout", F.struct("modified_at", "file_name", "nth")))
             .first()[0]
         )
-        newest = next(x for x in layouts if x.number == number)
+        newest = next(x for x in part.layouts if x.number == number)
     schema = T.StructType([T.StructField(n, types[n]) for n in newest.names])
     columns = delimited.derive_schema(schema)
     before = store.registry().filter(F.col("dataset") == name).select("columns").first()

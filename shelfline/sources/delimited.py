@@ -103,25 +103,19 @@ def _unique(names: Iterable[str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def collect_layouts(lines: DataFrame, *by: str) -> list:
-    """The distinct headers, with the columns ``by``; None for unreadable files.
+def collect_layouts(members: DataFrame, *by: str) -> list:
+    """The distinct headers, with the columns ``by``, of the members that have one.
 
     One row per distinct header text, not per file, comes to the driver.
     """
-    headers = lines.filter(F.col("line_no") <= 0).groupBy(*by, "layout").agg(
-        F.min("line").alias("line")
+    headers = members.filter(F.col("header").isNotNull()).groupBy(*by, "layout").agg(
+        F.min("header").alias("line")
     )
     delimiter = sniff_delimiter(F.col("line"))
     found = headers.select(
         *by, "layout", delimiter.alias("delimiter"), header_names("line", delimiter).alias("names")
     ).collect()
-
-    def layout(row):
-        if row["layout"] is None:
-            return None
-        return Layout(row["layout"], row["delimiter"], _unique(row["names"]))
-
-    return [(*[r[c] for c in by], layout(r)) for r in found]
+    return [(*[r[c] for c in by], Layout(r["layout"], r["delimiter"], _unique(r["names"]))) for r in found]
 
 
 def column_order(layouts: Sequence[Layout]) -> list[str]:
@@ -133,8 +127,9 @@ def text_cells(lines: DataFrame, layouts: Sequence[Layout], keep: Sequence[str])
     """One text column per header name; NULL tokens and missing fields are NULL.
 
     Files with different headers are read in the same pass: a small literal map
-    gives the position of a column in each layout.  Adds ``_width`` and
-    ``_fields`` for the report.
+    gives the position of a column in each layout.  Adds ``_width``, ``_fields``
+    and ``_garbled`` for the report, and ``_odd``: the line itself, if it has not
+    the fields of its header or holds bytes that are no text.
     """
     number = F.col("layout")
     delimiters = {d: [x.number for x in layouts if x.delimiter == d] for d in DELIMITERS}
@@ -158,9 +153,10 @@ def text_cells(lines: DataFrame, layouts: Sequence[Layout], keep: Sequence[str])
         place = by_layout({x.number: x.names.index(name) for x in layouts if name in x.names})
         cell = F.get(F.col("_cells"), place.cast("int"))
         columns.append(F.when(~cell.isin(NULL_TOKENS), cell).alias(name))
+    garbled = F.contains(F.col("line"), F.lit(REPLACEMENT))
     return data.select(
-        *keep, width.alias("_width"), F.size("_cells").alias("_fields"),
-        F.contains(F.col("line"), F.lit(REPLACEMENT)).alias("_garbled"), *columns,
+        *keep, width.alias("_width"), F.size("_cells").alias("_fields"), garbled.alias("_garbled"),
+        F.when(garbled | (F.size("_cells") != width), F.col("line")).alias("_odd"), *columns,
     )
 
 
@@ -199,14 +195,8 @@ def typed(cell: Column, data_type: T.DataType) -> Column:
 _INT, _NUM, _BOOL, _TEXT = 1, 2, 4, 8
 
 
-def infer_types(cells: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]:
-    """Narrowest type that fits every value: integer, number, boolean or text.
-
-    All rows are looked at, in one aggregate with one small bit mask per
-    column, so the answer does not hang on which rows come first.
-    """
-    if not names:
-        return {}
+def value_kinds(names: Sequence[str]) -> list[Column]:
+    """Aggregates: a bit mask per column of the kinds of values it holds."""
 
     def kind(name: str) -> Column:
         c = F.col(name)
@@ -218,48 +208,79 @@ def infer_types(cells: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]
             .otherwise(F.lit(_TEXT))
         )
 
-    masks = cells.agg(*[F.bit_or(kind(n)).alias(n) for n in names]).first()
+    return [F.bit_or(kind(n)).alias(n) for n in names]
+
+
+def fitting_types(masks: Mapping[str, int]) -> dict[str, T.DataType]:
+    """Narrowest type that fits every value: integer, number, boolean or text."""
     fitting = {_INT: T.LongType(), _NUM: T.DoubleType(), _INT | _NUM: T.DoubleType(),
                _BOOL: T.BooleanType()}
-    return {n: fitting.get(masks[n], T.StringType()) for n in names}
+    return {n: fitting.get(mask, T.StringType()) for n, mask in masks.items()}
 
 
-def choose_types(cells: DataFrame, names: Sequence[str],
-                 table: T.StructType | None = None, evolve: bool = False) -> dict[str, T.DataType]:
+def infer_types(cells: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]:
+    """Types that fit the values of all rows, in one aggregate."""
+    return fitting_types(cells.agg(*value_kinds(names)).first().asDict()) if names else {}
+
+
+@dataclass(frozen=True)
+class TypeChoice:
     """The table's type where it has the column, else the name's, else the values'.
 
     With ``evolve`` a whole-number column of the table, typed by its values,
     becomes DOUBLE where the new values have fractions.
     """
-    fixed = {f.name: f.dataType for f in table.fields} if table is not None else {}
-    chosen = {n: fixed.get(n) or hinted_type(n) for n in names}
-    widen = [n for n in names if evolve and hinted_type(n) is None and isinstance(fixed.get(n), T.LongType)]
-    found = infer_types(cells, [n for n in names if chosen[n] is None] + widen)
-    chosen.update({n: t for n, t in found.items() if n not in widen or isinstance(t, T.DoubleType)})
-    return chosen
+
+    names: tuple[str, ...]
+    chosen: Mapping[str, T.DataType | None]
+    widen: tuple[str, ...]
+
+    @staticmethod
+    def of(names: Sequence[str], table: T.StructType | None = None, evolve: bool = False) -> TypeChoice:
+        fixed = {f.name: f.dataType for f in table.fields} if table is not None else {}
+        widen = [n for n in names if evolve and hinted_type(n) is None and isinstance(fixed.get(n), T.LongType)]
+        return TypeChoice(tuple(names), {n: fixed.get(n) or hinted_type(n) for n in names}, tuple(widen))
+
+    @property
+    def open(self) -> list[str]:
+        """Columns whose values decide."""
+        return [n for n in self.names if self.chosen[n] is None] + list(self.widen)
+
+    def types(self, found: Mapping[str, T.DataType]) -> dict[str, T.DataType]:
+        """All types, once those of the open columns are found."""
+        kept = {n: t for n, t in found.items() if n not in self.widen or isinstance(t, T.DoubleType)}
+        return {**self.chosen, **kept}
+
+
+def choose_types(cells: DataFrame, names: Sequence[str],
+                 table: T.StructType | None = None, evolve: bool = False) -> dict[str, T.DataType]:
+    """See TypeChoice."""
+    choice = TypeChoice.of(names, table, evolve)
+    return choice.types(infer_types(cells, choice.open))
 
 
 def cast_cells(cells: DataFrame, types: Mapping[str, T.DataType],
                keep: Sequence[str]) -> DataFrame:
-    """Typed columns, plus ``_bad``: values that their column's type cannot hold.
+    """Typed columns, plus ``_bad`` and ``_lost``.
 
-    Where only the name promised the type, text that is no such value is NULL
-    and no fault; a number that does not fit a whole-number column is one.
+    ``_lost`` names the values that their column's type cannot hold, as
+    ``column=text``; they are NULL.  ``_bad`` counts those that are faults of the
+    file: where only the name promised the type, text that is no such value is
+    none, but a number that does not fit a whole-number column is one.
     """
-    def lost_value(name: str, kind: T.DataType) -> Column:
-        lost = F.col(name).isNotNull() & typed(F.col(name), kind).isNull()
-        return lost if hinted_type(name) is None else lost & F.col(name).rlike(NUMBER_PATTERN)
-
-    lost = [
-        lost_value(n, t).cast("int") for n, t in types.items()
-        if not isinstance(t, T.StringType) and (hinted_type(n) is None or isinstance(t, T.LongType))
+    lost = {n: F.col(n).isNotNull() & typed(F.col(n), t).isNull()
+            for n, t in types.items() if not isinstance(t, T.StringType)}
+    faults = [
+        (own if hinted_type(n) is None else own & F.col(n).rlike(NUMBER_PATTERN)).cast("int")
+        for n, own in lost.items() if hinted_type(n) is None or isinstance(types[n], T.LongType)
     ]
-    bad = sum(lost, F.lit(0))
+    texts = [F.when(own, F.concat(F.lit(f"{n}="), F.col(n))) for n, own in lost.items()]
     return cells.select(
-        *keep, bad.alias("_bad"),
+        *keep, sum(faults, F.lit(0)).alias("_bad"),
+        (F.nullif(F.concat_ws("; ", *texts), F.lit("")) if texts else F.lit(None).cast("string")).alias("_lost"),
         (F.col("_fields") < F.col("_width")).alias("_short"),
         (F.col("_fields") > F.col("_width")).alias("_long"),
-        "_garbled",
+        "_garbled", "_odd",
         *[typed(F.col(n), t).alias(n) for n, t in types.items()],
     )
 
@@ -305,3 +326,24 @@ def parse_report(rows: DataFrame, by: str = "file_id") -> DataFrame:
         (F.col("data_lines") - skipped).alias("row_count"),
         error.alias("primary_error"),
     )
+
+
+def untrusted() -> Column:
+    """Of a report row: does its file lose its long rows?"""
+    return (F.col("garbled_rows") > 0) & (F.col("long_rows") > 0)
+
+
+def rejects(rows: DataFrame, untrusted_files: DataFrame, by: str = "file_id") -> DataFrame:
+    """One row for each line that was not taken over as it stood.
+
+    reasons; values that did not fit; the line, unless only values did not fit;
+    and ``dropped``, if the whole row is left out of the table.
+    """
+    reasons = F.concat_ws(
+        "; ", F.when(F.col("_garbled"), "undecodable bytes"), F.when(F.col("_short"), "too few fields"),
+        F.when(F.col("_long"), "too many fields"), F.when(F.col("_lost").isNotNull(), "values do not fit"))
+    odd = rows.filter(F.col("_odd").isNotNull() | F.col("_lost").isNotNull())
+    marked = odd.join(untrusted_files.select(F.col(by), F.lit(True).alias("_cut")), by, "left")
+    return marked.select(
+        by, "_member", "_line_no", reasons.alias("reasons"), F.col("_lost").alias("lost_values"),
+        F.col("_odd").alias("line"), (F.coalesce("_cut", F.lit(False)) & F.col("_long")).alias("dropped"))

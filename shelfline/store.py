@@ -48,11 +48,16 @@ LEDGER = ("file_id string, file_name string, folder_id string, dataset string, f
           "row_count bigint, status string, error_message string, parse_method string")
 SYNC_LOG = ("sync_id string, started_at timestamp, finished_at timestamp, triggered_by string, "
             "files_new int, files_loaded int, files_failed int, notes string")
+PARSE_REPORTS = ("file_id string, dataset string, data_lines long, short_rows long, long_rows long, "
+                 "garbled_rows long, bad_cells long, method string, skipped_rows long, row_count long, "
+                 "primary_error string, load_error string, read_at timestamp")
+REJECTS = ("file_id string, dataset string, member string, line_no long, reasons string, "
+           "lost_values string, line string, dropped boolean, read_at timestamp")
 REGISTRY = ("dataset string, columns map<string,string>, primary_key array<string>, "
             "seen_at timestamp")
 
 META = {"_versions": VERSIONS, "_file_ledger": LEDGER, "_sync_log": SYNC_LOG,
-        "_schema_registry": REGISTRY}
+        "_schema_registry": REGISTRY, "_parse_reports": PARSE_REPORTS, "_rejects": REJECTS}
 
 
 def fields(ddl: str) -> T.StructType:
@@ -138,9 +143,10 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, few: bool = True) -> None:
+        """Add rows; ``few`` of them, such as one per file of a run, go to one file."""
         aligned = align_columns(rows, fields(META[name]))
-        aligned.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        (aligned.coalesce(1) if few else aligned).write.mode("append").parquet(f"{self.root}/{name}")
 
     # -- tables ------------------------------------------------------------------
 

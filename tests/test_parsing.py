@@ -25,12 +25,12 @@ def parse(spark, tmp_path):
             archive.writestr(inner, text)
         files = zipped.read_files(spark, [str(path)])
         lines = zipped.read_zip_lines(files).cache()
-        layouts = [x for (x,) in delimited.collect_layouts(lines)]
+        layouts = [x for (x,) in delimited.collect_layouts(zipped.members_of(lines))]
         cells = delimited.text_cells(lines, layouts, ["file_id"])
         types = delimited.choose_types(cells, delimited.column_order(layouts), table)
         typed = delimited.cast_cells(cells, types, ["file_id"])
         report = delimited.parse_report(typed).first()
-        return typed.drop("file_id", "_bad", "_short", "_long", "_garbled"), report
+        return typed.drop("file_id", "_bad", "_lost", "_short", "_long", "_garbled", "_odd"), report
 
     return read
 
