@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load_registry():
     """``(queries, oracles)`` with every registering module imported."""
-    from shelfline.plans import file_queries, queries  # noqa: F401
+    from shelfline.plans import file_queries, load_queries, queries  # noqa: F401
 
     return queries.QUERIES, queries.ORACLES

@@ -353,7 +353,9 @@ def _zip_batches(batches):
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("checksum.md5", "0")
-            archive.writestr("data.txt", "\r\n".join(["﻿" + _HEADER, *lines]))
+            half = len(lines) // 2
+            for name, part in (("a/data.txt", lines[:half]), ("b/data.txt", lines[half:])):
+                archive.writestr(name, "\r\n".join(["﻿" + _HEADER, *part]))
         name = f"{batch.column('part')[0].as_py()}-{i}"
         yield pa.RecordBatch.from_arrays(
             [pa.array([name]), pa.array([buffer.getvalue()], pa.binary())],

@@ -21,7 +21,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,12 +135,15 @@ class Store:
         an older version lack.
         """
         schema = fields(META[name])
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = f"{self.root}/{name}"
+        if not self._exists(path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _exists(self, path: str) -> bool:
+        session = self.spark._jsparkSession
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(session.sessionState().newHadoopConf()).exists(path)
 
     def append(self, name: str, rows: DataFrame, few: bool = True) -> None:
         """Add rows; ``few`` of them, such as one per file of a run, go to one file."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from result_rows import rows
 from shelfline.catalog import UnknownDataset
 from shelfline.plans.load import refresh_dataset, sync_folder
+from shelfline.sources import zipped
 from shelfline.sources.listing import classify, dry_run, list_source_files, pending_files
 from shelfline.store import Store
 from shelfline.streaming.ingest import stream_ingest
@@ -201,3 +202,64 @@ def test_stream_sees_rewritten_and_old_files(store, drop, tmp_path):
     drop.put(DAILY.format("03222026"), sales("9|10|2026-03-22|1|1.0"), at=time.time() - 30 * 86400)
     run()
     assert rows(store.read("sales_daily"), "tcin") == [(1,), (5,), (9,)]
+
+
+def _zipped(*members):
+    import io
+    import warnings
+    import zipfile
+
+    out = io.BytesIO()
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        warnings.simplefilter("ignore")  # equal names are legal in an archive
+        for name, text in members:
+            archive.writestr(name, text)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("schemes", [zipped.SEEKABLE, ("elsewhere",)])
+def test_members_are_read_one_by_one(spark, store, drop, monkeypatch, schemes):
+    # A limit that every member exceeds: each is still read, as a stream; whole archives give the same.
+    monkeypatch.setattr(zipped, "TASK_BYTES", 10)
+    monkeypatch.setattr(zipped, "SEEKABLE", schemes)
+    day = [f"{i}|10|2026-04-21|1|{i * 7919 % 1013}" for i in range(5000)]
+    whole = [("same.txt", sales(*day[:2000])), ("same.txt", sales(*day[2000:4000])),
+             ("other.txt", sales(*day[4000:])), ("blank.txt", " \n\n"), ("x.sha256", "0")]
+    drop.put_raw(DAILY.format("04212026"), _zipped(*whole))
+    broken = bytearray(_zipped(*[(n, t.replace("2026-04-21", "2026-04-22")) for n, t in whole]))
+    place = broken.index(b"other.txt") + 400
+    broken[place:place + 8] = bytes(b ^ 0xFF for b in broken[place:place + 8])
+    drop.put_raw(DAILY.format("04222026"), bytes(broken))
+    drop.put_raw(DAILY.format("04232026"), _zipped(("blank.txt", "\n")))
+    result = sync_folder(store, drop.path)
+    assert (result.counts["files_loaded"], result.counts["files_failed"]) == (1, 2)
+    got = store.read("sales_daily")
+    assert rows(got.agg(F.count("*"), F.count_distinct("tcin"), F.max("sales_date"))) == [(5000, 5000, "2026-04-21")]
+    assert rows(store.ledger(), "status", "row_count") == [("failed", None), ("failed", None), ("loaded", 5000)]
+
+
+def test_members_with_different_keys_are_one_file(spark, store, drop):
+    other = "TCIN|STORE_ID|SALES_DATE|SALE_QUANTITY\n7|3|2026-04-21|1\n8|3|2026-04-21|x|y\n"
+    drop.put_raw(DAILY.format("04212026"), _zipped(
+        ("a.txt", sales("1|10|2026-04-21|2|4.0", "2|10")), ("b.txt", other)))
+    sync_folder(store, drop.path)
+    assert store.ledger().count() == 1
+    report = store.meta("_parse_reports").first()
+    assert (report["data_lines"], report["short_rows"], report["long_rows"]) == (4, 1, 1)
+    found = store.meta("_rejects").select("member", "line_no", "reasons", "line", "dropped")
+    assert rows(found.where("member = 'a.txt'")) == [("a.txt", 2, "too few fields", "2|10", False)]
+
+
+def test_archives_are_written_as_named(spark, tmp_path):
+    folder = str(tmp_path / "drop")
+    lines = spark.createDataFrame(
+        [("a.zip", "m", 1, "one"), ("a.zip", "m", 0, "head"), ("a.zip", "n", 0, "é"), ("b.zip", "m", 0, "x")],
+        "file string, member string, line_no long, line string")
+    assert rows(zipped.write_archives(lines, folder)) == [("a.zip",), ("b.zip",)]
+    import zipfile
+
+    with zipfile.ZipFile(f"{folder}/a.zip") as archive:
+        assert {n: archive.read(n).decode() for n in archive.namelist()} == {"m": "head\r\none\r\n", "n": "é\r\n"}
+    zipped.write_archives(lines.where("file = 'b.zip'").withColumn("line", F.lit("new")), folder)
+    with zipfile.ZipFile(f"{folder}/b.zip") as archive:
+        assert archive.read("m") == b"new\r\n"
