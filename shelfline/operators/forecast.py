@@ -12,6 +12,7 @@ from shelfline.catalog import DATASETS
 from shelfline.functions.columns import conform, find_column, first_present, one_of, resolve_column
 from shelfline.functions.dates import as_date, today_or
 from shelfline.functions.latest import recency
+from shelfline.functions.parts import pruned
 from shelfline.operators.tables import first_table
 
 KEYS = {
@@ -31,7 +32,7 @@ class ForecastVsActual:
     snapshot_column: str | None
 
 
-def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int = 12,
+def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int | None = 12,
                        tcins=None, locations=None, aggregate: str = "by_sku_week",
                        as_of=None, today=None, week_anchor: str | None = None,
                        window_on: str = "delivered",
@@ -47,12 +48,13 @@ def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int = 12,
     beginning of a week is moved six days ahead; ``week_anchor`` overrides what
     the name says.  ``window_on="delivered"`` applies the trailing window to
     the dates as delivered, ``"week_end"`` to the compared week end on both
-    sides, which avoids one-sided weeks at the edges.
+    sides, which avoids one-sided weeks at the edges.  ``weeks_back=None`` opens
+    the window: all weeks up to today.
     """
     if aggregate not in KEYS:
         raise ValueError(f"aggregate must be one of {sorted(KEYS)}, not {aggregate!r}")
-    if not 1 <= weeks_back <= 104:
-        raise ValueError("weeks_back must lie between 1 and 104")
+    if weeks_back is not None and weeks_back < 1:
+        raise ValueError("weeks_back must be 1 or more, or None for all weeks")
     if window_on not in ("delivered", "week_end"):
         raise ValueError("window_on must be 'delivered' or 'week_end'")
     first_table(tables, "forecast_weekly")
@@ -70,19 +72,26 @@ def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int = 12,
     shift = 6 if week_anchor == "begin" else 0
 
     last_day = today_or(today)
-    first_day = F.date_sub(last_day, 7 * weeks_back)
+    first_day = None if weeks_back is None else F.date_sub(last_day, 7 * weeks_back)
+
+    def inside(day):
+        return day <= last_day if first_day is None else day.between(first_day, last_day)
 
     snapshot = find_column(forecast, "forecast_weekly", "snapshot_date")
     newest = []
     if snapshot is not None:
         newest = [recency(forecast, "forecast_weekly", "snapshot_date", "units")
                   .alias("recency")]
+    if window_on == "delivered":
+        forecast = pruned(forecast, "forecast_weekly", "date", first_day, last_day)
+    if as_of is not None:
+        forecast = pruned(forecast, "forecast_weekly", "snapshot_date", last=as_of)
     planned = conform(
         forecast, "forecast_weekly", ["date", "units", "tcin"],
         optional=["snapshot_date", "location"], also=newest,
     ).withColumn("week_end_date", F.date_add("date", shift))
     windowed = F.col("date" if window_on == "delivered" else "week_end_date")
-    planned = planned.filter(windowed.between(first_day, last_day))
+    planned = planned.filter(inside(windowed))
     planned = planned.filter(one_of(F.col("tcin"), tcins))
     if locations:
         planned = planned.filter(one_of(F.col("location"), locations))
@@ -94,9 +103,10 @@ def forecast_vs_actual(tables: Mapping[str, DataFrame], weeks_back: int = 12,
             .groupBy(*series, "week_end_date")
             .agg(F.max_by("units", "recency").alias("units"))
         )
+    sales = pruned(sales, "sales_weekly", "date", first_day, last_day)
     actual = conform(sales, "sales_weekly", ["date", "units", "tcin"],
                      optional=["location"])
-    actual = actual.filter(F.col("date").between(first_day, last_day))
+    actual = actual.filter(inside(F.col("date")))
     actual = actual.filter(one_of(F.col("tcin"), tcins))
     if locations:
         actual = actual.filter(one_of(F.col("location"), locations))

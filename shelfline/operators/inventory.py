@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.columns import between, conform
 from shelfline.functions.dates import bucket, today_or
 from shelfline.functions.latest import recency
+from shelfline.functions.parts import pruned
 from shelfline.operators.tables import inventory_table, sales_table
 
 PAIR = ["tcin", "location_id"]
@@ -23,8 +24,8 @@ def _pair(df: DataFrame, tcin, location_id) -> DataFrame:
     return df.withColumnRenamed("location", "location_id")
 
 
-def _stock(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
-    df = tables[name]
+def _stock(tables: Mapping[str, DataFrame], name: str, last=None) -> DataFrame:
+    df = pruned(tables[name], name, "date", last=last)
     return conform(
         df, name, ["date", "on_hand", "tcin", "location"],
         also=[recency(df, name, "date", "on_hand").alias("recency")],
@@ -40,7 +41,7 @@ def inventory_snapshot(tables: Mapping[str, DataFrame], as_of=None,
     and location, sorted.
     """
     name = inventory_table(tables)
-    stock = _stock(tables, name)
+    stock = _stock(tables, name, today_or(as_of))
     stock = _pair(stock.filter(F.col("date") <= today_or(as_of)), tcin, location_id)
     newest = stock.groupBy(*PAIR).agg(
         F.max("date").alias("as_of_date"),
@@ -53,7 +54,8 @@ def inventory_snapshot(tables: Mapping[str, DataFrame], as_of=None,
 
 def sell_through(tables: Mapping[str, DataFrame], start=None, end=None,
                  tcin: int | None = None, location_id: int | None = None,
-                 inventory_as_of=None, limit: int | None = None) -> DataFrame:
+                 inventory_as_of=None, limit: int | None = None,
+                 items: DataFrame | None = None) -> DataFrame:
     """Units sold per item and location against the latest stock.
 
     The date range and the item and location restrictions apply to sales; the
@@ -61,13 +63,18 @@ def sell_through(tables: Mapping[str, DataFrame], start=None, end=None,
     Weeks of supply is stock over mean weekly units, the rate is units over
     units plus stock; both are NULL where they would divide by zero.
 
+    ``items``, a table with ``tcin``, keeps its items only, before anything is summed.
+
     Both sides are reduced to one row per pair before they meet, on the same
     keys, so the join needs no further shuffle.
     """
     sales_name = sales_table(tables, "week")
     stock_name = inventory_table(tables)
-    sales = conform(tables[sales_name], sales_name, ["date", "units", "tcin", "location"])
+    sales = pruned(tables[sales_name], sales_name, "date", start, end)
+    sales = conform(sales, sales_name, ["date", "units", "tcin", "location"])
     sales = _pair(sales.filter(between(F.col("date"), start, end)), tcin, location_id)
+    if items is not None:
+        sales = sales.join(items, "tcin", "left_semi")
     observed = F.col("date")
     if sales_name == "sales_daily":
         observed = bucket(observed, "week")
@@ -78,9 +85,12 @@ def sell_through(tables: Mapping[str, DataFrame], start=None, end=None,
 
     # A left join keeps only stock of pairs that sold, so the same restrictions
     # may cut the stock side early without changing the answer.
-    stock = _pair(_stock(tables, stock_name), tcin, location_id)
+    last = None if inventory_as_of is None else today_or(inventory_as_of)
+    stock = _pair(_stock(tables, stock_name, last), tcin, location_id)
     if inventory_as_of is not None:
         stock = stock.filter(F.col("date") <= today_or(inventory_as_of))
+    if items is not None:
+        stock = stock.join(items, "tcin", "left_semi")
     newest = stock.groupBy(*PAIR).agg(F.max_by("on_hand", "recency").alias("on_hand"))
 
     units = F.col("units_sold").cast("double")

@@ -45,14 +45,24 @@ def dataset_ranges(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dataset_profile(tables: Mapping[str, DataFrame], ledger: DataFrame) -> DataFrame:
-    """Ranges with the number of loaded files and the last load per dataset."""
+def ranges_of_parts(parts: DataFrame) -> DataFrame:
+    """As dataset_ranges, from what a store keeps about its parts; no data file is opened."""
+    kinds = F.create_map(*[F.lit(v) for d in DATASETS.values() for v in (d.name, d.kind)])
+    return parts.groupBy("dataset").agg(
+        kinds[F.col("dataset")].alias("kind"), F.max_by("date_column", "version").alias("date_column"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+        F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"))
+
+
+def dataset_profile(tables: Mapping[str, DataFrame] | DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ranges, of tables or as given, with the number of loaded files and the last load per dataset."""
+    ranges = tables if isinstance(tables, DataFrame) else dataset_ranges(tables)
     files = (
         ledger.filter(F.col("status") == "loaded")
         .groupBy("dataset")
         .agg(F.count("*").alias("file_count"), F.max("loaded_at").alias("last_loaded_at"))
     )
-    return dataset_ranges(tables).join(files, "dataset", "left").withColumn(
+    return ranges.join(files, "dataset", "left").withColumn(
         "file_count", F.coalesce("file_count", F.lit(0))
     )
 
@@ -88,22 +98,35 @@ def last_sync(sync_log: DataFrame) -> DataFrame:
 
 def describe(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Columns with types of every table, and its row count."""
+    counts = reduce(
+        DataFrame.unionByName,
+        [df.agg(F.count("*").alias("row_count")).withColumn("table", F.lit(name))
+         for name, df in tables.items()],
+    )
+    return describe_schemas(spark, {name: df.schema for name, df in tables.items()}, counts)
+
+
+def describe_schemas(spark: SparkSession, schemas: Mapping[str, T.StructType],
+                     counts: DataFrame) -> DataFrame:
+    """The same from schemas, and row counts per ``table`` that are known already."""
     columns = [
         (name, i, column, kind)
-        for name, df in sorted(tables.items())
-        for i, (column, kind) in enumerate(derive_schema(df.schema).items())
+        for name, schema in sorted(schemas.items())
+        for i, (column, kind) in enumerate(derive_schema(schema).items())
     ]
     listed = spark.createDataFrame(
         columns, "table string, position int, column string, type string"
     )
-    counts = reduce(
-        DataFrame.unionByName,
-        [df.agg(F.count("*").alias("row_count")).withColumn("table", F.lit(name))
-         for name, df in tables.items()],
-    )
     return listed.join(counts, "table")
 
 
+def status(ranges: DataFrame, ledger: DataFrame, sync_log: DataFrame) -> DataFrame:
+    """One row: date ranges of the data, totals of the ledger, end of the last run."""
+    facts = [df.withColumn("_row", F.lit(1))
+             for df in (business_range(ranges), ledger_stats(ledger), last_sync(sync_log))]
+    return reduce(lambda a, b: a.join(b, "_row"), facts).drop("_row")
+
+
 def views(spark: SparkSession) -> list[str]:
     """Temporary views of the session."""
     return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary)

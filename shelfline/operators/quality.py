@@ -87,31 +87,38 @@ def datasets_have_data(ranges: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Total and surplus identical rows per table, one grouping per table.
+def repeated_rows(df: DataFrame, *by: str) -> DataFrame:
+    """total_rows and duplicate_rows (surplus identical rows), for each value of ``by`` if given.
 
-    Grouping by all columns combines equal rows on the map side, so a row that
-    repeats without end still shuffles once per task.
+    Whole rows are told apart by a fingerprint of 128 bits over all values and
+    which of them are NULL.  Only fingerprints are shuffled, and equal ones are
+    combined before, so a row that repeats without end leaves each task once.
     """
-    parts = []
-    for name, df in tables.items():
-        repeated = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-        parts.append(
-            repeated.agg(
-                F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
-                F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-            ).select(F.lit(name).alias("dataset"), "total_rows", "duplicate_rows")
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def no_duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    values = [F.col(f"`{c}`") for c in df.columns if c not in by]
+    blanks = F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in values])
+    prints = [F.xxhash64(blanks, *values).alias("_one"), F.xxhash64(F.lit("second"), blanks, *values).alias("_two")]
+    copies = df.select(*by, *prints).groupBy(*by, "_one", "_two").agg(F.count("*").alias("_copies"))
+    return copies.groupBy(*by).agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
+    )
+
+
+def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Total and surplus identical rows per table."""
+    return reduce(DataFrame.unionByName, [
+        repeated_rows(df).select(F.lit(name).alias("dataset"), "total_rows", "duplicate_rows")
+        for name, df in tables.items()])
+
+
+def no_duplicate_rows(found: DataFrame) -> DataFrame:
+    """The check of what ``duplicate_rows`` has counted, here or in a store."""
     hit = F.when(
         F.col("duplicate_rows") > 0,
         F.concat("dataset", F.lit(": "), F.col("duplicate_rows").cast("string"), F.lit(" of "),
                  F.col("total_rows").cast("string")),
     )
-    facts = duplicate_rows(tables).agg(
+    facts = found.agg(
         F.coalesce(F.sum("duplicate_rows"), F.lit(0)).alias("n"),
         F.array_join(F.array_sort(F.collect_set(hit)), "; ").alias("hits"),
     )
@@ -161,11 +168,12 @@ def overall_status(checks: DataFrame) -> DataFrame:
     )
 
 
-def run_checks(tables: Mapping[str, DataFrame], ranges: DataFrame, ledger: DataFrame,
-               listed: DataFrame) -> DataFrame:
-    """All data checks as one table."""
-    return reduce(
-        DataFrame.unionByName,
-        [ledger_consistent(ledger), no_orphan_files(listed, ledger),
-         datasets_have_data(ranges), no_duplicate_rows(tables)],
-    )
+def run_checks(duplicates: DataFrame, ranges: DataFrame, ledger: DataFrame, listed: DataFrame,
+               actual: Mapping[str, T.StructType] | None = None,
+               required: Mapping[str, T.StructType] | None = None) -> DataFrame:
+    """All data checks as one table; with schemas, that of the bookkeeping tables too."""
+    checks = [ledger_consistent(ledger), no_orphan_files(listed, ledger),
+              datasets_have_data(ranges), no_duplicate_rows(duplicates)]
+    if required is not None:
+        checks.append(schema_current(ledger.sparkSession, actual or {}, required))
+    return reduce(DataFrame.unionByName, checks)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.columns import between, conform, find_column
 from shelfline.functions.dates import bucket
+from shelfline.functions.parts import pruned
 from shelfline.operators.tables import sales_table
 
 
@@ -26,7 +27,8 @@ def sales_summary(tables: Mapping[str, DataFrame], grain: str = "week", start=No
         required.append("tcin")
     if location_id is not None:
         required.append("location")
-    sales = conform(tables[name], name, required, optional=["dollars"])
+    sales = pruned(tables[name], name, "date", start, end)
+    sales = conform(sales, name, required, optional=["dollars"])
     sales = sales.filter(between(F.col("date"), start, end))
     if tcin is not None:
         sales = sales.filter(F.col("tcin") == int(tcin))
@@ -55,7 +57,7 @@ def top_skus(tables: Mapping[str, DataFrame], by: str = "units", start=None, end
         raise ValueError("top_n must lie between 1 and 200")
     name = sales_table(tables, "week")
     metric = by if find_column(tables[name], name, by) else "units"
-    sales = conform(tables[name], name, ["date", "tcin", metric])
+    sales = conform(pruned(tables[name], name, "date", start, end), name, ["date", "tcin", metric])
     total = F.sum(metric)
     if metric == "dollars":
         total = total.cast("double")

@@ -12,7 +12,7 @@ from shelfline import store as st
 from shelfline.catalog import DATASETS, FILE_NAME_PATTERN
 from shelfline.functions.dates import as_date, text_date
 from shelfline.operators import profile, quality
-from shelfline.operators.bounded_sql import export_csv, run_sql
+from shelfline.operators.bounded_sql import export_csv, run_sql, run_sql_marked
 from shelfline.operators.paging import page_rows
 from shelfline.operators.upsert import newest_file_rows, upsert_by_key
 from shelfline.plans import load
@@ -603,7 +603,7 @@ def _(t):
     return quality.orphan_files(listing.classify(t.listing), ledger)
 
 
-_COPIED = "SELECT l_orderkey, l_linenumber FROM lineitem"
+_COPIED = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_partkey % 10 = 0"
 
 
 @register("duplicate_rows",
@@ -615,7 +615,7 @@ _COPIED = "SELECT l_orderkey, l_linenumber FROM lineitem"
                      (SELECT DISTINCT * FROM orders)) FROM orders""")
 def _(t):
     return quality.duplicate_rows({
-        "lines": t.raw("lineitem").select("l_orderkey", "l_linenumber"),
+        "lines": t.raw("lineitem").unionByName(t.raw("lineitem").filter("l_partkey % 10 = 0")),
         "orders": t.raw("orders"),
     })
 
@@ -642,9 +642,12 @@ def _(t):
 
 def _checks(t):
     tables = t.tables("sales_daily", "orders_daily", "location_attr")
+    # The ledger at hand lacks a column that the bookkeeping needs.
+    required = {"_file_ledger": st.fields(st.LEDGER)}
     return quality.run_checks(
-        tables, profile.dataset_ranges(tables), st.newest_ledger_rows(t.ledger_events),
-        listing.classify(t.listing))
+        quality.duplicate_rows(tables), profile.dataset_ranges(tables),
+        st.newest_ledger_rows(t.ledger_events), listing.classify(t.listing),
+        {"_file_ledger": t.ledger_events.schema}, required)
 
 
 _CHECK_SQL = f"""
@@ -664,7 +667,8 @@ _CHECK_SQL = f"""
                    > (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM sales_daily))
                OR (SELECT COUNT(*) FROM orders_daily)
                    > (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM orders_daily))
-             THEN 'warn' ELSE 'pass' END"""
+             THEN 'warn' ELSE 'pass' END
+    UNION ALL SELECT 'schema_current', 'fail'"""
 _CHECK_VIEWS = ("ledger_events", "sales_daily", "orders_daily", "location_attr")
 
 
@@ -702,13 +706,29 @@ def _(t):
     return run_sql(t.sales_daily.sparkSession, _FREE_SQL, 200)
 
 
+@register("bounded_sql_marked", with_views(
+    f"""SELECT tcin, CAST(units AS BIGINT) AS units, line_count,
+               (SELECT COUNT(*) FROM ({_FREE_SQL})) > 100 AS truncated FROM ({_FREE_SQL}) LIMIT 100""",
+    "sales_daily"))
+def _(t):
+    t.sales_daily.createOrReplaceTempView("sales_daily")
+    return run_sql_marked(t.sales_daily.sparkSession, _FREE_SQL, 100)
+
+
+@register("free_sql_all", with_views(
+    f"SELECT tcin, CAST(units AS BIGINT) AS units, line_count FROM ({_FREE_SQL})", "sales_daily"))
+def _(t):
+    t.sales_daily.createOrReplaceTempView("sales_daily")
+    return run_sql(t.sales_daily.sparkSession, _FREE_SQL, None)
+
+
 @register("exported_csv", with_views(
     f"SELECT tcin, CAST(units AS BIGINT) AS units, line_count FROM ({_FREE_SQL})", "sales_daily"))
 def _(t):
     spark = t.sales_daily.sparkSession
     t.sales_daily.createOrReplaceTempView("sales_daily")
     out = export_csv(spark, _FREE_SQL, shared_folder(spark, "export"), "items.csv",
-                     max_rows=10_000_000)
+                     max_rows=None)
     return spark.read.schema("tcin bigint, units bigint, line_count bigint").option(
         "header", True).csv(out.path)
 

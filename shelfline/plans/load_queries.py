@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from shelfline import store as st
 from shelfline.catalog import DATASETS
-from shelfline.plans.adapters import with_views
+from shelfline.operators import profile
+from shelfline.operators.forecast import forecast_vs_actual
+from shelfline.operators.inventory import inventory_snapshot, sell_through
+from shelfline.plans import queries
+from shelfline.plans.adapters import TODAY, with_views
 from shelfline.plans.load import refresh_dataset, sync_folder
 from shelfline.plans.queries import register
 from shelfline.session import shared_folder
@@ -378,3 +382,112 @@ def _(t):
 def _(t):
     return _untidy_store(t).meta("_parse_reports").drop("load_error", "read_at").withColumn(
         "file_name", F.substring_index("file_id", "/", -1)).drop("file_id")
+
+
+# -- what a store knows about its parts ----------------------------------------
+
+_STORED = {"sales_weekly": KEY, "inventory_daily": ["tcin", "location_id", "report_date_dim"],
+           "forecast_weekly": ["tcin", "location_id", "fiscal_week_begin_d", "last_update_d"]}
+
+
+def _stored(t) -> st.Store:
+    """Three datasets, and daily sales in two loads, with copies in the first."""
+    spark = t.raw("region").sparkSession
+    store = st.Store(spark, shared_folder(spark, "store"), part_grain="month")
+    for name, key in _STORED.items():
+        store.upsert(name, t.tables(name)[name], key)
+    first = t.sales_daily.filter(F.year("sales_date") <= 2000)
+    store.upsert("sales_daily", first.unionByName(first.filter("tcin % 10 = 0")), KEY)
+    store.duplicate_rows().collect()  # the parts of the second load are compared again later
+    store.upsert("sales_daily", _more(t.sales_daily.filter(F.year("sales_date") >= 2000), 1), KEY)
+    return store
+
+
+_stored_store = _once("stored", _stored)
+_STORED_SQL = """
+    SELECT * FROM sales_daily WHERE year(sales_date) < 2000
+    UNION ALL SELECT * FROM sales_daily WHERE year(sales_date) < 2000 AND tcin % 10 = 0
+    UNION ALL SELECT tcin, location_id, sales_date, sale_quantity + 1, sale_amount
+              FROM sales_daily WHERE year(sales_date) >= 2000"""
+_DATED = {"sales_daily": "sales_date", "sales_weekly": "sales_date", "inventory_daily": "report_date_dim",
+          "forecast_weekly": "last_update_d"}
+
+
+def _stored_sql(query: str) -> str:
+    ranges = " UNION ALL ".join(
+        f"""SELECT '{name}' AS dataset, '{DATASETS[name].kind}' AS kind, '{day}' AS date_column,
+                   COUNT(*) AS row_count, MIN({day}) AS min_date, MAX({day}) AS max_date
+            FROM {"stored_daily" if name == "sales_daily" else name}""" for name, day in _DATED.items())
+    return with_views(query, *_DATED, stored_daily=_STORED_SQL, ranges=ranges)
+
+
+@register("stored_ranges", _stored_sql("SELECT * FROM ranges"))
+def _(t):
+    return _stored_store(t).ranges()
+
+
+@register("stored_describe", _stored_sql(
+    """SELECT 'inventory_daily' AS "table", CAST(p AS INTEGER) AS position, c AS "column", k AS type,
+              (SELECT row_count FROM ranges WHERE dataset = 'inventory_daily') AS row_count
+       FROM (VALUES (0, 'tcin', 'BIGINT'), (1, 'location_id', 'BIGINT'), (2, 'report_date_dim', 'DATE'),
+                    (3, 'inventory_quantity', 'BIGINT')) AS v(p, c, k)"""))
+def _(t):
+    return _stored_store(t).describe().where("table = 'inventory_daily'")
+
+
+@register("stored_status", _stored_sql(
+    """SELECT MIN(min_date) AS earliest_data_date, MAX(max_date) AS latest_data_date, COUNT(*) AS datasets_loaded,
+              CAST(0 AS BIGINT) AS ledger_files, true AS never_synced FROM ranges"""))
+def _(t):
+    store = _stored_store(t)
+    return profile.status(store.ranges(), store.ledger(), store.meta("_sync_log")).select(
+        "earliest_data_date", "latest_data_date", "datasets_loaded", "ledger_files",
+        F.col("last_sync_finished_at").isNull().alias("never_synced"))
+
+
+@register("synced_status", _load_sql(
+    """SELECT (SELECT MIN(sales_date) FROM sales_daily) AS earliest_data_date,
+              (SELECT MAX(sales_date) FROM sales_daily) AS latest_data_date, COUNT(*) AS ledger_files,
+              COUNT(row_count) AS files_loaded, true AS has_synced FROM files"""))
+def _(t):
+    store = _synced_store(t)
+    return profile.status(store.ranges(), store.ledger(), store.meta("_sync_log")).select(
+        "earliest_data_date", "latest_data_date", "ledger_files", "files_loaded",
+        F.col("last_sync_finished_at").isNotNull().alias("has_synced"))
+
+
+@register("stored_duplicates", _stored_sql(
+    """SELECT 'sales_daily' AS dataset, COUNT(*) AS total_rows,
+              COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM stored_daily)) AS duplicate_rows
+       FROM stored_daily"""))
+def _(t):
+    return _stored_store(t).duplicate_rows().where("dataset = 'sales_daily'")
+
+
+@register("stored_row_checks", with_views(
+    """SELECT CAST(month AS VARCHAR) AS part, CAST(CASE WHEN year(month) = 2000 THEN 2 ELSE 1 END AS BIGINT) AS checks
+       FROM (SELECT DISTINCT CAST(date_trunc('month', sales_date) AS DATE) AS month FROM sales_daily)""", "sales_daily"))
+def _(t):
+    """Parts whose rows were compared, and how often: those that did not change were compared once."""
+    store = _stored_store(t)
+    store.duplicate_rows().collect()
+    return store.meta("_row_checks").where("dataset = 'sales_daily'").groupBy("part").agg(
+        F.count_distinct("path").alias("checks"))
+
+
+@register("stored_sell_through", queries.ORACLES["sell_through_window"])
+def _(t):
+    return sell_through(_stored_store(t).tables(), "2000-01-01", "2000-12-31")
+
+
+@register("stored_inventory_as_of", with_views(
+    """SELECT tcin, location_id, MAX(report_date_dim) AS as_of_date,
+              arg_max(inventory_quantity, report_date_dim) AS on_hand
+       FROM inventory_daily WHERE report_date_dim <= DATE '1997-06-15' GROUP BY 1, 2""", "inventory_daily"))
+def _(t):
+    return inventory_snapshot(_stored_store(t).tables(), "1997-06-15")
+
+
+@register("stored_forecast_vs_actual", queries.ORACLES["forecast_vs_actual_cutoff"])
+def _(t):
+    return forecast_vs_actual(_stored_store(t).tables(), weeks_back=52, as_of="2001-08-01", today=TODAY).rows

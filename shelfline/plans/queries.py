@@ -225,8 +225,8 @@ def _(t):
 # -- forecast ------------------------------------------------------------------
 
 
-def _forecast_sql(keys: str, weeks: int, cutoff: str, limit: str = "") -> str:
-    first = f"DATE '{TODAY}' - {7 * weeks}"
+def _forecast_sql(keys: str, weeks: int | None, cutoff: str, limit: str = "") -> str:
+    first = "DATE '0001-01-01'" if weeks is None else f"DATE '{TODAY}' - {7 * weeks}"
     return f"""
         SELECT {keys}, COALESCE(fc, 0) AS forecast_units, COALESCE(act, 0) AS actual_units,
                COALESCE(act, 0) - COALESCE(fc, 0) AS variance_units,
@@ -282,6 +282,12 @@ def _(t):
     return _fc(t, weeks_back=52, as_of="2001-08-01")
 
 
+@register("forecast_vs_actual_all_weeks", with_views(
+    _forecast_sql("tcin, week_end_date", None, _BEFORE), *_FC_VIEWS))
+def _(t):
+    return _fc(t, weeks_back=None)
+
+
 @register("forecast_vs_actual_first_page", with_views(
     _forecast_sql("tcin, week_end_date", 12, _BEFORE,
                   "ORDER BY tcin, week_end_date LIMIT 2000"), *_FC_VIEWS))

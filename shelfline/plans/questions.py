@@ -73,7 +73,7 @@ def state_units(tables: Mapping[str, DataFrame], end, weeks: int = 4,
 def weighted_supply_of_top_item(tables: Mapping[str, DataFrame], start, end) -> DataFrame:
     """Weeks of supply of the best selling item, weighted by units per location."""
     best = top_skus(tables, "units", start, end, top_n=1).select("tcin")
-    pairs = sell_through(tables, start, end).join(best, "tcin", "left_semi")
+    pairs = sell_through(tables, start, end, items=best)
     weighted = F.sum(F.col("units_sold") * F.col("weeks_of_supply"))
     weight = F.sum(F.when(F.col("weeks_of_supply").isNotNull(), F.col("units_sold")))
     return pairs.groupBy("tcin").agg(

@@ -5,7 +5,8 @@ of the key's date, so a daily delivery touches a handful of them; keys without
 a date spread over hash buckets.  New parts go to a new version folder, and one
 appended file of the version list makes them visible, so readers never see half
 a load, running queries keep their files, and a job that dies leaves the table
-as it was.
+as it was.  The list also tells rows and dates of each part, so profiles open no
+data file, and filters on the date that cuts the parts leave out whole parts.
 
 How a table is cut into parts (column, grain, number of buckets) is fixed when
 it is created and stored with it; later loads follow it whatever they are told.
@@ -25,7 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.functions.columns import detect_date_column
 from shelfline.functions.dates import as_date, bucket
+from shelfline.functions.parts import PART
+from shelfline.operators import profile, quality
 from shelfline.operators.forecast import register_recent_view
 from shelfline.operators.upsert import (
     align_columns,
@@ -35,13 +39,13 @@ from shelfline.operators.upsert import (
     widen_schema,
 )
 
-PART = "_part"
 NO_DATE = "none"
 BUCKET = "b"
 
 VERSIONS = ("dataset string, part string, version long, path string, key array<string>, "
             "schema string, committed_at timestamp, part_column string, part_grain string, "
-            "buckets int")
+            "buckets int, rows long, date_column string, min_date date, max_date date")
+ROW_CHECKS = "dataset string, part string, path string, total_rows long, duplicate_rows long"
 LEDGER = ("file_id string, file_name string, folder_id string, dataset string, file_date date, "
           "bytes bigint, fingerprint string, downloaded_at timestamp, loaded_at timestamp, "
           "row_count bigint, status string, error_message string, parse_method string")
@@ -56,7 +60,8 @@ REGISTRY = ("dataset string, columns map<string,string>, primary_key array<strin
             "seen_at timestamp")
 
 META = {"_versions": VERSIONS, "_file_ledger": LEDGER, "_sync_log": SYNC_LOG,
-        "_schema_registry": REGISTRY, "_parse_reports": PARSE_REPORTS, "_rejects": REJECTS}
+        "_schema_registry": REGISTRY, "_parse_reports": PARSE_REPORTS, "_rejects": REJECTS,
+        "_row_checks": ROW_CHECKS}
 
 
 def fields(ddl: str) -> T.StructType:
@@ -112,6 +117,7 @@ class TableState:
     schema: T.StructType | None = None
     paths: dict[str, str] = field(default_factory=dict)
     schemas: dict[str, T.StructType] = field(default_factory=dict)
+    base: str = ""
     version: int = 0
     rule: PartRule | None = None
 
@@ -157,7 +163,8 @@ class Store:
         versions = self.meta("_versions")
         if dataset is not None:
             versions = versions.filter(F.col("dataset") == dataset)
-        names = ["version", "path", "schema", "key", "part_column", "part_grain", "buckets"]
+        names = ["version", "path", "schema", "key", "part_column", "part_grain", "buckets", "rows",
+                 "date_column", "min_date", "max_date"]
         newest = F.max_by(F.struct(*names), F.struct("version", "committed_at")).alias("v")
         return versions.groupBy("dataset", "part").agg(newest).select("dataset", "part", "v.*")
 
@@ -180,20 +187,25 @@ class Store:
         return TableState(
             schema, {r["part"]: r["path"] for r in full},
             {r["path"]: T.StructType.fromJson(json.loads(r["schema"])) for r in full},
-            last["version"], rule)
+            f"{self.root}/{dataset}", last["version"], rule)
 
     def _scan(self, state: TableState, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
-        """Rows of the parts; each is read as it was written, then widened."""
+        """Rows of the parts, and which part; each is read as it was written, then widened."""
+        part = T.StructField(PART, T.StringType())
+        schema = T.StructType([*schema.fields, part])
         if not paths:
             return self.spark.createDataFrame([], schema)
         by_schema: dict[str, list[str]] = {}
         for path in paths:
             by_schema.setdefault(state.schemas[path].json(), []).append(path)
-        groups = [
-            align_columns(self.spark.read.schema(state.schemas[own[0]]).parquet(*own), schema)
-            for own in by_schema.values()
-        ]
-        return reduce(DataFrame.unionByName, groups)
+
+        def read(own: list[str]) -> DataFrame:
+            # Below one base path the part is a partition column, which filters prune.
+            stored = T.StructType([*state.schemas[own[0]].fields, part])
+            rows = self.spark.read.schema(stored).option("basePath", state.base).parquet(*own)
+            return align_columns(rows, schema)
+
+        return reduce(DataFrame.unionByName, [read(own) for own in by_schema.values()])
 
     def exists(self, dataset: str) -> bool:
         return self._state(dataset).schema is not None
@@ -205,7 +217,7 @@ class Store:
              until: str | None = None) -> DataFrame | None:
         """The table, without bookkeeping columns; their names start with ``_``.
 
-        ``since`` and ``until`` leave out whole parts by their date before any
+        See ``table`` for one whose parts are pruned by filters.  ``since`` and ``until`` leave out whole parts by their date before any
         file is opened.  They do not replace a filter on the rows.
         """
         state = self._state(dataset)
@@ -228,12 +240,65 @@ class Store:
         """Columns and key of a dataset as last registered."""
         return self.registry().filter(F.col("dataset") == dataset)
 
+    def table(self, dataset: str) -> DataFrame | None:
+        """The table with its part, from which the operators leave out parts by date."""
+        state = self._state(dataset)
+        if state.schema is None:
+            return None
+        shown = [n for n in state.schema.names if not n.startswith("_")]
+        cut = {"column": state.rule.column, "grain": state.rule.grain}
+        rows = self._scan(state, state.schema, sorted(state.paths.values()))
+        return rows.select(*shown, F.col(PART).alias(PART, metadata=cut))
+
     def tables(self) -> dict[str, DataFrame]:
-        return {d: self.read(d) for d in self.datasets()}
+        """All tables, as the operators take them."""
+        return {d: self.table(d) for d in self.datasets()}
+
+    # -- what is known about the parts ---------------------------------------------
+
+    def ranges(self) -> DataFrame:
+        """Rows and dates per dataset, summed over the version list."""
+        parts = self._current()
+        unknown = parts.filter(F.col("path").isNotNull() & F.col("rows").isNull())
+        old = [r[0] for r in unknown.select("dataset").distinct().collect()]
+        known = profile.ranges_of_parts(parts.filter(~F.col("dataset").isin(old)))
+        if not old:
+            return known
+        # Written before parts were counted.
+        return known.unionByName(profile.dataset_ranges({d: self.read(d) for d in old}))
+
+    def describe(self) -> DataFrame:
+        """Columns, types and row count of every table; no data file is opened."""
+        schemas = {d: T.StructType([f for f in self.schema(d).fields if not f.name.startswith("_")])
+                   for d in self.datasets()}
+        counts = self.ranges().select(F.col("dataset").alias("table"), "row_count")
+        return profile.describe_schemas(self.spark, schemas, counts)
+
+    def duplicate_rows(self) -> DataFrame:
+        """Total and surplus identical rows per table; parts that were compared before are not read again.
+
+        Identical rows share their key, hence their part.
+        """
+        parts = self._current().filter(F.col("path").isNotNull()).select("dataset", "part", "path")
+        known = self.meta("_row_checks").select("path", "total_rows", "duplicate_rows").distinct()
+        fresh = parts.join(known, "path", "left_anti")
+        by_dataset: dict[str, list[str]] = {}
+        for row in fresh.select("dataset", "path").collect():
+            by_dataset.setdefault(row["dataset"], []).append(row["path"])
+        for dataset, paths in by_dataset.items():
+            state = self._state(dataset)
+            found = quality.repeated_rows(self._scan(state, state.schema, paths), PART)
+            mine = fresh.filter(F.col("dataset") == dataset)
+            self.append("_row_checks", self._pinned(
+                mine.join(found.withColumnRenamed(PART, "part"), "part")))
+        if by_dataset:
+            known = self.meta("_row_checks").select("path", "total_rows", "duplicate_rows").distinct()
+        return parts.join(known, "path").groupBy("dataset").agg(
+            F.sum("total_rows").alias("total_rows"), F.sum("duplicate_rows").alias("duplicate_rows"))
 
     def register_views(self) -> None:
         """Temp views for free SQL, taken at the current versions."""
-        tables = self.tables()
+        tables = {d: self.read(d) for d in self.datasets()}
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
         register_recent_view(tables)
@@ -269,7 +334,7 @@ class Store:
         touched = [state.paths[p] for p in parts if p in state.paths]
         if touched:
             # Other parts cannot hold a key of this batch and are not read.
-            target = self._scan(state, schema, touched)
+            target = self._scan(state, schema, touched).drop(PART)
             if newest_by is None:
                 result = upsert_by_key(target, result, rule.key, null_safe=null_safe)
             else:
@@ -285,6 +350,7 @@ class Store:
             "dataset", "part", F.lit(state.version + 1).cast("long").alias("version"),
             F.lit(None).cast("string").alias("path"), "key", "schema",
             F.current_timestamp().alias("committed_at"), "part_column", "part_grain", "buckets",
+            F.lit(0).cast("long").alias("rows"), "date_column",
         )
         self.append("_versions", self._pinned(rows))
 
@@ -303,18 +369,26 @@ class Store:
             .write.partitionBy(PART)
             .parquet(folder)
         )
-        # The listing alone answers this; a row outside the listed parts would be lost.
+        # Rows and dates per part; only the date column is read.
         listed = T.StructType([*schema.fields, T.StructField(PART, T.StringType())])
-        written = {r[0] for r in self.spark.read.schema(listed).parquet(folder).select(PART).distinct().collect()}
-        if not written.issubset(parts):
-            raise RuntimeError(f"{dataset}: rows left their parts for {sorted(written.difference(parts))}")
+        stored = self.spark.read.schema(listed).parquet(folder)
+        shown = stored.drop(*[n for n in listed.names if n.startswith("_")])
+        date_column = detect_date_column(shown, dataset)
+        day = profile.row_date(shown, dataset)
+        written = {r[0]: r[1:] for r in stored.groupBy(PART).agg(
+            F.count(F.lit(1)), F.min(day), F.max(day)).collect()}
+        # A row outside the listed parts would be lost.
+        if not set(written).issubset(parts):
+            raise RuntimeError(f"{dataset}: rows left their parts for {sorted(set(written).difference(parts))}")
         if self._state(dataset).version != version - 1:
             raise TableChanged(f"{dataset} has changed since version {version - 1}")
         entries = self.spark.createDataFrame(
             [(dataset, p, version, f"{folder}/{PART}={p}" if p in written else None, list(rule.key),
-              schema.json(), rule.column, rule.grain, rule.buckets) for p in parts],
+              schema.json(), rule.column, rule.grain, rule.buckets, *written.get(p, (0, None, None)),
+              date_column) for p in parts],
             "dataset string, part string, version long, path string, key array<string>, "
-            "schema string, part_column string, part_grain string, buckets int",
+            "schema string, part_column string, part_grain string, buckets int, rows long, "
+            "min_date date, max_date date, date_column string",
         )
         self.append("_versions", entries.withColumn("committed_at", F.current_timestamp()))
 
@@ -335,12 +409,23 @@ def ledger_rows(rows: DataFrame) -> DataFrame:
     return align_columns(rows, fields(LEDGER))
 
 
-def newest_ledger_rows(rows: DataFrame, order: Sequence[str] = ("downloaded_at", "loaded_at"),
-                       ) -> DataFrame:
-    """One row per file: the last one written wins."""
-    names = [c for c in rows.columns if c != "file_id"]
-    newest = F.max_by(F.struct(*names), F.struct(*order)).alias("row")
-    return rows.groupBy("file_id").agg(newest).select("file_id", "row.*")
+def newest_ledger_rows(rows: DataFrame) -> DataFrame:
+    """One row per file: the last one downloaded wins, then the last one loaded.
+
+    Both times in one DECIMAL, and a hash that settles ties, keep the pick in a
+    hash aggregate, which sends one row per file and task however long the
+    history; a struct would make it a sort of all of it.
+    """
+    def place(column: str) -> Column:
+        micros = F.coalesce(F.unix_micros(F.col(column).cast("timestamp")), F.lit(-(1 << 62)))
+        return (micros + F.lit(1 << 62)).cast("decimal(19,0)")
+
+    last = place("downloaded_at") * F.lit("1" + 19 * "0").cast("decimal(20,0)") + place("loaded_at")
+    numbered = rows.withColumns({
+        "_last": last.cast("decimal(38,0)"), "_tie": F.xxhash64(*[c for c in rows.columns if c != "file_id"])})
+    best = numbered.groupBy("file_id").agg(
+        F.max("_last").alias("_last"), F.max_by("_tie", "_last").alias("_tie"))
+    return numbered.join(best, ["file_id", "_last", "_tie"], "left_semi").select(*rows.columns).distinct()
 
 
 def newest_registry_rows(rows: DataFrame) -> DataFrame:

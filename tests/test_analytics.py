@@ -188,7 +188,7 @@ def test_forecast_cutoffs(delivered):
     assert item()[1] == 55
     assert item(as_of="2026-05-13")[1] == 48
     with pytest.raises(ValueError):
-        forecast_vs_actual(delivered, weeks_back=105)
+        forecast_vs_actual(delivered, weeks_back=0)
     with pytest.raises(TableMissing):
         forecast_vs_actual({"sales_weekly": delivered["sales_weekly"]})
 

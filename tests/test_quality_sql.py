@@ -70,9 +70,9 @@ def test_orphans(spark):
 def test_duplicates(table, tables):
     twice = table("tcin bigint, d date, note string", (1, "2026-04-01", None), (1, "2026-04-01", None),
                   (2, "2026-04-01", "x"), (None, "2026-04-01", "x"))
-    got = quality.no_duplicate_rows({"sales_daily": twice.filter("tcin IS NOT NULL")}).first()
+    got = quality.no_duplicate_rows(quality.duplicate_rows({"sales_daily": twice.filter("tcin IS NOT NULL")})).first()
     assert (got["status"], got["detail"]) == ("warn", "identical rows: sales_daily: 1 of 3")
-    assert quality.no_duplicate_rows(tables).first()["status"] == "pass"
+    assert quality.no_duplicate_rows(quality.duplicate_rows(tables)).first()["status"] == "pass"
     assert quality.key_duplicates(twice, ["tcin", "d"]).first()[:] == (1, 1, 1)
 
 

@@ -236,3 +236,69 @@ def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):
     assert Store(spark, str(tmp_path / "none")).ledger().isEmpty()
     with pytest.raises(Exception):
         Store(spark, "nosuchscheme://x/y").ledger().count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_leave_out_parts(spark, tmp_path, table):
+    from shelfline.operators.inventory import inventory_snapshot, sell_through
+    from shelfline.operators.sales import sales_summary, top_skus
+
+    day = table("tcin bigint, location_id bigint, sales_date date, sale_quantity bigint",
+                (1, 1, "2026-01-05", 5), (1, 1, "2026-02-05", 6), (2, 1, "2026-03-05", 7), (2, 1, None, 9))
+    stock = day.withColumnsRenamed({"sales_date": "report_date_dim", "sale_quantity": "inventory_quantity"})
+    for grain in ("day", "month"):
+        store = Store(spark, str(tmp_path / grain), part_grain=grain)
+        store.upsert("sales_daily", day, ["tcin", "location_id", "sales_date"])
+        store.upsert("inventory_daily", stock, ["tcin", "location_id", "report_date_dim"])
+        tables = store.tables()
+        assert "_part" not in store.read("sales_daily").columns
+        for got in (sell_through(tables, "2026-02-03", "2026-03-05"), sales_summary(tables, "week", "2026-02-03"),
+                    top_skus(tables, "units", None, "2026-02-28"), inventory_snapshot(tables, "2026-02-10")):
+            assert "PartitionFilters: [isnotnull(_part" in _plan(got)
+        assert rows(sell_through(tables, "2026-02-03", "2026-03-05"), "tcin", "units_sold") == [(1, 6), (2, 7)]
+        assert rows(inventory_snapshot(tables, "2026-02-10"), "tcin", "on_hand") == [(1, 6)]
+        assert sales_summary(tables, "week", "2026-02-03").count() == 2
+
+
+def test_profiles_open_no_data_file(spark, tmp_path, table):
+    store = Store(spark, str(tmp_path / "s"))
+    batch = table("tcin bigint, location_id bigint, sales_date date, note string",
+                  (1, 1, "2026-01-05", "a"), (1, 2, "2026-01-07", None), (1, 3, None, "c"))
+    store.upsert("sales_daily", batch, ["tcin", "location_id", "sales_date"])
+    assert rows(store.ranges(), "dataset", "date_column", "row_count", "min_date", "max_date") == [
+        ("sales_daily", "sales_date", 3, "2026-01-05", "2026-01-07")]
+    assert rows(store.describe(), "column", "type", "row_count")[0] == ("location_id", "BIGINT", 3)
+    for df in (store.ranges(), store.describe()):
+        assert all("/_versions/" in f for f in df.inputFiles())
+    store.clear("sales_daily")
+    assert rows(store.ranges(), "row_count", "min_date") == [(0, None)]
+
+
+def test_only_changed_parts_are_compared_again(spark, tmp_path, table):
+    ddl, key = "tcin bigint, location_id bigint, sales_date date, a string, b string", ["tcin", "location_id", "sales_date"]
+    store = Store(spark, str(tmp_path / "s"))
+    # The third row differs only in where its NULL stands.
+    store.upsert("sales_daily", table(
+        ddl, (1, 1, "2026-01-05", "x", None), (1, 1, "2026-01-05", "x", None), (1, 1, "2026-01-05", None, "x"),
+        (2, 1, "2026-01-06", "y", "z")), key)
+    assert rows(store.duplicate_rows()) == [("sales_daily", 4, 1)]
+    store.upsert("sales_daily", table(ddl, (2, 1, "2026-01-06", "y", "z"), (2, 1, "2026-01-06", "y", "z")), key)
+    assert rows(store.duplicate_rows()) == [("sales_daily", 5, 2)]
+    assert rows(store.duplicate_rows()) == [("sales_daily", 5, 2)]
+    assert rows(store.meta("_row_checks").groupBy("part").count()) == [("2026-01-05", 1), ("2026-01-06", 2)]
+
+
+def test_newest_ledger_row_stays_in_a_hash_aggregate(spark):
+    from shelfline.store import newest_ledger_rows
+
+    events = spark.sql("""SELECT * FROM VALUES
+        ('a', 'old', TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-02'), ('a', 'new', TIMESTAMP '2026-01-02', NULL),
+        ('b', 'first', TIMESTAMP '2026-01-01', NULL), ('b', 'then', TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-01'),
+        ('c', 'same', NULL, NULL), ('c', 'same', NULL, NULL), ('d', 'x', TIMESTAMP '1960-01-01', NULL), ('d', 'y', NULL, NULL)
+        AS t(file_id, status, downloaded_at, loaded_at)""")
+    got = newest_ledger_rows(events)
+    assert rows(got, "file_id", "status") == [("a", "new"), ("b", "then"), ("c", "same"), ("d", "x")]
+    assert "SortAggregate" not in _plan(got)
