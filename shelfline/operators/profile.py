@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.catalog import DATASET_NAMES, DATASETS
-from shelfline.functions.columns import detect_date_column
-from shelfline.functions.dates import text_date
+from shelfline.functions.columns import DATE_ROLES, detect_date_column, find_column
+from shelfline.functions.dates import as_date, text_date
 from shelfline.sources.delimited import derive_schema
 
 
@@ -54,6 +54,28 @@ def ranges_of_parts(parts: DataFrame) -> DataFrame:
         F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"))
 
 
+def unread_dates(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per date role of each table: filled values, and those that the operators cannot read as a date.
+
+    Such values are NULL to every operator; one scan of the date columns counts them.
+    """
+    parts = []
+    for name, df in tables.items():
+        roles = {r: find_column(df, name, r) for r in DATE_ROLES}
+        found = {r: c for r, c in roles.items() if c is not None}
+        if not found:
+            continue
+        counts = df.agg(*[F.struct(
+            F.count(c).alias("filled"), F.count_if(F.col(c).isNotNull() & as_date(df, c).isNull()).alias("unread")
+        ).alias(r) for r, c in found.items()])
+        listed = F.array(*[F.struct(F.lit(name).alias("dataset"), F.lit(r).alias("role"), F.lit(c).alias("column"),
+                                    f"{r}.filled", f"{r}.unread") for r, c in found.items()])
+        parts.append(counts.select(F.inline(listed)))
+    if not parts:
+        raise LookupError(f"none of {sorted(tables)} has a date column")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dataset_profile(tables: Mapping[str, DataFrame] | DataFrame, ledger: DataFrame) -> DataFrame:
     """Ranges, of tables or as given, with the number of loaded files and the last load per dataset."""
     ranges = tables if isinstance(tables, DataFrame) else dataset_ranges(tables)

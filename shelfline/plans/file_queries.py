@@ -258,18 +258,17 @@ def _(t):
 
 
 @register("parse_report", with_views(
-    """SELECT l.doc_id, COUNT(*) AS data_lines,
+    """SELECT l.doc_id, COUNT(l.line) AS data_lines,
               COUNT(*) FILTER (WHERE fields < width) AS short_rows,
               COUNT(*) FILTER (WHERE fields > width) AS long_rows,
               CASE WHEN COUNT(*) FILTER (WHERE fields < width) > 0 THEN 'ignore_errors'
                    ELSE 'strict' END AS method
-       FROM (SELECT b.doc_id, len(string_split(b.line, h.delimiter)) AS fields,
+       FROM (SELECT h.doc_id, b.line, len(string_split(b.line, h.delimiter)) AS fields,
                     len(string_split(h.line, h.delimiter)) AS width
-             FROM document_lines b JOIN headers h ON b.doc_id = h.doc_id
-             WHERE b.line_no > 0) l
+             FROM headers h LEFT JOIN document_lines b ON b.doc_id = h.doc_id AND b.line_no > 0) l
        GROUP BY l.doc_id""", "document_lines", headers=_HEADERS))
 def _(t):
-    # Each document is read as one delivered file with a header of its own.
+    # Each document is read as one delivered file with a header of its own; some have nothing else.
     lines = t.document_lines
     head = F.col("header")
     headers = lines.filter(F.col("line_no") == 0).select("doc_id", F.col("line").alias("header"))
@@ -281,7 +280,8 @@ def _(t):
         "doc_id", (fields < width).alias("_short"), (fields > width).alias("_long"),
         F.contains("line", F.lit(delimited.REPLACEMENT)).alias("_garbled"),
         F.lit(0).alias("_bad"))
-    return delimited.parse_report(rows, "doc_id").select(
+    found = headers.select("doc_id").join(delimited.parse_report(rows, "doc_id"), "doc_id", "left")
+    return found.fillna({"method": "strict"}).fillna(0).select(
         "doc_id", "data_lines", "short_rows", "long_rows", "method")
 
 
@@ -481,6 +481,17 @@ def _(t):
     return table.read("sales_daily")
 
 
+@register("unread_dates",
+          """SELECT 'sales_daily' AS dataset, 'date' AS role, 'sales_date' AS "column", COUNT(*) AS filled,
+                    COUNT(*) FILTER (WHERE o_orderkey % 6 >= 4) AS unread FROM orders WHERE o_orderkey % 7 <> 0""")
+def _(t):
+    """Text in a date column that is no date: it is NULL to the operators, and counted here."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 6 < 4, day).otherwise(F.concat(F.lit("on "), day))
+    sales = t.raw("orders").select(F.when(F.col("o_orderkey") % 7 != 0, text).alias("sales_date"))
+    return profile.unread_dates({"sales_daily": sales})
+
+
 @register("text_date_spellings",
           """SELECT o_orderkey, CASE WHEN o_orderkey % 6 >= 4 THEN NULL
                                      ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")

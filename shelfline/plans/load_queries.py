@@ -491,3 +491,23 @@ def _(t):
 @register("stored_forecast_vs_actual", queries.ORACLES["forecast_vs_actual_cutoff"])
 def _(t):
     return forecast_vs_actual(_stored_store(t).tables(), weeks_back=52, as_of="2001-08-01", today=TODAY).rows
+
+
+# -- tables of an older layout -------------------------------------------------
+
+
+@register("ledger_of_two_layouts", with_views(
+    """SELECT file_id, dataset, row_count, status,
+              CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE parse_method END AS parse_method,
+              CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE error_message END AS error_message
+       FROM (SELECT *, CAST(substr(file_id, 2) AS BIGINT) AS o_orderkey FROM ledger_events)
+       QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY downloaded_at DESC) = 1""", "ledger_events"))
+def _(t):
+    """Half of the ledger was written before it kept how a file was read and why it failed."""
+    events = t.ledger_events.withColumns({c: F.col(c).cast("timestamp") for c in ("downloaded_at", "loaded_at")})
+    even = F.substring("file_id", 2, 20).cast("long") % 2 == 0
+    store = st.Store(events.sparkSession, shared_folder(events.sparkSession, "store"))
+    older = events.filter(even).drop("parse_method", "error_message")
+    older.write.parquet(f"{store.root}/_file_ledger")
+    store.add_ledger(events.filter(~even))
+    return store.ledger().select("file_id", "dataset", "row_count", "status", "parse_method", "error_message")

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from result_rows import rows
 from shelfline import store as st
 from shelfline.operators import profile, quality
-from shelfline.operators.bounded_sql import SqlBlocked, check_file_name, export_csv, run_sql
+from shelfline.operators.bounded_sql import SqlBlocked, check_file_name, export_csv, run_sql, run_sql_marked
 from shelfline.operators.paging import page
 
 LEDGER = "file_id string, file_name string, dataset string, bytes bigint, downloaded_at timestamp, loaded_at timestamp, row_count bigint, status string"
@@ -168,3 +168,28 @@ def test_pages(table):
     assert beyond.rows.count() == 0 and not beyond.has_more
     with pytest.raises(ValueError):
         page(df, ["a"], -1)
+
+
+def test_cut_results_are_marked(spark, tmp_path):
+    spark.range(30).selectExpr("id AS n", "29 - id AS back").createOrReplaceTempView("thirty")
+    sql = "SELECT * FROM thirty ORDER BY back"
+    cut, whole = run_sql_marked(spark, sql, 7), run_sql_marked(spark, sql, 30)
+    assert rows(cut) == [(n, 29 - n, True) for n in range(23, 30)]
+    assert whole.count() == 30 and not whole.first()["truncated"]
+    assert run_sql(spark, sql, None).count() == 30
+    assert run_sql_marked(spark, "SELECT * FROM thirty WHERE n < 0", 5).isEmpty()
+    for limit, written, truncated in ((7, 7, True), (30, 30, False), (None, 30, False)):
+        out = export_csv(spark, sql, str(tmp_path), "t.csv", max_rows=limit)
+        assert (out.rows_written, out.truncated) == (written, truncated)
+
+
+def test_unread_dates(table):
+    tables = {
+        "sales_daily": table("tcin bigint, sales_date string", (1, "2026-04-01"), (2, "04/31/2026"), (3, "soon"), (4, None)),
+        "forecast_weekly": table("tcin bigint, fiscal_week_begin_d string, last_update_d date", (1, "x", "2026-05-01")),
+        "item_attr": table("tcin bigint, note string", (1, "a"))}
+    assert rows(profile.unread_dates(tables)) == [
+        ("forecast_weekly", "date", "fiscal_week_begin_d", 1, 1), ("forecast_weekly", "snapshot_date", "last_update_d", 1, 0),
+        ("sales_daily", "date", "sales_date", 3, 2)]
+    with pytest.raises(LookupError):
+        profile.unread_dates({"item_attr": tables["item_attr"]})
