@@ -301,8 +301,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         raise ValueError("the bands are made for similarities of 0.8 and more")
     signs = written(signed(docs, width), "minhash-signs")
     classes = written(signs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "minhash-classes")
+    # One row per class: rows that repeat id and text would meet each other in every bucket.
     single = signs.join(classes.select(F.col("digest").alias("_digest"), "id"),
-                        (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("id")))
+                        (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(
+        ["digest", "doc_id"])
     places = single.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = written(places.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
     # Per class the bands with company, then its sketch goes along with them.
@@ -314,7 +316,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = _in_buckets(members.withColumn("component", F.col("id")), sizes)
     pairs = written(first.mapInArrow(_forests, "a long, b long"), "minhash-forest")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = written(full_sets(listed(docs.select("doc_id", "text"), involved, "minhash-involved"), width), "minhash-sets")
+    texts = listed(docs.select("doc_id", "text"), involved, "minhash-involved").distinct()
+    sets = written(full_sets(texts, width), "minhash-sets")
     pairs = pairs.where("a <> b")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
@@ -343,6 +346,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """``docs`` with one row of each component: that with the smallest doc_id, null last.
+
+    Rows are told by a number of their own, so rows that repeat an id, and rows
+    without one, are compared like any others.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_node"), F.struct("*").alias("_doc")), "minhash-rows")
+    found = written(near_duplicates(rows.select(F.col("_node").alias("doc_id"), "_doc.text"), width, percent).where(
+        "n_shingles > 0").select(F.col("doc_id").alias("_node"), "component_id"), "minhash-found")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "_node")
+    stays = found.join(rows.select("_node", F.col("_doc.doc_id").alias("id")), "_node").groupBy("component_id").agg(
+        F.min(order).alias("best")).select(F.col("best._node").alias("_node"))
+    gone = found.select("_node").join(stays, "_node", "left_anti")
+    return rows.join(gone, "_node", "left_anti").select("_doc.*")

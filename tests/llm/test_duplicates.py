@@ -90,7 +90,7 @@ def test_odd_documents_near(odd_docs, no_docs):
     assert by_id[7]["n_shingles"] == 1
     kept = minhash.deduplicated(odd_docs, 4)
     assert kept.columns == odd_docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 9, 11, None, 12} - ({12} if by_id[12]["component_id"] == 1 else set())
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 4, 5, 6, 7, 8, 9, 11, None, 12} - ({12} if by_id[12]["component_id"] == 1 else set())
     assert minhash.near_duplicates(no_docs, 4).isEmpty()
 
 
@@ -99,6 +99,34 @@ def test_low_similarities_are_refused(odd_docs):
         minhash.near_duplicates(odd_docs, 4, 70)
 
 
+
+def test_repeated_rows_are_one_node(spark):
+    import time
+
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:57], "x"]
+    rows = [(7, " ".join(words))] * 2000 + [(9, " ".join(near))] * 2000 + [(7, "other " + " ".join(words[::-1]))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = minhash.near_duplicates(docs, 4).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 7, 2050), (9, 7, 2000)]
+    assert time.time() - began < 120
+
+
+def test_one_row_of_a_group_stays(spark, odd_docs, no_docs):
+    kept = minhash.deduplicated(odd_docs)
+    assert kept.columns == odd_docs.columns
+    rows = sorted((tuple(r) for r in kept.select("doc_id", F.substring("text", 1, 12)).collect()), key=str)
+    # 1, 2 twice, 3 and 12 are near copies; texts without words stay, and so do different texts of one id.
+    assert [r[0] for r in rows if r[1] and r[1].startswith("word0")] == [1]
+    assert [r[0] for r in rows if r[1] and r[1].startswith("lorem")] == [9]
+    assert sum(r[0] == 2 for r in rows) == 1 and sum(r[0] is None for r in rows) == 2
+    copies = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (4, "A b c d e f")],
+                                   "doc_id long, text string")
+    assert [tuple(r) for r in minhash.deduplicated(copies).collect()] == [(4, "A b c d e f")]
+    assert minhash.deduplicated(no_docs).isEmpty()
+
+
 # Exact duplicates
 
 
