@@ -41,6 +41,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.session import written
@@ -219,21 +220,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
         grams[side] = grams[side].map(bytes)
     spark = docs.sparkSession
     used = [(d, e) for d, e in zip(DISCOUNTS, pair_discounts, strict=True) if d >= least]
-    candidates = spark.sparkContext.broadcast(
-        [Ratios(table, grams, totals, d, e) for d, e in used or [(DISCOUNTS[-1], pair_discounts[-1])]])
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([[x for r in candidates.value for x in r.score(t)] for t in texts], pa.list_(pa.float64())),
-                 batch.column(1)], ["scores", "toxic"])
-
-    got = fitted.select("text", "toxic").mapInArrow(scores, "scores array<double>, toxic int").toPandas()
-    x, y = np.array(got["scores"].tolist()).reshape(len(got), -1, len(SIGNS)), got["toxic"].to_numpy()
-    curves = [_curve(x[:, i], y) for i in range(x.shape[1])]
+    used = used or [(DISCOUNTS[-1], pair_discounts[-1])]
+
+    def scored(candidate: Broadcast) -> pd.DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = [candidate.value.score((t.as_py() or "").encode()) for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(scores, pa.list_(pa.float64())), batch.column(1)], ["scores", "toxic"])
+
+        return fitted.select("text", "toxic").mapInArrow(run, "scores array<double>, toxic int").toPandas()
+
+    # One pair of discounts at a time: the driver and a task hold one model.
+    curves = []
+    for discount, pair_discount in used:
+        ratios = Ratios(table, grams, totals, discount, pair_discount)
+        candidate = spark.sparkContext.broadcast(ratios)
+        del ratios
+        got = scored(candidate)
+        candidate.destroy()
+        curves.append(_curve(np.array(got["scores"].tolist()).reshape(len(got), len(SIGNS)), got["toxic"].to_numpy()))
     best = min(range(len(curves)), key=lambda i: (round(curves[i][2], 4), i))
-    return candidates.value[best], curves[best][0], curves[best][1]
+    return Ratios(table, grams, totals, *used[best]), curves[best][0], curves[best][1]
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
