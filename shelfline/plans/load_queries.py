@@ -27,6 +27,7 @@ from shelfline.streaming.ingest import stream_ingest
 
 KEY = ["tcin", "location_id", "sales_date"]
 _DONE: dict[tuple, st.Store] = {}
+_BEFORE = set(queries.QUERIES)
 
 
 def _once(name: str, run: Callable) -> Callable:
@@ -511,3 +512,7 @@ def _(t):
     older.write.parquet(f"{store.root}/_file_ledger")
     store.add_ledger(events.filter(~even))
     return store.ledger().select("file_id", "dataset", "row_count", "status", "parse_method", "error_message")
+
+
+#: Queries of this module: whole loads of many small jobs, timed by name only.
+END_TO_END = [name for name in queries.QUERIES if name not in _BEFORE]
