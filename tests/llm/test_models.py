@@ -119,9 +119,8 @@ def test_counts_and_base(documents, odd_docs, block, monkeypatch):
             rows, lambda i: not held_out(i, 7, 2))
 
 
-def test_words_after_a_context_sum_to_one(spark, monkeypatch):
+def test_words_after_a_context_sum_to_one(spark):
     """Over all words that can follow, an unseen one and the end included."""
-    monkeypatch.setattr(backoff, "CONTEXT", 5)
     rng = np.random.default_rng(1)
     vocabulary = [f"word{i}" for i in range(30)] + list("abcdefgh")
     text = lambda: " ".join(rng.choice(vocabulary, 60))
@@ -226,3 +225,21 @@ def test_no_vectors(spark):
     _, df = vectors(spark)
     assert neighbours.nearest(df.where("false"), F.col("vec_id") % 20 == 0).isEmpty()
     assert neighbours.nearest(df.where("vec_id = 20").limit(1), F.col("vec_id") % 20 == 0).isEmpty()
+
+
+def test_many_ranges_and_common_words_change_no_score(documents, monkeypatch):
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(backoff, "RANGE_BYTES", 7_000)
+    monkeypatch.setattr(backoff, "SAMPLED", 1)
+    assert len(backoff._common(documents.select("doc_id", "text"))) > 5
+    got = backoff.score(documents, learn).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 5)) for r in got), key=str) == brute_score(
+        rows, lambda i: not held_out(i, 7, 2))
+
+
+def test_packed_numbers_come_back():
+    columns = [np.array([], np.uint64), np.array([0, 1, 255, 256], np.int64), np.array([2**64 - 1, 0], np.uint64)]
+    for a, b in zip(columns, backoff._unpack(backoff._pack(*columns)), strict=True):
+        assert a.astype(np.uint64).tolist() == b.tolist()
