@@ -63,6 +63,17 @@ class _State:
         self.arcs: dict[int, tuple[_State, tuple[int, ...]]] = {}
 
 
+def split(text: str, pattern) -> Iterator[list[str]]:
+    """The pieces of ``text``, RUN at a time."""
+    if len(text) <= LIST_CHARS:
+        pieces: Iterable[str] = pattern.findall(text)
+    else:
+        pieces = (m.group() for m in pattern.finditer(text))
+    pieces = iter(pieces)
+    while some := list(islice(pieces, RUN)):
+        yield some
+
+
 class MergeTransducer:
     """Byte string -> token ids, one byte at a time.
 
@@ -81,6 +92,8 @@ class MergeTransducer:
         self.states: dict[tuple[int, bytes], _State] = {}
         self.root = _State(-1)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        #: As pieces, with the ids as decimal numbers joined by commas.
+        self.joined: dict[str, str] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merges by rank, lowest first, leftmost on ties; for short strings."""
@@ -227,17 +240,31 @@ class MergeTransducer:
 
     def runs(self, text: str, pattern) -> Iterator[list[int]]:
         """Ids of ``text``, in runs of a bounded number of pieces."""
-        if len(text) <= LIST_CHARS:
-            pieces: Iterable[str] = pattern.findall(text)
-        else:
-            pieces = (m.group() for m in pattern.finditer(text))
-        pieces = iter(pieces)
-        while some := list(islice(pieces, RUN)):
+        for some in split(text, pattern):
             try:
                 yield list(chain.from_iterable(map(self.pieces.__getitem__, some)))
             except KeyError:
                 yield list(chain.from_iterable([self.known(p) for p in some]))
 
+    def known_joined(self, piece: str) -> str:
+        found = self.joined.get(piece)
+        if found is None:
+            data = piece.encode()
+            found = ",".join(map(str, self.piece(data)))
+            if len(data) <= PIECE_LIMIT:
+                if len(self.joined) >= TABLE_LIMIT:
+                    self.joined.clear()
+                self.joined[piece] = found
+        return found
+
+    def joined_runs(self, text: str, pattern) -> Iterator[list[str]]:
+        """As ``runs``, with one entry for each piece: its ids joined by commas."""
+        for some in split(text, pattern):
+            try:
+                yield list(map(self.joined.__getitem__, some))
+            except KeyError:
+                yield list(map(self.known_joined, some))
+
 
 class Utf8Machine:
     """Token ids -> text; a code point that spans tokens waits in the state."""
@@ -247,6 +274,8 @@ class Utf8Machine:
         self.arcs: list[dict[int, tuple[int, str]]] = [{}]
         self.states: dict[bytes, int] = {b"": 0}
         self.held: list[bytes] = [b""]
+        #: Joined arcs that begin and end between code points, by their joined ids.
+        self.joined: dict[str, str] = {}
         self.at = 0
 
     def arc(self, state: int, token: int) -> tuple[int, str]:
@@ -271,6 +300,26 @@ class Utf8Machine:
         self.at = state
         return "".join(out)
 
+    def feed_joined(self, runs: list[str]) -> str:
+        """As ``feed`` for tokens as MergeTransducer.joined_runs gives them."""
+        if not self.at:
+            try:
+                return "".join(map(self.joined.__getitem__, runs))
+            except KeyError:
+                pass
+        out = []
+        for run in runs:
+            between = not self.at
+            text = self.joined.get(run) if between else None
+            if text is None:
+                text = self.feed(map(int, run.split(",")))
+                if between and not self.at and len(text) <= PIECE_LIMIT:
+                    if len(self.joined) >= TABLE_LIMIT:
+                        self.joined.clear()
+                    self.joined[run] = text
+            out.append(text)
+        return "".join(out)
+
     def close(self) -> str:
         """Ends the text: what is unfinished becomes U+FFFD."""
         rest, self.at = self.held[self.at], 0
@@ -320,6 +369,19 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, ", ".join([*fields, "decoded string"]))
 
 
+#: The machines of this process.  Their tables serve all its tasks.
+_machines: dict[tuple[str, str], tuple[MergeTransducer, Utf8Machine]] = {}
+
+
+def _kept(name: str, tokens: Sequence[bytes], pattern: str) -> tuple[MergeTransducer, Utf8Machine]:
+    found = _machines.get((name, pattern))
+    if found is None:
+        _machines.clear()
+        found = _machines[name, pattern] = MergeTransducer(list(tokens)), Utf8Machine(list(tokens))
+        gc.freeze()  # the tables above hold no garbage and need not be searched for it
+    return found
+
+
 def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row.
 
@@ -328,20 +390,23 @@ def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """
     import regex
 
-    tokens = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs.sparkSession, vocabulary))
+    ranks = _vocabulary(docs.sparkSession, vocabulary)
+    tokens = docs.sparkSession.sparkContext.broadcast(ranks)
+    name = hashlib.sha256(b"".join(len(t).to_bytes(4, "big") + t for t in ranks)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, reader, split = MergeTransducer(tokens.value), Utf8Machine(tokens.value), regex.compile(pattern)
-        names = [str(i) for i in range(len(tokens.value))]
-        gc.freeze()  # the tables above hold no garbage and need not be searched for it
+        coder, reader = _kept(name, tokens.value, pattern)
+        pieces = regex.compile(pattern)
         for batch in batches:
             counts, coded, decoded = [], [], []
             for value in batch.column(1):
                 n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in coder.runs(value.as_py() or "", split):
-                    ids_hash.update((("," if n else "") + ",".join(map(names.__getitem__, ids))).encode())
-                    n += len(ids)
-                    text_hash.update(reader.feed(ids).encode())
+                reader.at = 0
+                for runs in coder.joined_runs(value.as_py() or "", pieces):
+                    ids = ",".join(runs)
+                    ids_hash.update(("," + ids if n else ids).encode())
+                    n += ids.count(",") + 1
+                    text_hash.update(reader.feed_joined(runs).encode())
                 text_hash.update(reader.close().encode())
                 counts.append(n)
                 coded.append(ids_hash.hexdigest())

@@ -81,3 +81,29 @@ def test_rows(odd_docs, no_docs, public, spark):
     back = bpe.decode(bpe.encode(odd_docs, PATH, public_tokenizers.PATTERN), PATH)
     assert back.where("decoded <> coalesce(text, '')").isEmpty() and back.count() == len(texts)
     assert set(back.columns) == {*odd_docs.columns, "decoded"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" aeinrst\n'0,.ü")), max_size=80))
+def test_joined_runs_equal_single_ids(text, machine, tokens):
+    reader = bpe.Utf8Machine(tokens)
+    for _ in range(2):
+        runs = [run for some in machine.joined_runs(text, SPLIT) for run in some]
+        assert ",".join(runs) == ",".join(map(str, encoded(machine, text)))
+        assert reader.feed_joined(runs) + reader.close() == text
+
+
+def test_joined_runs_wait_for_unfinished_characters(tokens):
+    ids = {t: str(i) for i, t in enumerate(tokens)}
+    reader, euro = bpe.Utf8Machine(tokens), "€".encode()
+    first, rest = ids[euro[:1]], ",".join(ids[euro[i:i + 1]] for i in (1, 2))
+    assert [reader.feed_joined([r]) for r in (first, rest, ids[b"a"], first, rest)] == ["", "€", "a", "", "€"]
+
+
+def test_full_joined_tables_change_nothing(tokens, public, monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_LIMIT", 5)
+    small, reader = bpe.MergeTransducer(tokens), bpe.Utf8Machine(tokens)
+    text = "the quick brown fox jumps " * 30 + "x" * 300 + "naïve façade"
+    runs = [run for some in small.joined_runs(text, SPLIT) for run in some]
+    assert ",".join(runs) == ",".join(map(str, public.encode_ordinary(text)))
+    assert reader.feed_joined(runs) == text
