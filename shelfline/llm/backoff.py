@@ -109,24 +109,29 @@ class _Block:
         found = [(row, words, before) for row, words, before in _tokens(texts)]
         row, words, before = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
+        #: Numbers of the tokens' texts.
+        self.row = row
         learnt = None if learn is None else learn[row]
-        del row
         # A text's first word has no context.
         inside = np.flatnonzero(before != END)
         pairs = _pairs(before[inside], words[inside])
         #: Pairs by hash, and one place of each.
         self.pairs, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+        #: The tokens with a context, and the places of their pairs.
+        self.inside, self.pair = inside, back.astype(np.int32)
         del pairs
         n_pairs = None if learnt is None else np.bincount(back, weights=learnt[inside], minlength=len(self.pairs))
         v, w = before[inside[first]], words[inside[first]]
         del back, inside
         single, back = np.unique(words, return_inverse=True)
         n_words = None if learnt is None else np.bincount(back, weights=learnt, minlength=len(single))
-        del words, before, back
+        del words, before
         self.common = common[np.isin(common, single)]
         lists = _lists(self.common)
         #: The words and the lists of the common ones, by hash.
         self.keys = np.unique(np.concatenate([single, lists.ravel()]))
+        #: The places of the tokens' words.
+        self.word = np.searchsorted(self.keys, single)[back]
         if len(self.common):
             place = np.minimum(np.searchsorted(self.common, v), len(self.common) - 1)
             v = np.where(self.common[place] == v, lists[place, (w >> np.uint64(59)).astype(np.int64) % SALTS], v)
@@ -233,21 +238,17 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         arcs[block.order] = np.concatenate([x[2] for x in lists])
         del lists
         follow[np.searchsorted(block.keys, block.common)] = follow[np.searchsorted(block.keys, _lists(block.common))].sum(axis=1)
-        out = np.zeros((4, len(texts)))
-        for row, words, before in _tokens(texts):
-            n = count[np.searchsorted(block.keys, words)]
-            state = np.searchsorted(block.keys, before)
-            n_before, after = count[state], follow[state]
-            chance = np.where(n > 0, (n - less) / max(1, tokens), unseen)
-            held = np.flatnonzero((after > 0) & (before != END))
-            seen = arcs[np.searchsorted(block.pairs, _pairs(before[held], words[held]))]
-            # The arc of the pair, if there is one, and the failure arc.
-            chance[held] = (np.maximum(seen - less_pair, 0) * (seen > 0) + less_pair * after[held] * chance[held]) / n_before[held]
-            low = row[0]
-            for column, value in zip(out, (np.ones(len(n)), n > 0, np.log10((n + 1) / (tokens + types + 1)), np.log10(chance)),
-                                     strict=True):
-                sums = np.bincount(row - low, weights=value)
-                column[low:low + len(sums)] += sums
+        n = count[block.word]
+        chance = np.where(n > 0, (n - less) / max(1, tokens), unseen)
+        # Within a text the context of a token is the one before it.
+        before = block.word[block.inside - 1]
+        held = np.flatnonzero(follow[before] > 0)
+        before, at = before[held], block.inside[held]
+        seen = arcs[block.pair[held]]
+        # The arc of the pair, if there is one, and the failure arc.
+        chance[at] = (np.maximum(seen - less_pair, 0) * (seen > 0) + less_pair * follow[before] * chance[at]) / count[before]
+        out = [np.bincount(block.row, weights=value, minlength=len(texts)) for value in (
+            np.ones(len(n)), n > 0, np.log10((n + 1) / (tokens + types + 1)), np.log10(chance))]
         return pa.table({
             "doc_id": texts.column("doc_id"), "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64),
             "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": out[2], "score": out[3]})
