@@ -5,7 +5,7 @@ from shelfline.llm import queries
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert "pipeline" in names and set(queries.QUERIES) <= names
     assert set(entry.oracle_sql()) <= names
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "lines", "minhash", "mixing", "bpe"]
