@@ -1,58 +1,60 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
 Per class the probability of a word after another is that of an interpolated
-Kneser-Ney bigram over the documents that have the pair.  It backs off to the
-word's number of distinct preceding words, the continuation count, so that copied
-passages do not count again.  A discount is taken from every count, and what it
-frees goes to one backoff distribution that both classes share: the continuation
-counts of all training texts.  A word rare in both classes thus has the same ratio,
-whatever its counts.
-
-    P_class(w | v) = (max(c_class(v w) - E, 0) + freed_class(v) * P_class(w)) / c_class(v)
+Kneser-Ney bigram.  All counts are continuation counts: a pair counts once for each
+word that stands before it, a word once for each that precedes it, so copied passages
+do not count again.  A discount is taken from every count, and what it frees goes to
+one backoff distribution that both classes share: the continuation counts of all
+training texts.  A word rare in both classes thus has the same ratio, whatever its
+counts.
+
+    P_class(w | v) = (max(c_class(v w) - D, 0) + freed_class(v) * P_class(w)) / c_class(v)
     P_class(w) = max(n_class(w) - D, 0) / N_class + freed_class * P_shared(w)
 
 A word's ratio is log P_toxic(w | v) - log P_ordinary(w | v).  A document is seen
-by three numbers: its mean ratio, that is its log-likelihoods by its length; that of
-its most toxic passage of SPAN adjacent words, as over a whole document a few insults
-drown; and the logarithm of its length, as the largest of many is larger.  A
-logistic curve of them, and the discount, are fitted on labelled documents that the
-counts leave out.  In it toxicity never falls with the first two nor rises with the
-length, so a long clean text does not drift into the other class.
-
-Training takes at most SAMPLE labelled documents of each class, those with the
-smallest hashes of their ids, with their whole texts.  The table that goes to the
-tasks holds the words with more than one context in a class; if these are over
-TABLE_WORDS, then those with more than two, and so on; likewise the pairs in more
-than one document of a class, up to TABLE_PAIRS, where E is at least that number and
-so leaves nothing of the others.  All bounds hold whatever the data are.  Scoring is one pass over the rows, without a shuffle.
-
-Defined cases: a null or empty text scores like one unseen word.  A text with
-fewer words than SPAN is one passage.  A label row with a null counts as none; an
-id with two labels is toxic if one says so.  Without toxic training rows every
-score is 0, with nothing but toxic ones 1; if the training texts hold no words, 0.  A null id is not held out and not
-learned from.
+by its mean ratio, that is its log-likelihoods by its length; by the means of its one,
+two and three most toxic words, as over a whole document a few insults drown; and by
+the logarithm of its length, as the largest of many is larger.  A logistic curve of
+them, and the discount, are fitted on labelled documents that the counts leave out.
+In it toxicity never falls with the ratios nor rises with the length, so a long
+clean text does not drift into the other class.
+
+Words are runs outside ``[\\x20\\x09-\\x0D]`` in lower case, without the marks EDGES
+around them.  Training takes at most SAMPLE labelled documents of each class, those
+with the smallest hashes of their ids, with their whole texts, and no further one
+once these exceed SAMPLE_BYTES.  Words and pairs with no more than the least discount
+in both classes differ from unseen ones in nothing and are not sent to the tasks; each
+other one occurs twice at least, so what is sent is smaller than the sample.  Nothing
+else depends on the data's size.  Scoring is one pass over the rows, without a shuffle.
+
+Defined cases: a null or empty text scores like one unseen word.  A label row with a
+null counts as none; an id with two labels is toxic if one says so.  Without toxic
+training rows every score is 0, with nothing but toxic ones 1; if the training texts
+hold no words, 0.  A null id is not held out and not learned from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import add
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.session import written
 
 from .text import word_runs
 
-SAMPLE, TABLE_WORDS, TABLE_PAIRS = 10_000, 500_000, 250_000
-SPAN = 2
-DISCOUNTS = (1.0, 2.0, 3.0, 4.0)
+SAMPLE, SAMPLE_BYTES = 10_000, 64 << 20
+DISCOUNTS = (1.0, 2.0, 4.0)
+#: The means of so many most toxic words of a document are looked at.
+MOST = (1, 2, 3)
 #: One in so many sampled documents fits the curve, the others are counted.
 FITS = 4
+EDGES = b".,;:!?\"'()"
 
 
 def remainder(id_: Column, of: int) -> Column:
@@ -68,22 +70,37 @@ def sampled(labels: DataFrame, learn: Column) -> DataFrame:
     return pick(0).unionByName(pick(1)).select("_id", "toxic", (F.pmod("order", F.lit(FITS)) == 0).alias("fits"))
 
 
+def sampled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """text, toxic, fits: the sample's texts, up to SAMPLE_BYTES of a class and one document more."""
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(
+        "_id", "text", F.col("toxic").cast("int"), "fits"), "toxicity-sample")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).alias("bytes"))
+    taken = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
+    return rows.join(F.broadcast(taken.select("_id")), "_id", "left_semi").select("text", "toxic", "fits")
+
+
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    return ([w.strip(EDGES) for w in words] for words in word_runs(text))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """earlier, before, word, toxic: the distinct triples of each run of a text."""
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            before, pairs = b"", set()
-            for words in word_runs((text.as_py() or "").encode()):
-                pairs.update(zip([before, *words[:-1]], words, strict=True) if words else ())
-                before = words[-1] if words else before
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in pairs], pa.binary()), pa.array([w for _, w in pairs], pa.binary()),
-                 pa.array([toxic] * len(pairs), pa.int32())], ["before", "word", "toxic"])
+            tail = [b"", b""]
+            for words in _words((text.as_py() or "").encode()):
+                line = tail + words
+                triples, tail = set(zip(line, line[1:], words, strict=False)), line[-2:]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t[k] for t in triples], pa.binary()) for k in range(3)]
+                    + [pa.array([toxic] * len(triples), pa.int32())], ["earlier", "before", "word", "toxic"])
 
 
 class Ratios:
-    """log P_toxic / P_ordinary of every word after another, for one discount of words and one of pairs."""
+    """log P_toxic / P_ordinary of every word after another, for one discount."""
 
-    def __init__(self, table: pd.DataFrame, grams: pd.DataFrame, totals: dict, discount: float, pair_discount: float):
+    def __init__(self, table: pd.DataFrame, grams: pd.DataFrame, totals: dict, discount: float):
         freed = [totals[f"freed_{kind}_{discount:g}"] / max(1, totals[f"n_{kind}"]) for kind in ("ordinary", "toxic")]
 
         def chances(rows: pd.DataFrame) -> list:
@@ -98,8 +115,8 @@ class Ratios:
         both, backs = [], []
         for kind, p in zip(("ordinary", "toxic"), chances(grams), strict=True):
             n = grams[f"before_{kind}"]
-            backs.append(np.where(n > 0, grams[f"freed_{kind}_{pair_discount:g}"] / np.maximum(n, 1), 1.0))
-            both.append(np.maximum(grams[f"pair_{kind}"] - pair_discount, 0) / np.maximum(n, 1) + backs[-1] * p)
+            backs.append(np.where(n > 0, grams[f"freed_{kind}_{discount:g}"] / np.maximum(n, 1), 1.0))
+            both.append(np.maximum(grams[f"pair_{kind}"] - discount, 0) / np.maximum(n, 1) + backs[-1] * p)
         #: For each state its failure ratio and the ratios of its arcs.
         self.states: dict[bytes, tuple[float, dict[bytes, float]]] = {}
         for v, w, r, back in zip(grams["before"], grams["word"], (np.log(both[1] / both[0]) - self.unseen).tolist(),
@@ -112,27 +129,21 @@ class Ratios:
         ratio = state[1].get(w)
         return state[0] + self.words.get(w, 0.0) if ratio is None else ratio
 
-    def score(self, text: bytes) -> tuple[float, float, float]:
-        """Ratio of the most toxic passage, mean ratio, logarithm of the length; against unseen words."""
-        tail, before, best, total, n = [], b"", -np.inf, 0.0, 0
-        for words in word_runs(text):
+    def score(self, text: bytes) -> tuple[float, ...]:
+        """Mean ratios of the most toxic words, mean ratio, logarithm of the length; against unseen words."""
+        before, most, total, n = b"", [], 0.0, 0
+        for words in _words(text):
             if not words:
                 continue
             own = list(map(self._after, [before, *words[:-1]], words))
             before, total, n = words[-1], total + sum(own), n + len(words)
-            values = tail + own
-            sums: list[float] = values
-            for k in range(1, SPAN):
-                sums = list(map(add, sums, values[k:]))
-            best = max(best, max(sums[:max(0, len(values) - SPAN + 1)], default=-np.inf))
-            tail = values[len(values) - SPAN + 1:] if len(values) >= SPAN else values
-        if n < SPAN:
-            best = total * SPAN / max(1, n)
-        return best / SPAN, total / max(1, n), float(np.log1p(n))
+            most = nlargest(MOST[-1], most + own)
+        most += [0.0] * (MOST[-1] - len(most))
+        return (*(sum(most[:k]) / k for k in MOST), total / max(1, n), float(np.log1p(n)))
 
 
 #: Whether toxicity may rise or fall with a document's numbers.
-SIGNS = (1, 1, -1)
+SIGNS = (1,) * (len(MOST) + 1) + (-1,)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -179,9 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
 
     Without ratios the offset is every text's score.
     """
-    sample = sampled(labels, learn)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(
-        "text", F.col("toxic").cast("int"), "fits"), "toxicity-sample")
+    rows = sampled_rows(docs, sampled(labels, learn))
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return None, np.zeros(len(SIGNS)), 1.0 if 1 in kinds else 0.0
@@ -189,9 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
         counted, fitted = rows, rows  # too few rows to hold some out
     else:
         counted, fitted = rows.where("NOT fits"), rows.where("fits")
-    pairs = counted.select("text", "toxic").mapInArrow(_contexts, "before binary, word binary, toxic int")
-    pairs = written(pairs.groupBy("before", "word").agg(
-        F.sum("toxic").alias("pair_toxic"), F.sum(1 - F.col("toxic")).alias("pair_ordinary")), "toxicity-pairs")
+    triples = counted.select("text", "toxic").mapInArrow(_contexts, "earlier binary, before binary, word binary, toxic int")
+    # Dealt by pair, so that both sums need one shuffle.
+    pairs = written(triples.repartition("before", "word").groupBy("earlier", "before", "word").agg(
+        F.max("toxic").alias("toxic"), F.max(1 - F.col("toxic")).alias("ordinary")).groupBy("before", "word").agg(
+        F.sum("toxic").alias("pair_toxic"), F.sum("ordinary").alias("pair_ordinary")), "toxicity-pairs")
     words = written(pairs.groupBy("word").agg(
         F.count_if(F.col("pair_toxic") > 0).alias("toxic"), F.count_if(F.col("pair_ordinary") > 0).alias("ordinary"),
         F.count(F.lit(1)).alias("shared")), "toxicity-words")
@@ -202,25 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
     totals = words.agg(*sums).first().asDict()
     if not totals["n_toxic"] or not totals["n_ordinary"]:
         return None, np.zeros(len(SIGNS)), 0.0
-    least = 1
-    while (table := words.where(F.greatest("toxic", "ordinary") > least)).count() > TABLE_WORDS:
-        least += 1
-    table = table.toPandas()
+    table = words.where(F.greatest("toxic", "ordinary") > DISCOUNTS[0]).toPandas()
     table["word"] = table["word"].map(bytes)
-    least_pair = 1
-    while (often := pairs.where(F.greatest("pair_toxic", "pair_ordinary") > least_pair)).count() > TABLE_PAIRS:
-        least_pair += 1
-    pair_discounts = [max(d, float(least_pair)) for d in DISCOUNTS]
+    often = pairs.where(F.greatest("pair_toxic", "pair_ordinary") > DISCOUNTS[0])
     states = pairs.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
         *(F.sum(f"pair_{k}").alias(f"before_{k}") for k in ("toxic", "ordinary")),
         *(F.sum(F.least(F.col(f"pair_{k}"), F.lit(d))).alias(f"freed_{k}_{d:g}")
-          for d in sorted(set(pair_discounts)) for k in ("toxic", "ordinary")))
+          for d in DISCOUNTS for k in ("toxic", "ordinary")))
     grams = often.join(words, "word").join(states, "before").toPandas()
     for side in ("before", "word"):
         grams[side] = grams[side].map(bytes)
     spark = docs.sparkSession
-    used = [(d, e) for d, e in zip(DISCOUNTS, pair_discounts, strict=True) if d >= least]
-    used = used or [(DISCOUNTS[-1], pair_discounts[-1])]
 
     def scored(candidate: Broadcast) -> pd.DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
 
         return fitted.select("text", "toxic").mapInArrow(run, "scores array<double>, toxic int").toPandas()
 
-    # One pair of discounts at a time: the driver and a task hold one model.
+    # One discount at a time: the driver and a task hold one model.
     curves = []
-    for discount, pair_discount in used:
-        ratios = Ratios(table, grams, totals, discount, pair_discount)
+    for discount in DISCOUNTS:
+        ratios = Ratios(table, grams, totals, discount)
         candidate = spark.sparkContext.broadcast(ratios)
         del ratios
         got = scored(candidate)
         candidate.destroy()
         curves.append(_curve(np.array(got["scores"].tolist()).reshape(len(got), len(SIGNS)), got["toxic"].to_numpy()))
     best = min(range(len(curves)), key=lambda i: (round(curves[i][2], 4), i))
-    return Ratios(table, grams, totals, *used[best]), curves[best][0], curves[best][1]
+    return Ratios(table, grams, totals, DISCOUNTS[best]), curves[best][0], curves[best][1]
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:

@@ -62,6 +62,52 @@ def test_held_out_documents_are_told_apart(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_ratios_are_those_of_plain_counts(spark):
+    """Every word's ratio after another, by the formulas of the docstring on Python sets."""
+    docs, labels = toxic_docs(spark)
+    ratios, slopes, _ = toxicity.fit(docs, labels, F.lit(True))
+    assert slopes.shape == (len(toxicity.MOST) + 2,)
+    fits = {r[0] for r in spark.range(240).where(F.pmod(F.xxhash64("id"), F.lit(toxicity.FITS)) == 0).collect()}
+    kind = dict(map(tuple, labels.collect()))
+    pairs, words, shared = ({}, {}), ({}, {}), {}
+    for i, text in map(tuple, docs.collect()):
+        own = ["", "", *text.split()]
+        for u, v, w in zip(own, own[1:], own[2:]) if i not in fits else ():
+            pairs[kind[i]].setdefault((v, w), set()).add(u)
+            words[kind[i]].setdefault(w, set()).add(v)
+            shared.setdefault(w, set()).add(v)
+    n_shared = sum(map(len, shared.values()))
+
+    def chance(k, v, w, d):
+        n = {x: len(s) for x, s in words[k].items()}
+        free = sum(min(c, d) for c in n.values()) / sum(n.values())
+        p = max(n.get(w, 0) - d, 0) / sum(n.values()) + free * (len(shared.get(w, ())) + 0.5) / (n_shared + 0.5 * len(shared))
+        after = {x: len(s) for (y, x), s in pairs[k].items() if y == v}
+        if not after:
+            return p, free
+        return (max(after.get(w, 0) - d, 0) + sum(min(c, d) for c in after.values()) * p) / sum(after.values()), free
+
+    def ratio(v, w, d):
+        toxic, ordinary = chance(1, v, w, d), chance(0, v, w, d)
+        return np.log(toxic[0] / ordinary[0]) - np.log(toxic[1] / ordinary[1])
+
+    known = [(v, w) for v in ratios.states for w in ratios.states[v][1]]
+    assert len(known) > 20
+    gaps = [max(abs(ratios._after(v, w) - ratio(v.decode(), w.decode(), d)) for v, w in known[:60]) for d in toxicity.DISCOUNTS]
+    assert min(gaps) < 1e-9
+    d = toxicity.DISCOUNTS[gaps.index(min(gaps))]
+    assert abs(ratios.words[b"scum"] - ratio("never seen", "scum", d)) < 1e-9
+
+
+def test_a_sample_is_bounded_by_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    docs, labels = toxic_docs(spark)
+    rows = toxicity.sampled_rows(docs, toxicity.sampled(labels, F.lit(True))).collect()
+    for toxic in (0, 1):
+        sizes = [len(r["text"]) for r in rows if r["toxic"] == toxic]
+        assert 2000 <= sum(sizes) < 2000 + max(sizes)
+
+
 def test_odd_documents_and_labels(spark, odd_docs, no_docs):
     docs, labels = toxic_docs(spark)
     more = labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 1), (4, 0)], labels.schema))
