@@ -39,7 +39,6 @@ from collections.abc import Iterator
 from heapq import nlargest
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -49,7 +48,7 @@ from shelfline.session import written
 from .text import word_runs
 
 SAMPLE, SAMPLE_BYTES = 10_000, 64 << 20
-DISCOUNTS = (1.0, 2.0, 4.0)
+DISCOUNTS = (2.0, 4.0)
 #: The means of so many most toxic words of a document are looked at.
 MOST = (1, 2, 3)
 #: One in so many sampled documents fits the curve, the others are counted.
@@ -97,13 +96,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     + [pa.array([toxic] * len(triples), pa.int32())], ["earlier", "before", "word", "toxic"])
 
 
+def _columns(rows: DataFrame) -> dict:
+    """Numbers as numpy arrays, words as Arrow columns; no object for each row on the driver."""
+    table = rows.toArrow()
+    return {c: table[c] if pa.types.is_binary(table[c].type) or pa.types.is_large_binary(table[c].type)
+            else table[c].to_numpy() for c in table.column_names}
+
+
 class Ratios:
     """log P_toxic / P_ordinary of every word after another, for one discount."""
 
-    def __init__(self, table: pd.DataFrame, grams: pd.DataFrame, totals: dict, discount: float):
+    def __init__(self, table: dict, grams: dict, totals: dict, discount: float):
         freed = [totals[f"freed_{kind}_{discount:g}"] / max(1, totals[f"n_{kind}"]) for kind in ("ordinary", "toxic")]
 
-        def chances(rows: pd.DataFrame) -> list:
+        def chances(rows: dict) -> list:
             shared = (rows["shared"] + 0.5) / (totals["n_shared"] + 0.5 * totals["words"])
             return [np.maximum(rows[kind] - discount, 0) / totals[f"n_{kind}"] + f * shared
                     for kind, f in zip(("ordinary", "toxic"), freed, strict=True)]
@@ -111,7 +117,7 @@ class Ratios:
         chance = chances(table)
         self.unseen = float(np.log(freed[1] / freed[0]))
         ratios = np.log(chance[1] / chance[0]) - self.unseen
-        self.words = {w: r for w, r in zip(table["word"], ratios.tolist(), strict=True) if r}
+        self.words = {w: r for w, r in zip(table["word"].to_pylist(), ratios.tolist(), strict=True) if r}
         both, backs = [], []
         for kind, p in zip(("ordinary", "toxic"), chances(grams), strict=True):
             n = grams[f"before_{kind}"]
@@ -119,7 +125,7 @@ class Ratios:
             both.append(np.maximum(grams[f"pair_{kind}"] - discount, 0) / np.maximum(n, 1) + backs[-1] * p)
         #: For each state its failure ratio and the ratios of its arcs.
         self.states: dict[bytes, tuple[float, dict[bytes, float]]] = {}
-        for v, w, r, back in zip(grams["before"], grams["word"], (np.log(both[1] / both[0]) - self.unseen).tolist(),
+        for v, w, r, back in zip(grams["before"].to_pylist(), grams["word"].to_pylist(), (np.log(both[1] / both[0]) - self.unseen).tolist(),
                                  np.log(backs[1] / backs[0]).tolist(), strict=True):
             self.states.setdefault(v, (back, {}))[1][w] = r
 
@@ -213,26 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
     totals = words.agg(*sums).first().asDict()
     if not totals["n_toxic"] or not totals["n_ordinary"]:
         return None, np.zeros(len(SIGNS)), 0.0
-    table = words.where(F.greatest("toxic", "ordinary") > DISCOUNTS[0]).toPandas()
-    table["word"] = table["word"].map(bytes)
+    table = _columns(words.where(F.greatest("toxic", "ordinary") > DISCOUNTS[0]))
     often = pairs.where(F.greatest("pair_toxic", "pair_ordinary") > DISCOUNTS[0])
     states = pairs.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
         *(F.sum(f"pair_{k}").alias(f"before_{k}") for k in ("toxic", "ordinary")),
         *(F.sum(F.least(F.col(f"pair_{k}"), F.lit(d))).alias(f"freed_{k}_{d:g}")
           for d in DISCOUNTS for k in ("toxic", "ordinary")))
-    grams = often.join(words, "word").join(states, "before").toPandas()
-    for side in ("before", "word"):
-        grams[side] = grams[side].map(bytes)
+    grams = _columns(often.join(words, "word").join(states, "before"))
     spark = docs.sparkSession
 
-    def scored(candidate: Broadcast) -> pd.DataFrame:
+    def scored(candidate: Broadcast) -> pa.Table:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 scores = [candidate.value.score((t.as_py() or "").encode()) for t in batch.column(0)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(scores, pa.list_(pa.float64())), batch.column(1)], ["scores", "toxic"])
 
-        return fitted.select("text", "toxic").mapInArrow(run, "scores array<double>, toxic int").toPandas()
+        return fitted.select("text", "toxic").mapInArrow(run, "scores array<double>, toxic int").toArrow()
 
     # One discount at a time: the driver and a task hold one model.
     curves = []
@@ -242,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
         del ratios
         got = scored(candidate)
         candidate.destroy()
-        curves.append(_curve(np.array(got["scores"].tolist()).reshape(len(got), len(SIGNS)), got["toxic"].to_numpy()))
+        curves.append(_curve(np.array(got["scores"].to_pylist()).reshape(len(got), len(SIGNS)), got["toxic"].to_numpy()))
     best = min(range(len(curves)), key=lambda i: (round(curves[i][2], 4), i))
     return Ratios(table, grams, totals, DISCOUNTS[best]), curves[best][0], curves[best][1]
 
