@@ -82,10 +82,31 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As word_hashes, with the words' bytes between."""
+    starts, stops = _bounds(data, offsets)
+    return _hashed(data, starts, stops), stops - starts, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def edged_words(data: np.ndarray, offsets: np.ndarray, edges: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, of the words without the bytes ``edges`` around them; an empty one has the hash 0."""
+    starts, stops = _bounds(data, offsets)
+    at = np.searchsorted(starts, offsets).astype(np.int64)
+    edge = np.zeros(256, dtype=bool)
+    edge[list(edges)] = True
+    inner = np.append(np.flatnonzero(~edge[data]), len(data))
+    starts = np.minimum(inner[np.searchsorted(inner, starts)], stops)
+    stops = np.maximum(inner[np.searchsorted(inner, stops) - 1] + 1, starts)
+    return _hashed(data, starts, stops), at
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _ODD[2] + second * _ODD[3] + _ODD[4])
+
+
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    up, down = _grown(n + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -95,11 +116,15 @@ def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[:-1] &= ~solid[1:]
     ends = cuts[cuts > 0] - 1
     last[ends] = solid[ends]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    n = len(data)
+    up, down = _grown(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = mix((total[stops] - total[starts]) * down[starts] + _ODD[1] * (stops - starts).astype(np.uint64))
-    return hashes, stops - starts, np.searchsorted(starts, offsets).astype(np.int64)
+    return mix((total[stops] - total[starts]) * down[starts] + _ODD[1] * (stops - starts).astype(np.uint64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:

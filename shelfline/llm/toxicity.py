@@ -20,7 +20,7 @@ In it toxicity never falls with the ratios nor rises with the length, so a long
 clean text does not drift into the other class.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` in lower case, without the marks EDGES
-around them.  Training takes at most SAMPLE labelled documents of each class, those
+around them; scoring tells words and pairs by 64-bit hashes, whole batches at a time.  Training takes at most SAMPLE labelled documents of each class, those
 with the smallest hashes of their ids, with their whole texts, and no further one
 once these exceed SAMPLE_BYTES.  Words and pairs with no more than the least discount
 in both classes differ from unseen ones in nothing and are not sent to the tasks; each
@@ -36,7 +36,6 @@ hold no words, 0.  A null id is not held out and not learned from.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +44,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.session import written
 
-from .text import word_runs
+from .text import buffers, edged_words, pair_hashes, passes, runs, word_runs
 
 SAMPLE, SAMPLE_BYTES = 10_000, 64 << 20
-DISCOUNTS = (2.0, 4.0)
+DISCOUNTS = (2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0)
 #: The means of so many most toxic words of a document are looked at.
 MOST = (1, 2, 3)
 #: One in so many sampled documents fits the curve, the others are counted.
@@ -135,17 +134,84 @@ class Ratios:
         ratio = state[1].get(w)
         return state[0] + self.words.get(w, 0.0) if ratio is None else ratio
 
-    def score(self, text: bytes) -> tuple[float, ...]:
-        """Mean ratios of the most toxic words, mean ratio, logarithm of the length; against unseen words."""
-        before, most, total, n = b"", [], 0.0, 0
-        for words in _words(text):
-            if not words:
-                continue
-            own = list(map(self._after, [before, *words[:-1]], words))
-            before, total, n = words[-1], total + sum(own), n + len(words)
-            most = nlargest(MOST[-1], most + own)
-        most += [0.0] * (MOST[-1] - len(most))
-        return (*(sum(most[:k]) / k for k in MOST), total / max(1, n), float(np.log1p(n)))
+    def packed(self) -> Packed:
+        arcs = [(v, w, r) for v, (_, own) in self.states.items() for w, r in own.items()]
+        before, after = (_hashes([arc[k] for arc in arcs]) for k in range(2))
+        return Packed(
+            Lookup(_hashes(list(self.words)), list(self.words.values())),
+            Lookup(_hashes(list(self.states)), [back for back, _ in self.states.values()]),
+            Lookup(pair_hashes(before, after), [r for _, _, r in arcs]))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Those that ``edged_words`` gives the same words in a text."""
+    texts = pa.array(words, pa.binary())
+    found, at = edged_words(*buffers(texts), EDGES)
+    out = np.zeros(len(words), np.uint64)  # an empty word's
+    some = np.diff(at) > 0
+    out[some] = found[at[:-1][some]]
+    return out
+
+
+class Lookup:
+    """Numbers by their hashes."""
+
+    def __init__(self, hashes: np.ndarray, numbers: list[float]):
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array(numbers, dtype=np.float64)[order]
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its number or 0) for each hash."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return found, np.where(found, self.numbers[at], 0.0)
+
+
+class Packed:
+    """Ratios as sorted arrays: what a task holds."""
+
+    def __init__(self, words: Lookup, states: Lookup, arcs: Lookup):
+        self.words, self.states, self.arcs = words, states, arcs
+
+    def _ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = self.words(words)[1]
+        known, back = self.states(before)
+        at = np.flatnonzero(known)
+        there, arc = self.arcs(pair_hashes(before[at], words[at]))
+        out[at] = np.where(there, arc, back[at] + out[at])
+        return out
+
+    def _sums(self, data: np.ndarray, offsets: np.ndarray, before: int = 0) -> Iterator[tuple[np.ndarray, float, int, int]]:
+        """The largest ratios, their sum, the number of words and the last one's hash of each text."""
+        words, at = edged_words(data, offsets, EDGES)
+        earlier = np.zeros(len(words), np.uint64)
+        earlier[1:] = words[:-1]
+        earlier[at[:-1][np.diff(at) > 0]] = before
+        ratios = self._ratios(earlier, words)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = ratios[a:b]
+            most = own if b - a <= MOST[-1] else np.partition(own, b - a - MOST[-1])[b - a - MOST[-1]:]
+            yield most, float(own.sum()), b - a, int(words[b - 1]) if b > a else before
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """For each text the mean ratios of its most toxic words, the mean ratio, the logarithm of the length; against unseen words."""
+        out = []
+        for part in passes(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            rows, found = part.column(0), []
+            if len(rows) > 1:
+                found = list(self._sums(*buffers(rows)))
+            else:  # may be long
+                most, total, n, last = np.zeros(0), 0.0, 0, 0
+                for run in runs((rows[0].as_py() or "").encode()):
+                    piece, = self._sums(np.frombuffer(run, np.uint8), np.array([0, len(run)]), last)
+                    most, total, n, last = np.concatenate([most, piece[0]]), total + piece[1], n + piece[2], piece[3]
+                found.append((most, total, n, last))
+            for most, total, n, _ in found:
+                most = np.append(np.sort(most)[::-1], np.zeros(MOST[-1]))
+                out.append((*(most[:k].sum() / k for k in MOST), total / max(1, n), np.log1p(n)))
+        return np.array(out, dtype=np.float64).reshape(-1, len(SIGNS))
 
 
 #: Whether toxicity may rise or fall with a document's numbers.
@@ -231,18 +297,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
     def scored(candidate: Broadcast) -> pa.Table:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = [candidate.value.score((t.as_py() or "").encode()) for t in batch.column(0)]
+                scores = candidate.value.score(batch.column(0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(scores, pa.list_(pa.float64())), batch.column(1)], ["scores", "toxic"])
+                    [pa.array(scores.tolist(), pa.list_(pa.float64())), batch.column(1)], ["scores", "toxic"])
 
         return fitted.select("text", "toxic").mapInArrow(run, "scores array<double>, toxic int").toArrow()
 
     # One discount at a time: the driver and a task hold one model.
     curves = []
     for discount in DISCOUNTS:
-        ratios = Ratios(table, grams, totals, discount)
-        candidate = spark.sparkContext.broadcast(ratios)
-        del ratios
+        candidate = spark.sparkContext.broadcast(Ratios(table, grams, totals, discount).packed())
         got = scored(candidate)
         candidate.destroy()
         curves.append(_curve(np.array(got["scores"].to_pylist()).reshape(len(got), len(SIGNS)), got["toxic"].to_numpy()))
@@ -253,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Ratios | Non
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """``docs`` plus score (double) and predicted (int); such columns are replaced."""
     ratios, slopes, offset = fit(docs, labels, learn)
-    model = docs.sparkSession.sparkContext.broadcast((ratios, slopes, offset))
+    model = docs.sparkSession.sparkContext.broadcast((ratios and ratios.packed(), slopes, offset))
+    del ratios
     docs = docs.drop("score", "predicted")
     names, place = docs.columns, docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -264,8 +329,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
             if ratios is None:
                 p = np.full(batch.num_rows, offset)
             else:
-                raw = [ratios.score((t.as_py() or "").encode()) for t in batch.column(place)]
-                p = 1 / (1 + np.exp(-np.clip(np.array(raw, dtype=np.float64).reshape(-1, len(SIGNS)) @ slopes + offset, -700, 700)))
+                p = 1 / (1 + np.exp(-np.clip(ratios.score(batch.column(place)) @ slopes + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
                 [*names, "score", "predicted"])

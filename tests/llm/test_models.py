@@ -99,6 +99,28 @@ def test_ratios_are_those_of_plain_counts(spark):
     assert abs(ratios.words[b"scum"] - ratio("never seen", "scum", d)) < 1e-9
 
 
+def test_packed_ratios_are_those_of_words(spark, monkeypatch):
+    """The arrays that tasks hold give a text the numbers of a loop over its words."""
+    import pyarrow as pa
+
+    from shelfline.llm import text
+
+    ratios, _, _ = toxicity.fit(*toxic_docs(spark), F.lit(True))
+    texts = ["Scum, w1 (w2) ... w3", None, "", " \n", "...", "MORON! w7", "w1 w2 'w3' filth é漢 w4", "w5 scum " * 40]
+
+    def plain(t):
+        own = [w.strip(toxicity.EDGES) for w in (t or "").encode().lower().split()]
+        each = [ratios._after(v, w) for v, w in zip([b"", *own], own)]
+        most = sorted(each, reverse=True)[:max(toxicity.MOST)] + [0.0] * max(toxicity.MOST)
+        return [*(sum(most[:k]) / k for k in toxicity.MOST), sum(each) / max(1, len(each)), np.log1p(len(each))]
+
+    want = [plain(t) for t in texts]
+    assert np.allclose(ratios.packed().score(pa.array(texts)), want, atol=1e-9)
+    monkeypatch.setattr(text, "RUN_BYTES", 7)
+    monkeypatch.setattr(text, "PASS_BYTES", 20)
+    assert np.allclose(ratios.packed().score(pa.array(texts)), want, atol=1e-9)
+
+
 def test_a_sample_is_bounded_by_its_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
     docs, labels = toxic_docs(spark)
