@@ -242,6 +242,20 @@ def test_lines(documents, odd_docs, no_docs):
     assert lines.line_duplicates(no_docs).isEmpty()
 
 
+def test_what_lines_put_on_disk(spark, documents, monkeypatch):
+    """Buckets are not stored beside the coordinates they come from; a short list of lines goes to the texts, not they to it."""
+    tables, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, purpose: tables.setdefault(purpose, write(df, purpose)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lines.line_duplicates(documents)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert tables["lines-signs"].columns == ["line", "h1", "h2", "coordinates"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("tile", [1000, 16])
 def test_similar_lines_of_a_large_bucket_without_a_hub(spark, tile, monkeypatch):
     """Of 60 lines in one bucket two are similar, with numbers that are never a turn's hub."""
