@@ -38,6 +38,7 @@ from shelfline.operators.upsert import (
     upsert_newest,
     widen_schema,
 )
+from shelfline.session import written
 
 NO_DATE = "none"
 BUCKET = "b"
@@ -307,21 +308,26 @@ class Store:
 
     def upsert(self, dataset: str, batch: DataFrame, key: Sequence[str], *,
                evolve: bool = True, null_safe: bool = False,
-               newest_by: str | None = None) -> None:
+               newest_by: str | None = None, keyed: DataFrame | None = None) -> None:
         """Replace the keys of ``batch`` and make the result the newest version.
 
         ``newest_by`` names a column that decides, instead of arrival, which
-        rows of a key are the newest.
+        rows of a key are the newest.  The batch is written down first, as another
+        reading of it might give other rows (any one row, say).  A batch made from
+        written tables need not be: ``keyed`` has the same keys and is cheaper to read.
         """
         require_key(batch, key)
+        if keyed is None:
+            keyed = batch = written(batch, "batch")
         state = self._state(dataset)
         if state.schema is None:
             rule = PartRule.of(batch.schema, key, self.part_grain, self.buckets)
         else:
             rule = state.rule
             batch = rule.conform(batch, key, state.schema.names)
+            keyed = rule.conform(keyed, key, state.schema.names)
         # The parts this batch falls into: one value per day or bucket.
-        parts = [r[0] for r in batch.select(rule.part(batch).alias(PART)).distinct().collect()]
+        parts = [r[0] for r in keyed.select(rule.part(keyed).alias(PART)).distinct().collect()]
         if not parts:
             return
         if state.schema is None:
@@ -375,16 +381,16 @@ class Store:
         shown = stored.drop(*[n for n in listed.names if n.startswith("_")])
         date_column = detect_date_column(shown, dataset)
         day = profile.row_date(shown, dataset)
-        written = {r[0]: r[1:] for r in stored.groupBy(PART).agg(
+        counted = {r[0]: r[1:] for r in stored.groupBy(PART).agg(
             F.count(F.lit(1)), F.min(day), F.max(day)).collect()}
         # A row outside the listed parts would be lost.
-        if not set(written).issubset(parts):
-            raise RuntimeError(f"{dataset}: rows left their parts for {sorted(set(written).difference(parts))}")
+        if not set(counted).issubset(parts):
+            raise RuntimeError(f"{dataset}: rows left their parts for {sorted(set(counted).difference(parts))}")
         if self._state(dataset).version != version - 1:
             raise TableChanged(f"{dataset} has changed since version {version - 1}")
         entries = self.spark.createDataFrame(
-            [(dataset, p, version, f"{folder}/{PART}={p}" if p in written else None, list(rule.key),
-              schema.json(), rule.column, rule.grain, rule.buckets, *written.get(p, (0, None, None)),
+            [(dataset, p, version, f"{folder}/{PART}={p}" if p in counted else None, list(rule.key),
+              schema.json(), rule.column, rule.grain, rule.buckets, *counted.get(p, (0, None, None)),
               date_column) for p in parts],
             "dataset string, part string, version long, path string, key array<string>, "
             "schema string, part_column string, part_grain string, buckets int, rows long, "

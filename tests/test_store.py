@@ -302,3 +302,12 @@ def test_newest_ledger_row_stays_in_a_hash_aggregate(spark):
     got = newest_ledger_rows(events)
     assert rows(got, "file_id", "status") == [("a", "new"), ("b", "then"), ("c", "same"), ("d", "x")]
     assert "SortAggregate" not in _plan(got)
+
+
+def test_a_batch_that_reads_otherwise_each_time(spark, tmp_path):
+    """Its rows are those of one reading, so they fall into the parts that were found."""
+    store = Store(spark, str(tmp_path / "store"), buckets=64)
+    drawn = F.udf(lambda: random.getrandbits(40), "long").asNondeterministic()
+    for n in (8, 8):
+        store.upsert("item_attr", spark.range(n).select(drawn().alias("tcin"), F.lit("x").alias("mta_n")), ("tcin",))
+    assert store.read("item_attr").count() == 16
