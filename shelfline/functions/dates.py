@@ -89,4 +89,5 @@ def text_date(column: Column) -> Column:
     day = F.regexp_replace(F.trim(column), r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", "")
     year_first = F.regexp_replace(day, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
     month_first = F.regexp_replace(year_first, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
-    return iso_date(month_first)
+    # Most dates are spelt as they should be; no pattern is tried on them.
+    return F.coalesce(iso_date(column), iso_date(month_first))

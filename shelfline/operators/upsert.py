@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.session import written
+
+#: Keys up to which a list of them is sent to the tasks that read a batch.
+SENT_KEYS = 500_000
+
 
 class KeyMissing(ValueError):
     """A key column is absent, so old rows could not be replaced."""
@@ -83,13 +88,19 @@ def newest_file_rows(batch: DataFrame, key: Sequence[str], file: str,
 
     Loading the files one after the other would let the last one replace the
     rows of the others.  The same outcome in one step: find the newest file of
-    every key, then drop rows of other files.  Rows with a NULL key match no
-    key and stay.
+    every key that several files hold, then drop its rows of other files.  Rows
+    with a NULL key match no key and stay.  Those keys are written down; up to
+    SENT_KEYS go to the tasks that read the batch, which then is not shuffled.
+    Files numbered as they came need no ``order``, and no sort by key.
     """
-    rank = F.struct(*order, file)
-    winners = batch.groupBy(*key).agg(F.max(rank).alias("_newest"))
-    beaten = same_key("r", "w", key) & (F.col(f"r.{file}") != F.col(f"w._newest.{file}"))
-    return batch.alias("r").join(winners.alias("w"), beaten, "left_anti")
+    rank = F.struct(*order, file) if order else F.col(file)
+    own = F.xxhash64(file) if order else F.col(file)
+    several = batch.groupBy(*key).agg(F.max(rank).alias("_newest"), F.min(own).alias("_low"), F.max(own).alias("_high"))
+    winners = written(several.where("_low <> _high").select(
+        *key, (F.col(f"_newest.{file}") if order else F.col("_newest")).alias("_newest")), "contested")
+    few = winners.count() <= SENT_KEYS
+    beaten = same_key("r", "w", key) & (F.col(f"r.{file}") != F.col("w._newest"))
+    return batch.alias("r").join((F.broadcast(winners) if few else winners).alias("w"), beaten, "left_anti")
 
 
 def upsert_newest(target: DataFrame, batch: DataFrame, key: Sequence[str],

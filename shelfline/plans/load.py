@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,8 @@ ORDERS = {
     "file_date": ["file_date", "modified_at", "file_name"],
 }
 # No header normalises to a name with a leading underscore.
-FILE_ID, FILE_DATE, MEMBER, LINE_NO = "_file_id", "_file_date", "_member", "_line_no"
+FILE_ID, FILE_DATE, FILE_NUMBER = "_file_id", "_file_date", "_file_number"
+MEMBER, LINE_NO = "_member", "_line_no"
 SUMMARY = ("files_found", "files_new", "files_loaded", "files_failed", "files_skipped",
            "files_unknown")
 
@@ -219,7 +220,7 @@ def _stage(store: Store, name: str, archives: zipped.Archives, members: DataFram
     lines = lines.observe(faults, F.count_if(F.col("error").isNotNull()).alias("broken"))
     cells = delimited.text_cells(lines, layouts, [FILE_ID, MEMBER, LINE_NO])
     if choice.open:
-        cells = cells.observe(kinds, *delimited.value_kinds(choice.open))
+        cells = delimited.observed_kinds(cells, kinds, choice.open)
     cells = written(cells, "cells")
     types = choice.types(delimited.fitting_types(kinds.get) if choice.open else {})
     rows = written(delimited.cast_cells(cells, types, [FILE_ID, MEMBER, LINE_NO]), "typed")
@@ -287,19 +288,21 @@ def _upsert_rows(store: Store, name: str, rows: DataFrame, report: DataFrame, na
         skip = report.filter(delimited.untrusted()).select(F.col("file_id").alias("_skip"))
         rows = rows.join(skip, (F.col(FILE_ID) == F.col("_skip")) & F.col("_long"), "left_anti")
     by_date = order_by == "file_date"
-    order = [f"_{c}" for c in ORDERS[order_by]]
+    keyed = rows.select(*key)
     if n_files > 1 or by_date:
-        facts = listed.select(F.col("file_id").alias(FILE_ID),
-                              *[F.col(c).alias(f"_{c}") for c in ORDERS[order_by]])
+        # One row per file; the number tells which of two files is the newer.
+        order = Window.orderBy(*ORDERS[order_by], "file_id")
+        facts = listed.select(F.col("file_id").alias(FILE_ID), F.col("file_date").alias(FILE_DATE),
+                              F.row_number().over(order).alias(FILE_NUMBER))
         rows = rows.join(facts, FILE_ID)
     if n_files > 1:
-        rows = newest_file_rows(rows, key, FILE_ID, order)
+        rows = newest_file_rows(rows, key, FILE_NUMBER, [])
     if by_date:
         # Kept in the table, so that a late file meets the dates of earlier loads.
         store.upsert(name, rows.select(*names, FILE_DATE), key, evolve=evolve,
-                     newest_by=FILE_DATE)
+                     newest_by=FILE_DATE, keyed=keyed)
     else:
-        store.upsert(name, rows.select(*names), key, evolve=evolve)
+        store.upsert(name, rows.select(*names), key, evolve=evolve, keyed=keyed)
 
 
 def _register(store: Store, name: str, part: Staged,

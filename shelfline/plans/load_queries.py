@@ -57,14 +57,25 @@ def _month_file(day):
 
 
 def _with_heads(lines: DataFrame, head: str) -> DataFrame:
-    """Numbered lines per member, below a header; and a checksum beside them."""
-    order = Window.partitionBy("file", "member").orderBy(*[c for c in lines.columns if c.startswith("by_")], "line")
-    body = lines.select("file", "member", F.row_number().over(order).cast("long").alias("line_no"), "line")
-    members = lines.select("file", "member").distinct()
-    heads = members.select("file", "member", F.lit(0).cast("long").alias("line_no"), F.lit("﻿" + head).alias("line"))
-    sums = members.select("file").distinct().select(
-        "file", F.lit("checksum.md5").alias("member"), F.lit(0).cast("long").alias("line_no"), F.lit("0").alias("line"))
-    return body.unionByName(heads).unionByName(sums)
+    """Numbered lines per member, below a header; and a checksum beside them.
+
+    The first line of a member brings its header, the first of a file the checksum, so the lines are made once.
+    """
+    by = [*[c for c in lines.columns if c.startswith("by_")], "line"]
+    numbered = lines.withColumns({
+        # Both need the same sort; the first deals whole files, which hold whole members.
+        "in_file": F.row_number().over(Window.partitionBy("file").orderBy("member", *by)),
+        "in_member": F.row_number().over(Window.partitionBy("file", "member").orderBy(*by))})
+
+    def row(member, line_no, line):
+        return F.struct(member.alias("member"), line_no.cast("long").alias("line_no"), line.cast("binary").alias("line"))
+
+    body = row(F.col("member"), F.col("in_member"), F.col("line"))
+    headed = row(F.col("member"), F.lit(0), F.lit("﻿" + head))
+    summed = row(F.lit("checksum.md5"), F.lit(0), F.lit("0"))
+    rows = F.when(F.col("in_file") == 1, F.array(summed, headed, body)).when(
+        F.col("in_member") == 1, F.array(headed, body)).otherwise(F.array(body))
+    return numbered.select("file", F.explode(rows).alias("row")).select("file", "row.*")
 
 
 def _text(sales: DataFrame, file) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,8 +195,8 @@ def typed(cell: Column, data_type: T.DataType) -> Column:
 _INT, _NUM, _BOOL, _TEXT = 1, 2, 4, 8
 
 
-def value_kinds(names: Sequence[str]) -> list[Column]:
-    """Aggregates: a bit mask per column of the kinds of values it holds."""
+def kinds_of(names: Sequence[str]) -> list[Column]:
+    """Of one row: the kind of value each column holds, as a bit."""
 
     def kind(name: str) -> Column:
         c = F.col(name)
@@ -208,7 +208,22 @@ def value_kinds(names: Sequence[str]) -> list[Column]:
             .otherwise(F.lit(_TEXT))
         )
 
-    return [F.bit_or(kind(n)).alias(n) for n in names]
+    return [kind(n) for n in names]
+
+
+def value_kinds(names: Sequence[str]) -> list[Column]:
+    """Aggregates: a bit mask per column of the kinds of values it holds."""
+    return [F.bit_or(kind).alias(n) for n, kind in zip(names, kinds_of(names))]
+
+
+def observed_kinds(cells: DataFrame, observation: Observation, names: Sequence[str]) -> DataFrame:
+    """``cells``, which tell the value kinds of ``names`` as they are read.
+
+    The kinds are columns first, as an observation evaluates its expressions without compiling them.
+    """
+    own = [f"_kind{i}" for i in range(len(names))]
+    told = cells.withColumns(dict(zip(own, kinds_of(names))))
+    return told.observe(observation, *[F.bit_or(k).alias(n) for k, n in zip(own, names)]).drop(*own)
 
 
 def fitting_types(masks: Mapping[str, int]) -> dict[str, T.DataType]:
@@ -268,20 +283,22 @@ def cast_cells(cells: DataFrame, types: Mapping[str, T.DataType],
     file: where only the name promised the type, text that is no such value is
     none, but a number that does not fit a whole-number column is one.
     """
-    lost = {n: F.col(n).isNotNull() & typed(F.col(n), t).isNull()
-            for n, t in types.items() if not isinstance(t, T.StringType)}
+    # Each value is typed in a step of its own, as it is named several times below.
+    own = {n: f"_typed{i}" for i, (n, t) in enumerate(types.items()) if not isinstance(t, T.StringType)}
+    cells = cells.withColumns({own[n]: typed(F.col(n), types[n]) for n in own})
+    lost = {n: F.col(n).isNotNull() & F.col(own[n]).isNull() for n in own}
     faults = [
-        (own if hinted_type(n) is None else own & F.col(n).rlike(NUMBER_PATTERN)).cast("int")
-        for n, own in lost.items() if hinted_type(n) is None or isinstance(types[n], T.LongType)
+        (gone if hinted_type(n) is None else gone & F.col(n).rlike(NUMBER_PATTERN)).cast("int")
+        for n, gone in lost.items() if hinted_type(n) is None or isinstance(types[n], T.LongType)
     ]
-    texts = [F.when(own, F.concat(F.lit(f"{n}="), F.col(n))) for n, own in lost.items()]
+    texts = [F.when(gone, F.concat(F.lit(f"{n}="), F.col(n))) for n, gone in lost.items()]
     return cells.select(
         *keep, sum(faults, F.lit(0)).alias("_bad"),
         (F.nullif(F.concat_ws("; ", *texts), F.lit("")) if texts else F.lit(None).cast("string")).alias("_lost"),
         (F.col("_fields") < F.col("_width")).alias("_short"),
         (F.col("_fields") > F.col("_width")).alias("_long"),
         "_garbled", "_odd",
-        *[typed(F.col(n), t).alias(n) for n, t in types.items()],
+        *[F.col(own.get(n, n)).alias(n) for n in types],
     )
 
 

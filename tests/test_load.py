@@ -263,3 +263,40 @@ def test_archives_are_written_as_named(spark, tmp_path):
     zipped.write_archives(lines.where("file = 'b.zip'").withColumn("line", F.lit("new")), folder)
     with zipfile.ZipFile(f"{folder}/b.zip") as archive:
         assert archive.read("m") == b"new\r\n"
+
+
+def test_each_of_a_few_members_has_a_task(spark, drop):
+    for n in range(12):
+        drop.put(f"f{n:02d}.zip", "A|B\n1|2\n")
+    listed = list_source_files(spark, drop.path).select(F.col("path").alias("file_id"))
+    archives = zipped.open_archives(listed)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        lines = archives.lines(archives.members)
+        assert lines.select(F.spark_partition_id().alias("task"), "line").distinct().count() == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lines_are_packed_in_runs():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({
+        "file": ["x", "a", "a", "a", "b"], "member": ["m", "m", "m", "n", "n"], "line": [b"0", b"1", b"", b"22", b"3"]})
+    want = [("a", "m", b"1\r\n\r\n"), ("a", "n", b"22\r\n"), ("b", "n", b"3\r\n")]
+    assert [(f, m, bytes(t)) for f, m, t in zipped._runs(batch.slice(1))] == want
+    with pytest.raises(ValueError):
+        list(zipped._runs(pa.RecordBatch.from_pydict({"file": ["a"], "member": ["m"], "line": pa.array([None], pa.binary())})))
+
+
+def test_deliveries_make_their_lines_once(spark):
+    from shelfline.plans.load_queries import _with_heads
+
+    lines = spark.range(4).select(
+        F.lit("a.zip").alias("file"), F.format_string("m%d", F.col("id") % 2).alias("member"), F.col("id").cast("string").alias("line"))
+    headed = _with_heads(lines, "H").withColumn("line", F.decode("line", "utf-8"))
+    assert sorted(map(tuple, headed.collect())) == [
+        ("a.zip", "checksum.md5", 0, "0"), ("a.zip", "m0", 0, "\ufeffH"), ("a.zip", "m0", 1, "0"), ("a.zip", "m0", 2, "2"),
+        ("a.zip", "m1", 0, "\ufeffH"), ("a.zip", "m1", 1, "1"), ("a.zip", "m1", 2, "3")]
+    assert headed._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

@@ -311,3 +311,12 @@ def test_a_batch_that_reads_otherwise_each_time(spark, tmp_path):
     for n in (8, 8):
         store.upsert("item_attr", spark.range(n).select(drawn().alias("tcin"), F.lit("x").alias("mta_n")), ("tcin",))
     assert store.read("item_attr").count() == 16
+
+
+def test_a_batch_of_numbered_files_is_not_shuffled(spark, table, tmp_path):
+    given = table("k int, file int, v int", (1, 1, 10), (1, 2, 11), (1, 2, 12), (2, 1, 13), (3, 2, 14), (None, 1, 15), (None, 2, 16))
+    given.write.parquet(str(tmp_path / "given"))
+    found = newest_file_rows(spark.read.parquet(str(tmp_path / "given")), ["k"], "file", [])
+    assert rows(found, "v") == [(11,), (12,), (13,), (14,), (15,), (16,)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortAggregate" not in plan
