@@ -283,3 +283,14 @@ def test_short_similar_lines_that_agree_in_one_band(spark):
         numbers.alias("coordinates"))
     found = lines._components(lines._lines(docs), signs).where("node <> component").collect()
     assert [(r["node"], r["component"]) for r in found] == [(1, 0)]
+
+
+def test_signatures_hash_the_shingles_in_compiled_steps(spark):
+    docs = spark.createDataFrame([(1, "a line of some forty characters, or more\n" + "ü漢字😀" * 9), (2, "exactly twenty chars")], "doc_id long, text string")
+    found = lines._signatures(lines._lines(docs))
+    plain = lines._lines(docs).select("h1", "h2", F.explode(lines._shingles(F.col("line"))).alias("hash")).select(
+        "h1", "h2", F.shiftright("hash", 32).cast("int").alias("hash")).groupBy("h1", "h2").agg(
+        *(F.min(F.col("hash").bitwiseXOR(F.lit(mask))) for mask in lines.MASKS)).collect()
+    assert sorted((r["h1"], r["h2"], r["coordinates"]) for r in found.collect()) == sorted((r[0], r[1], list(r[2:])) for r in plain)
+    # An array's function would be evaluated step by step for each character.
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
